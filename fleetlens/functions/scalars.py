@@ -65,9 +65,11 @@ def sha256_column(c) -> Column:
 
 
 def sanitize_text(c) -> Column:
-    """Remove the sanitizer characters, cut to 1000 characters, trim."""
+    """Remove the sanitizer characters, cut to 1000 characters, strip whitespace
+    at both ends (newlines and tabs too, like Python's str.strip)."""
     chars = "".join(SANITIZE_CHARS)
-    return F.trim(F.substring(F.translate(_c(c), chars, ""), 1, SANITIZE_MAX_LEN))
+    cut = F.substring(F.translate(_c(c), chars, ""), 1, SANITIZE_MAX_LEN)
+    return F.regexp_replace(cut, r"^\s+|\s+$", "")
 
 
 def truncate_param(c, n: int = 250) -> Column:
@@ -143,9 +145,10 @@ def bin_range(c) -> Column:
     return _right_closed(_c(c), RANGE_BINS, RANGE_LABELS, include_lowest=True)
 
 
-def bin_year(c, ref_year: int) -> Column:
-    """(2009,2015,2018,ref_year+1] -> Early, Mid, Recent."""
-    return _right_closed(_c(c), YEAR_BINS_LOW + [ref_year + 1], YEAR_LABELS, include_lowest=True)
+def bin_year(c, ref_year: int, edges=None) -> Column:
+    """(2009,2015,2018,ref_year+1] -> Early, Mid, Recent (other edges may be given)."""
+    edges = list(edges) if edges is not None else YEAR_BINS_LOW + [ref_year + 1]
+    return _right_closed(_c(c), edges, YEAR_LABELS, include_lowest=True)
 
 
 def bin_price(c) -> Column:

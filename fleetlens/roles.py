@@ -33,7 +33,8 @@ ROLES: dict[str, tuple[str, str]] = {
     # columns with holes: the driver tables carry no null, so zeros become null
     "tax_or_null": ("lineitem", "nullif(l_tax, 0)"),
     "discount_or_null": ("lineitem", "nullif(l_discount, 0)"),
-    "rebate_or_null": ("lineitem", "CASE WHEN l_discount < 0.06 THEN NULL ELSE l_discount END"),
+    "cafv_or_null": ("lineitem", "nullif(l_returnflag, 'N')"),
+    "rebate_or_null":("lineitem", "CASE WHEN l_discount < 0.06 THEN NULL ELSE l_discount END"),
     "ship_ts": ("lineitem", "l_shipdate"),
     # The vehicle-type and CAFV eligibility texts of the source
     # file, laid over the two flag columns.
