@@ -180,28 +180,30 @@ def hash_order(cols, seed: int = 42) -> Column:
 
 
 def rank_within(df: DataFrame, groups, order: str, rows_per_bucket: int = 1_000_000,
-                out: str = "_rank") -> DataFrame:
-    """Exact 0-based rank of each row inside its group by ``order`` (a
-    uniformly spread long, e.g. ``hash_order``), without one task per group.
+                out: str = "_rank", tiebreak=()) -> DataFrame:
+    """Exact 0-based rank of each row inside its group by ``order`` (numeric),
+    then ``tiebreak`` columns, without one task per group.
 
-    Each group is cut into ceil(n / rows_per_bucket) buckets of the order
-    value; bucket counts give each bucket's offset (a window over buckets, not
-    rows), and row_number runs inside each (group, bucket) only.
+    Each group is cut into ceil(n / rows_per_bucket) equal-width ranges of the
+    order value; bucket counts give each bucket's offset (a window over
+    buckets, not rows), and row_number runs inside each (group, bucket) only.
     """
     groups = list(groups)
-    span = float(16 ** 15)
-    sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_gn"))
+    sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_gn"), F.min(order).alias("_lo"),
+                                    F.max(order).alias("_hi"))
     nb = F.greatest(F.lit(1), F.ceil(F.col("_gn") / F.lit(rows_per_bucket)))
-    sized = df.join(sizes.select(*groups, nb.alias("_nb")), groups, "inner")
-    sized = sized.withColumn("_bucket", F.least(F.floor(F.col(order) / F.lit(span) * F.col("_nb")),
-                                                F.col("_nb") - 1).cast("long"))
+    sized = df.join(sizes.select(*groups, nb.alias("_nb"), "_lo", "_hi"), groups, "inner")
+    rel = (F.col(order) - F.col("_lo")).cast("double") / (F.col("_hi") - F.col("_lo")).cast("double")
+    bucket = F.when(F.col("_hi") == F.col("_lo"), F.lit(0)).otherwise(
+        F.least(F.floor(rel * F.col("_nb")), F.col("_nb") - 1))
+    sized = sized.withColumn("_bucket", bucket.cast("long"))
     bcounts = sized.groupBy(*groups, "_bucket").agg(F.count(F.lit(1)).alias("_bn"))
     w = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = bcounts.select(*groups, "_bucket", F.coalesce(F.sum("_bn").over(w), F.lit(0)).alias("_off"))
     ranked = sized.join(offsets, groups + ["_bucket"], "inner")
-    rw = Window.partitionBy(*groups, "_bucket").orderBy(order)
+    rw = Window.partitionBy(*groups, "_bucket").orderBy(order, *tiebreak)
     return (ranked.withColumn(out, F.col("_off") + F.row_number().over(rw) - 1)
-            .drop("_nb", "_bucket", "_off"))
+            .drop("_nb", "_bucket", "_off", "_lo", "_hi"))
 
 
 def split_train_test(df: DataFrame, key_cols, label: str | None = None, test_size: float = 0.2,
