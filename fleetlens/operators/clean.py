@@ -8,6 +8,7 @@ partially aggregated groupBys). The fill itself is one narrow projection.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -83,8 +84,13 @@ def clean_table(df: DataFrame, range_col: str = "Electric Range", price_col: str
                 year_col: str = "Model Year", ref_year: int = 2024, lat: str = "Latitude",
                 lon: str = "Longitude", method: str = "exact", range_cap=1000, price_cap=500000,
                 year_low: int = 2010) -> DataFrame:
-    """distinct rows -> median/mode imputation -> domain bounds -> coordinate bounds."""
-    out = df.dropDuplicates()
+    """distinct rows -> median/mode imputation -> domain bounds -> coordinate bounds.
+
+    The de-duplicated table is persisted (memory, spilling to disk) because the
+    imputation statistics read it several times; a lost executor only means
+    its blocks are recomputed from lineage.
+    """
+    out = df.dropDuplicates().persist(StorageLevel.MEMORY_AND_DISK)
     out = impute_median(out, method=method)
     out = impute_mode(out)
     out = bound_and_cap_range(out, range_col, range_cap)

@@ -51,23 +51,54 @@ def notebook_features(df: DataFrame, make="Make", model="Model", year="Model Yea
                       cafv="Clean Alternative Fuel Vehicle (CAFV) Eligibility", ref_year: int = 2024,
                       luxury=LUXURY_NOTEBOOK, bev_text: str = BEV_TEXT, top_cities: int = 10) -> DataFrame:
     """Notebook sections 1-5: basic, geographic, manufacturer, encoded and
-    interaction features. Group statistics are joins of grouped aggregates."""
+    interaction features.
+
+    All group statistics (city, county, make and model counts, make and model
+    mean range, the category list of the eligibility column) come from ONE
+    grouping-sets aggregate over the input: one scan, partial aggregation,
+    one shuffle. Each statistic table has one row per key and is joined back
+    on its key (AQE broadcasts the small ones).
+    """
+    enc_key = F.coalesce(F.col(f"`{cafv}`").cast("string"), F.lit("Unknown"))
+    keyed = df.select(F.col(f"`{city}`").alias("k_city"), F.col(f"`{county}`").alias("k_county"),
+                      F.col(f"`{make}`").alias("k_make"), F.col(f"`{model}`").alias("k_model"),
+                      enc_key.alias("k_cafv"), F.col(f"`{range_col}`").alias("v"))
+    sets = [["k_city"], ["k_county"], ["k_make"], ["k_model"], ["k_cafv"]]
+    stats = keyed.groupingSets(sets, "k_city", "k_county", "k_make", "k_model", "k_cafv").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean_v"), F.grouping_id().alias("gid"))
+    stats = stats.persist()
+    gid = {"k_city": 15, "k_county": 23, "k_make": 27, "k_model": 29, "k_cafv": 30}
+
+    def part(k):
+        return stats.where((F.col("gid") == gid[k]) & F.col(k).isNotNull()).select(k, "n", "mean_v")
+
+    city_t = part("k_city")
+    top = city_t.orderBy(F.desc("n"), F.asc("k_city")).limit(top_cities).select(
+        F.col("k_city").alias(city), F.lit(1).alias("is_urban"))
+    make_t = part("k_make")
+    total_make = make_t.agg(F.sum("n")).first()[0]
+    labels = (part("k_cafv").select(F.col("k_cafv").alias("_lab_v"))
+              .select("_lab_v", (F.dense_rank().over(Window.orderBy("_lab_v")) - 1).cast("int")
+                      .alias(f"{cafv}_encoded")))
     out = df.select("*",
                     S.age_from_year(year, ref_year).alias("vehicle_age"),
                     flag_in_set(make, luxury, upper=False).alias("is_luxury"),
                     S.equals_flag(ev_type, bev_text).alias("is_bev"),
                     S.threshold_flag(range_col, 200).alias("has_long_range"),
                     S.bin_price(price).alias("price_category"))
-    out = lookup_count(out, city, "city_ev_density")
-    out = lookup_count(out, county, "county_ev_density")
-    out = flag_in_top_n(out, city, top_cities, "is_urban")
-    out = lookup_share(out, make, "manufacturer_market_share")
-    out = lookup_count(out, model, "model_popularity")
-    out = lookup_mean(out, make, range_col, "manufacturer_avg_range")
-    enc = fit_label_encoder(out, cafv, fill="Unknown")
-    out = enc.transform(out, f"{cafv}_encoded")
-    out = target_encode(out, make, range_col, f"{make}_target_encoded")
-    out = target_encode(out, model, range_col, f"{model}_target_encoded")
+    out = out.join(city_t.select(F.col("k_city").alias(city), F.col("n").alias("city_ev_density")), city, "left")
+    out = out.join(part("k_county").select(F.col("k_county").alias(county), F.col("n").alias("county_ev_density")),
+                   county, "left")
+    out = out.join(F.broadcast(top), city, "left").withColumn("is_urban", F.coalesce("is_urban", F.lit(0)))
+    out = out.join(make_t.select(F.col("k_make").alias(make),
+                                 (F.col("n") / F.lit(float(total_make) if total_make else None))
+                                 .alias("manufacturer_market_share"),
+                                 F.col("mean_v").alias("manufacturer_avg_range"),
+                                 F.col("mean_v").alias(f"{make}_target_encoded")), make, "left")
+    out = out.join(part("k_model").select(F.col("k_model").alias(model), F.col("n").alias("model_popularity"),
+                                          F.col("mean_v").alias(f"{model}_target_encoded")), model, "left")
+    out = out.join(labels, F.coalesce(F.col(f"`{cafv}`").cast("string"), F.lit("Unknown")) == F.col("_lab_v"),
+                   "left").drop("_lab_v")
     return out.select("*",
                       S.ratio_plus_one(range_col, price).alias("range_price_ratio"),
                       S.product_interaction(F.col("vehicle_age"), F.col(range_col)).alias("age_range_interaction"),

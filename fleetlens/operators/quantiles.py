@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,6 +56,8 @@ def quantiles(df: DataFrame, value: str, probs, by=(), names=None, method: str =
     keys = by or ["_g"]
     if not by:
         base = base.withColumn("_g", F.lit(0))
+    # every pass re-reads only (keys, value): keep that projection, not the upstream plan
+    base = base.persist(StorageLevel.MEMORY_AND_DISK)
 
     stats = materialize(base.groupBy(*keys).agg(
         F.count("_v").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")))
@@ -107,7 +110,9 @@ def quantiles(df: DataFrame, value: str, probs, by=(), names=None, method: str =
         x0 = F.element_at("_m", k0)
         x1 = F.element_at("_m", k1)
         cols.append((x0 + (h - k0) * (x1 - x0)).alias(name))
-    return out.select(*(by or []), *cols)
+    result = materialize(out.select(*(by or []), *cols))
+    base.unpersist()
+    return result
 
 
 def quantile_values(df: DataFrame, value: str, probs, method: str = "exact") -> list[float]:

@@ -275,3 +275,49 @@ def q_model_perf(spark, d):
     runs = registry_tables(spark, d)["runs"]
     out = P.model_performance_over_time(runs, "model_type", "start_time", "score", unit="month")
     return round_doubles(out.withColumn("period", F.date_format("period", "yyyy-MM-dd HH:mm:ss")))
+
+
+# ---------------------------------------------------------------- flagship
+
+REPORT_ROLES = ["make", "model_year", "electric_range", "base_msrp", "tax_or_null", "cafv_or_null"]
+
+_CLEAN_SQL = (
+    "SELECT make, model_year, least(electric_range, 300) AS electric_range, least(base_msrp, 50000) AS base_msrp, "
+    "tax_or_null, cafv_or_null FROM (SELECT make, model_year, electric_range, base_msrp, "
+    "coalesce(tax_or_null, (SELECT median(tax_or_null) FROM (SELECT DISTINCT * FROM vehicles))) AS tax_or_null, "
+    "coalesce(cafv_or_null, (SELECT cafv_or_null FROM (SELECT DISTINCT * FROM vehicles) WHERE cafv_or_null IS NOT NULL "
+    "GROUP BY cafv_or_null ORDER BY count(*) DESC, cafv_or_null LIMIT 1)) AS cafv_or_null "
+    "FROM (SELECT DISTINCT * FROM vehicles)) WHERE electric_range >= 0 AND base_msrp > 0 "
+    "AND model_year BETWEEN 1996 AND 2000")
+
+
+@register("market_report", with_vehicles(
+    f"SELECT make, vehicles, round(vehicles / sum(vehicles) OVER (), 6) AS share, round(mean_range, 6) AS mean_range, "
+    "round(mean_price_per_range, 6) AS mean_price_per_range, round(ultra_share, 6) AS ultra_share, "
+    "CAST(row_number() OVER (ORDER BY vehicles DESC, make) AS INT) AS rank FROM "
+    "(SELECT make, count(*) AS vehicles, avg(electric_range) AS mean_range, "
+    "avg(base_msrp / (electric_range + 1)) AS mean_price_per_range, "
+    "avg(CASE WHEN electric_range > 200 AND electric_range <= 500 THEN 1.0 ELSE 0.0 END) AS ultra_share "
+    f"FROM ({_CLEAN_SQL}) GROUP BY make)", REPORT_ROLES))
+def q_market_report(spark, d):
+    """Flagship: clean -> service features -> per-make count, share, mean range,
+    mean price per range, share of 'Ultra' range, rank by count."""
+    from ..operators import clean as C
+    from ..operators import features as FE
+    from pyspark.sql import Window
+    v = vehicles(spark, d, REPORT_ROLES)
+    cleaned = C.clean_table(v, range_col="electric_range", price_col="base_msrp", year_col="model_year",
+                            ref_year=1999, year_low=1996, range_cap=300.0, price_cap=50000.0)
+    feats = FE.service_features(cleaned, range_col="electric_range", price_col="base_msrp", year_col="model_year",
+                                make_col="make", ref_year=1999)
+    per_make = feats.groupBy("make").agg(
+        F.count(F.lit(1)).alias("vehicles"), F.avg("electric_range").alias("mean_range"),
+        F.avg("Price_per_Range").alias("mean_price_per_range"),
+        F.avg((F.col("Range_Category") == "Ultra").cast("double")).alias("ultra_share"))
+    total = per_make.agg(F.sum("vehicles")).first()[0]
+    # one row per make: the rank window runs over the grouped table only
+    ranked = per_make.select(
+        "make", "vehicles", (F.col("vehicles") / F.lit(total)).alias("share"), "mean_range",
+        "mean_price_per_range", F.coalesce("ultra_share", F.lit(0.0)).alias("ultra_share"),
+        F.row_number().over(Window.orderBy(F.desc("vehicles"), "make")).cast("int").alias("rank"))
+    return round_doubles(ranked)

@@ -37,6 +37,7 @@ def make_session(master: str | None = None, shuffle_partitions: int | None = Non
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.files.maxPartitionBytes", str(128 * 1024 * 1024))
     )
