@@ -1 +1,95 @@
-"""Registered queries."""
+"""Registered queries: Structured Streaming (2.13) over the events table.
+
+Each stream runs with ``availableNow`` into Parquet under the session's
+checkpoint folder (own checkpoint location per run) and is read back.
+Complete-mode aggregates equal their batch SQL twin.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..learn import models as MD
+from ..session import table
+from ..streaming import streams as ST
+from .registry import register, round_doubles
+
+TS_FMT = "yyyy-MM-dd HH:mm:ss"
+
+
+def _bucket_sql(seconds: int) -> str:
+    us = seconds * 1_000_000
+    return f"make_timestamp(CAST(floor(epoch_us(ts) / {us}) * {us} AS BIGINT))"
+
+
+@register("stream_scan", "SELECT event_id, user_id, event_type FROM events")
+def q_stream_scan(spark, d):
+    sdf = ST.stream_scan(spark, d, "events").select("event_id", "user_id", "event_type")
+    return ST.run_to_table(sdf, "scan", mode="append")
+
+
+@register("stream_tumbling_rate",
+          f"SELECT strftime({_bucket_sql(60)}, '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS requests, "
+          "round(count(*) / 60.0, 6) AS rate FROM events GROUP BY 1")
+def q_stream_tumbling(spark, d):
+    out = ST.run_to_table(ST.tumbling_rate(ST.stream_scan(spark, d, "events")), "tumbling", "complete")
+    return round_doubles(out.withColumn("window_start", F.date_format("window_start", TS_FMT)))
+
+
+@register("stream_sliding_rate",
+          "SELECT strftime(make_timestamp(CAST((floor(epoch_us(ts) / 15000000) - k) * 15000000 AS BIGINT)), "
+          "'%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS requests, "
+          "count(*) FILTER (WHERE event_type = 'error') AS errors, round(count(*) / 300.0, 6) AS rate, "
+          "round((1 - count(*) FILTER (WHERE event_type = 'error') / count(*)) * 100, 6) AS success_rate, "
+          "round(avg(value / 100), 6) AS avg_latency FROM events, (SELECT unnest(range(20)) AS k) GROUP BY 1")
+def q_stream_sliding(spark, d):
+    out = ST.run_to_table(ST.sliding_stats(ST.stream_scan(spark, d, "events")), "sliding", "complete")
+    return round_doubles(out.withColumn("window_start", F.date_format("window_start", TS_FMT)))
+
+
+@register("stream_alerts_complete",
+          f"SELECT strftime({_bucket_sql(60)}, '%Y-%m-%d %H:%M:%S') AS window_start, "
+          "count(*) FILTER (WHERE event_type = 'error') AS errors, count(*) AS requests, "
+          "round(count(*) FILTER (WHERE event_type = 'error') / 60.0, 6) AS error_rate FROM events GROUP BY 1 "
+          "HAVING count(*) FILTER (WHERE event_type = 'error') / 60.0 > 0.02")
+def q_stream_alerts_complete(spark, d):
+    out = ST.run_to_table(ST.error_alerts(ST.stream_scan(spark, d, "events"), threshold=0.02), "alerts_c", "complete")
+    return round_doubles(out.withColumn("window_start", F.date_format("window_start", TS_FMT)))
+
+
+@register("stream_alerts")
+def q_stream_alerts(spark, d):
+    """Append mode: a window is emitted once the watermark has passed it, so the
+    windows of the last watermark delay of the stream stay open."""
+    out = ST.run_to_table(ST.error_alerts(ST.stream_scan(spark, d, "events"), threshold=0.02), "alerts", "append")
+    return round_doubles(out.withColumn("window_start", F.date_format("window_start", TS_FMT)))
+
+
+@register("stream_dedupe", "SELECT DISTINCT event_id FROM events")
+def q_stream_dedupe(spark, d):
+    out = ST.run_to_table(ST.dedupe(ST.stream_scan(spark, d, "events")), "dedupe", "append")
+    return out.select("event_id")
+
+
+@register("rate_limit_stateful")
+def q_rate_limit(spark, d):
+    """Accepted-only limiter (1 accepted request per client per hour) on the event stream."""
+    sdf = ST.stream_scan(spark, d, "events")
+    return ST.run_to_table(ST.rate_limit_stream(sdf, "user_id", 3600, 1), "ratelimit", "append")
+
+
+@register("rate_limit_replay")
+def q_rate_limit_replay(spark, d):
+    """Batch twin: weekly slices replayed in order with the limiter state carried."""
+    return ST.rate_limit_replay(table(spark, d, "events"), "user_id", "ts", 3600, 1, slice_seconds=7 * 86400)
+
+
+@register("stream_score")
+def q_stream_score(spark, d):
+    """Fit on the lineitem table, score the lineitem rows arriving as a stream."""
+    feats = ["l_quantity", "l_discount", "l_tax"]
+    li = table(spark, d, "lineitem")
+    fm = MD.fit_classifier(li.select(*feats, "l_returnflag"), feats, "l_returnflag", "decision_tree", {"max_depth": 5})
+    sdf = ST.stream_scan(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *feats)
+    scored = fm.model.transform(sdf).select("l_orderkey", "l_linenumber", "predicted_label")
+    return ST.run_to_table(scored, "score", "append")
