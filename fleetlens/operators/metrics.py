@@ -123,8 +123,8 @@ def regression_metrics(df: DataFrame, y: str, p: str) -> DataFrame:
 
 def mape(df: DataFrame, y: str, p: str) -> DataFrame:
     """Mean |err / true| * 100, null when any true value is 0."""
-    return df.agg(F.when(F.count_if(F.col(y) == 0) == 0,
-                         F.avg(F.abs((F.col(y) - F.col(p)) / F.col(y))) * 100).alias("mape"))
+    ratio = F.try_divide(F.col(y) - F.col(p), F.col(y))
+    return df.agg(F.when(F.count_if(F.col(y) == 0) == 0, F.avg(F.abs(ratio)) * 100).alias("mape"))
 
 
 def residuals(df: DataFrame, y: str, p: str, out: str = "residual") -> DataFrame:
@@ -194,14 +194,14 @@ def davies_bouldin(long: DataFrame, id_col: str, label: str) -> DataFrame:
     dist = (long.join(c, [label, "dim"]).groupBy(id_col, label)
             .agg(F.sqrt(F.sum((F.col("x") - F.col("mu")) ** 2)).alias("d")))
     s = dist.groupBy(label).agg(F.avg("d").alias("s"))
-    a = c.select(F.col(label).alias("i"), "dim", F.col("mu").alias("mi"))
-    b = c.select(F.col(label).alias("j"), "dim", F.col("mu").alias("mj"))
-    cd = (a.join(b, "dim").where(F.col("i") != F.col("j")).groupBy("i", "j")
-          .agg(F.sqrt(F.sum((F.col("mi") - F.col("mj")) ** 2)).alias("dij")))
-    si = s.select(F.col(label).alias("i"), F.col("s").alias("si"))
-    sj = s.select(F.col(label).alias("j"), F.col("s").alias("sj"))
-    r = cd.join(si, "i").join(sj, "j").select("i", ((F.col("si") + F.col("sj")) / F.col("dij")).alias("r"))
-    return r.groupBy("i").agg(F.max("r").alias("rmax")).agg(F.avg("rmax").alias("davies_bouldin"))
+    a = c.select(F.col(label).alias("_i"), "dim", F.col("mu").alias("_mi"))
+    b = c.select(F.col(label).alias("_j"), "dim", F.col("mu").alias("_mj"))
+    cd = (a.join(b, "dim").where(F.col("_i") != F.col("_j")).groupBy("_i", "_j")
+          .agg(F.sqrt(F.sum((F.col("_mi") - F.col("_mj")) ** 2)).alias("_dij")))
+    si = s.select(F.col(label).alias("_i"), F.col("s").alias("_si"))
+    sj = s.select(F.col(label).alias("_j"), F.col("s").alias("_sj"))
+    r = cd.join(si, "_i").join(sj, "_j").select("_i", ((F.col("_si") + F.col("_sj")) / F.col("_dij")).alias("_r"))
+    return r.groupBy("_i").agg(F.max("_r").alias("_rmax")).agg(F.avg("_rmax").alias("davies_bouldin"))
 
 
 def silhouette_sq(long: DataFrame, id_col: str, label: str) -> DataFrame:
@@ -210,19 +210,19 @@ def silhouette_sq(long: DataFrame, id_col: str, label: str) -> DataFrame:
     mean_j |x_i - x_j|^2 over cluster C = |x_i|^2 - 2 x_i.S_C/n_C + Q_C/n_C
     (own cluster: divide by n_C - 1, removing the zero self term).
     """
-    norms = long.groupBy(id_col, label).agg(F.sum(F.col("x") * F.col("x")).alias("xx"))
-    cs = long.groupBy(label, "dim").agg(F.sum("x").alias("S"))
-    cq = norms.groupBy(label).agg(F.count(F.lit(1)).alias("nc"), F.sum("xx").alias("Q"))
-    dots = (long.join(cs.withColumnRenamed(label, "c"), "dim")
-            .groupBy(id_col, label, "c").agg(F.sum(F.col("x") * F.col("S")).alias("xs")))
-    d = (dots.join(norms, [id_col, label]).join(cq.withColumnRenamed(label, "c"), "c")
-         .withColumn("tot", F.col("nc") * F.col("xx") - 2 * F.col("xs") + F.col("Q")))
-    own = d.where(F.col("c") == F.col(label)).select(
-        id_col, label, F.when(F.col("nc") > 1, F.col("tot") / (F.col("nc") - 1)).alias("a"),
-        (F.col("nc") > 1).alias("multi"))
-    other = d.where(F.col("c") != F.col(label)).groupBy(id_col).agg(F.min(F.col("tot") / F.col("nc")).alias("b"))
-    s = own.join(other, id_col).select(
-        F.when(F.col("multi"), (F.col("b") - F.col("a")) / F.greatest("a", "b")).otherwise(F.lit(0.0)).alias("s"))
+    pts = long.select(F.col(id_col).alias("_id"), F.col(label).alias("_own"), "dim", "x")
+    norms = pts.groupBy("_id", "_own").agg(F.sum(F.col("x") * F.col("x")).alias("_xx"))
+    cs = pts.groupBy(F.col("_own").alias("_oc"), "dim").agg(F.sum("x").alias("_S"))
+    cq = norms.groupBy(F.col("_own").alias("_oc")).agg(F.count(F.lit(1)).alias("_nc"), F.sum("_xx").alias("_Q"))
+    dots = pts.join(cs, "dim").groupBy("_id", "_own", "_oc").agg(F.sum(F.col("x") * F.col("_S")).alias("_xs"))
+    d = (dots.join(norms, ["_id", "_own"]).join(cq, "_oc")
+         .withColumn("_tot", F.col("_nc") * F.col("_xx") - 2 * F.col("_xs") + F.col("_Q")))
+    own = d.where(F.col("_oc") == F.col("_own")).select(
+        "_id", F.when(F.col("_nc") > 1, F.col("_tot") / (F.col("_nc") - 1)).alias("_a"),
+        (F.col("_nc") > 1).alias("_multi"))
+    other = d.where(F.col("_oc") != F.col("_own")).groupBy("_id").agg(F.min(F.col("_tot") / F.col("_nc")).alias("_b"))
+    s = own.join(other, "_id").select(
+        F.when(F.col("_multi"), (F.col("_b") - F.col("_a")) / F.greatest("_a", "_b")).otherwise(F.lit(0.0)).alias("s"))
     return s.agg(F.avg("s").alias("silhouette"))
 
 

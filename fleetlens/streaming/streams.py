@@ -4,7 +4,9 @@
   table); ``ts`` is cast to TIMESTAMP because watermarks refuse
   TIMESTAMP_NTZ.
 * Windowed rates/alerts: ``withWatermark`` + ``groupBy(window)``; state is one
-  aggregation buffer per (window, group). Percentiles in a stream use
+  aggregation buffer per (window, group). A row older than the watermark of
+  the previous micro-batch is dropped (Spark's late-event rule), and a window
+  is emitted in append mode once the watermark passes its end. Percentiles in a stream use
   ``percentile_approx`` (bounded sketch) since exact ones keep every value.
 * Sinks: results land as Parquet under the session's checkpoint folder
   (``spark.checkpoint.dir``, a shared folder on a cluster), never in driver
