@@ -87,8 +87,8 @@ def q_bound_year(spark, d):
 
 
 @register("bound_coordinates",
-          "SELECT c_custkey, c_acctbal / 100 AS Latitude, c_nationkey * 10.0 - 100 AS Longitude FROM customer "
-          "WHERE c_acctbal / 100 BETWEEN -90 AND 90 AND c_nationkey * 10.0 - 100 BETWEEN -180 AND 180")
+          "SELECT c_custkey, c_acctbal / 100 AS Latitude, CAST(c_nationkey AS DOUBLE) * 10 - 100 AS Longitude FROM customer "
+          "WHERE c_acctbal / 100 BETWEEN -90 AND 90 AND CAST(c_nationkey AS DOUBLE) * 10 - 100 BETWEEN -180 AND 180")
 def q_bound_coordinates(spark, d):
     c = table(spark, d, "customer").select("c_custkey", (F.col("c_acctbal") / 100).alias("Latitude"),
                                            (F.col("c_nationkey") * 10.0 - 100).alias("Longitude"))

@@ -115,7 +115,7 @@ def _minute_metrics(spark, d):
 _MINUTE_SQL = (f"WITH m AS (SELECT {_bucket_sql(60)} AS window_start, 'error_rate' AS metric, "
                "count(*) FILTER (WHERE event_type = 'error') / 60.0 AS value FROM events GROUP BY 1 UNION ALL "
                f"SELECT {_bucket_sql(60)}, 'p95_latency', quantile_cont(value / 100, 0.95) FROM events GROUP BY 1), "
-               "r AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{m}', '{o}', {float(t)})" for a, m, o, t, _ in
+               "r AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{m}', '{o}', CAST({float(t)} AS DOUBLE))" for a, m, o, t, _ in
                                                           LG.ALERT_RULES) +
                ") t(alert, metric, op, threshold)), "
                "c AS (SELECT alert, m.metric, window_start, value, threshold, coalesce(CASE op WHEN '>' THEN value > "
