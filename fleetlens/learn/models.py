@@ -64,7 +64,8 @@ def _classifier(kind: str, n_features: int, n_classes: int, n_rows: int, p: dict
                                       seed=seed)
     if kind == "random_forest":
         return RandomForestClassifier(numTrees=p.get("n_estimators", 100), maxDepth=p.get("max_depth", 10),
-                                      minInstancesPerNode=p.get("min_samples_leaf", 2), seed=seed)
+                                      minInstancesPerNode=p.get("min_samples_leaf", 2), seed=seed,
+                                      cacheNodeIds=True)
     if kind in ("gradient_boosting", "xgboost"):
         depth, rate = (3, 0.1) if kind == "gradient_boosting" else (6, 0.3)
         gbt = GBTClassifier(maxIter=p.get("n_estimators", 100), stepSize=p.get("learning_rate", rate),
@@ -92,22 +93,32 @@ def fit_classifier(train: DataFrame, features, label: str, kind: str = "random_f
     asm = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip")
     est = _classifier(kind, len(features), stats["k"], stats["n"], params)
     est.setFeaturesCol("features").setLabelCol("label_idx")
-    cached = _persist(train)
-    idx_model = indexer.fit(cached)
+    idx_model = indexer.fit(train)
     labels = list(idx_model.labels)
     back = IndexToString(inputCol="prediction", outputCol="predicted_label", labels=labels)
-    model = Pipeline(stages=[idx_model, asm, est, back]).fit(cached)
-    if cached is not train:
-        cached.unpersist()
+    # the estimator passes over (features, label) only: assemble once, keep that
+    prepared = _persist(asm.transform(idx_model.transform(train)).select("features", "label_idx"))
+    fitted = est.fit(prepared)
+    prepared.unpersist()
+    model = PipelineModel(stages=[idx_model, asm, fitted, back])
     return FittedModel(kind, model, features, label, True, labels)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread the (features, label) rows evenly before an estimator's many
+    passes: upstream partitioning (AQE-coalesced shuffles, windows keyed by a
+    few classes) can leave most cores idle for the whole training. One
+    round-robin shuffle, into at least one partition per core."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(par, df.rdd.getNumPartitions()))
+
+
 def _persist(df: DataFrame) -> DataFrame:
     """Estimators read their input several times (metadata, splits, iterations):
     keep it (memory, spilling to disk) unless the caller already did."""
     if df.storageLevel != StorageLevel.NONE:
         return df
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    return spread(df).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _rff_columns(features, n_components: int, gamma: float, seed: int):
@@ -172,11 +183,10 @@ def fit_regressor(train: DataFrame, features, label: str, kind: str = "linear_re
         raise ValueError(f"unknown regressor {kind}")
     asm = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="skip")
     est.setFeaturesCol("features").setLabelCol(label)
-    cached = _persist(train)
-    model = Pipeline(stages=[asm, est]).fit(cached)
-    if cached is not train:
-        cached.unpersist()
-    return FittedModel(kind, model, features, label, False, extra=extra)
+    prepared = _persist(asm.transform(train).select("features", F.col(label).cast("double").alias(label)))
+    fitted = est.fit(prepared)
+    prepared.unpersist()
+    return FittedModel(kind, PipelineModel(stages=[asm, fitted]), features, label, False, extra=extra)
 
 
 def feature_importance(fm: FittedModel, top: int = 10) -> list[tuple[str, float]]:

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -210,20 +211,24 @@ def hash_order(cols, seed: int = 42) -> Column:
     return F.conv(F.substring(F.md5(txt), 1, 15), 16, 10).cast("long")
 
 
-def rank_within(df: DataFrame, groups, order: str, rows_per_bucket: int = 1_000_000,
-                out: str = "_rank", tiebreak=()) -> DataFrame:
+def rank_within(df: DataFrame, groups, order: str, rows_per_bucket: int = 200_000,
+                out: str = "_rank", tiebreak=(), keep_size: str | None = None) -> DataFrame:
     """Exact 0-based rank of each row inside its group by ``order`` (numeric),
     then ``tiebreak`` columns, without one task per group.
 
     Each group is cut into ceil(n / rows_per_bucket) equal-width ranges of the
     order value; bucket counts give each bucket's offset (a window over
     buckets, not rows), and row_number runs inside each (group, bucket) only.
+    The input is persisted (memory, spilling to disk) because the group sizes,
+    the bucket counts and the ranking all read it; upstream work runs once.
+    ``keep_size`` keeps the group size as a column of that name.
     """
     groups = list(groups)
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
     sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_gn"), F.min(order).alias("_lo"),
                                     F.max(order).alias("_hi"))
     nb = F.greatest(F.lit(1), F.ceil(F.col("_gn") / F.lit(rows_per_bucket)))
-    sized = df.join(sizes.select(*groups, nb.alias("_nb"), "_lo", "_hi"), groups, "inner")
+    sized = df.join(sizes.select(*groups, "_gn", nb.alias("_nb"), "_lo", "_hi"), groups, "inner")
     rel = (F.col(order) - F.col("_lo")).cast("double") / (F.col("_hi") - F.col("_lo")).cast("double")
     bucket = F.when(F.col("_hi") == F.col("_lo"), F.lit(0)).otherwise(
         F.least(F.floor(rel * F.col("_nb")), F.col("_nb") - 1))
@@ -233,8 +238,10 @@ def rank_within(df: DataFrame, groups, order: str, rows_per_bucket: int = 1_000_
     offsets = bcounts.select(*groups, "_bucket", F.coalesce(F.sum("_bn").over(w), F.lit(0)).alias("_off"))
     ranked = sized.join(offsets, groups + ["_bucket"], "inner")
     rw = Window.partitionBy(*groups, "_bucket").orderBy(order, *tiebreak)
-    return (ranked.withColumn(out, F.col("_off") + F.row_number().over(rw) - 1)
-            .drop("_nb", "_bucket", "_off", "_lo", "_hi"))
+    ranked = ranked.withColumn(out, F.col("_off") + F.row_number().over(rw) - 1)
+    if keep_size:
+        ranked = ranked.withColumnRenamed("_gn", keep_size)
+    return ranked.drop("_nb", "_bucket", "_off", "_lo", "_hi", "_gn")
 
 
 def split_train_test(df: DataFrame, key_cols, label: str | None = None, test_size: float = 0.2,
@@ -250,9 +257,7 @@ def split_train_test(df: DataFrame, key_cols, label: str | None = None, test_siz
     if not grp:
         base = base.withColumn("_all", F.lit(0))
         grp = ["_all"]
-    sizes = base.groupBy(*grp).agg(F.count(F.lit(1)).alias("_cn"))
-    ranked = rank_within(base, grp, "_h")
-    ranked = ranked.join(sizes, grp, "inner")
+    ranked = rank_within(base, grp, "_h", keep_size="_cn")
     n_test = F.ceil(F.col("_cn") * F.lit(test_size))
     res = ranked.withColumn(out, F.when(F.col("_rank") < n_test, F.lit("test")).otherwise(F.lit("train")))
     return res.drop("_h", "_rank", "_cn", "_all")
