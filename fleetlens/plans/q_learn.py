@@ -308,3 +308,18 @@ def q_experiment_summary(spark, d):
     best = pick_best(runs.select("model_type", "score", "run_id"), "score", "run_id", group="model_type") \
         .select("model_type", F.col("run_id").alias("best_run"))
     return round_doubles(stats.join(best, "model_type"))
+
+
+@register("cluster_density")
+def q_density(spark, d):
+    """Grid density clustering (DBSCAN re-aimed, eps 0.5, min 5) on three
+    standardized lineitem measures; -1 = noise."""
+    from ..learn.density import grid_density_clusters
+    from ..operators.features import fit_scaler
+    from ..session import table
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                                            "l_quantity", "l_discount", "l_tax")
+    li = li.withColumn("row_id", F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
+    cols = ["l_quantity", "l_discount", "l_tax"]
+    scaled = fit_scaler(li, cols).transform(li)
+    return grid_density_clusters(scaled, "row_id", cols, eps=0.5, min_samples=5)
