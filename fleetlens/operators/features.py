@@ -20,7 +20,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from .lookups import bounded_broadcast, flag_in_set, flag_in_top_n, lookup_count, lookup_mean, lookup_share
+from ..session import materialize
+from .lookups import (MAX_LOOKUP_ROWS, bounded_broadcast, flag_in_set, flag_in_top_n, lookup_count, lookup_mean,
+                      lookup_share)
 
 # Luxury make lists (service list and notebook list).
 LUXURY_SERVICE = ["TESLA", "BMW", "MERCEDES-BENZ", "AUDI", "JAGUAR", "PORSCHE"]
@@ -67,11 +69,12 @@ def notebook_features(df: DataFrame, make="Make", model="Model", year="Model Yea
     sets = [["k_city"], ["k_county"], ["k_make"], ["k_model"], ["k_cafv"]]
     stats = keyed.groupingSets(sets, "k_city", "k_county", "k_make", "k_model", "k_cafv").agg(
         F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean_v"), F.grouping_id().alias("gid"))
-    stats = stats.persist()
+    stats = materialize(stats)   # one row per key of each set: small, computed once
     gid = {"k_city": 15, "k_county": 23, "k_make": 27, "k_model": 29, "k_cafv": 30}
 
     def part(k):
-        return stats.where((F.col("gid") == gid[k]) & F.col(k).isNotNull()).select(k, "n", "mean_v")
+        t = stats.where((F.col("gid") == gid[k]) & F.col(k).isNotNull()).select(k, "n", "mean_v")
+        return F.broadcast(t) if t.count() <= MAX_LOOKUP_ROWS else t
 
     city_t = part("k_city")
     top = city_t.orderBy(F.desc("n"), F.asc("k_city")).limit(top_cities).select(
@@ -90,7 +93,7 @@ def notebook_features(df: DataFrame, make="Make", model="Model", year="Model Yea
     out = out.join(city_t.select(F.col("k_city").alias(city), F.col("n").alias("city_ev_density")), city, "left")
     out = out.join(part("k_county").select(F.col("k_county").alias(county), F.col("n").alias("county_ev_density")),
                    county, "left")
-    out = out.join(F.broadcast(top), city, "left").withColumn("is_urban", F.coalesce("is_urban", F.lit(0)))
+    out = out.join(F.broadcast(top), city, "left").withColumn("is_urban", F.coalesce("is_urban", F.lit(0)))  # <= n rows
     out = out.join(make_t.select(F.col("k_make").alias(make),
                                  (F.col("n") / F.lit(float(total_make) if total_make else None))
                                  .alias("manufacturer_market_share"),

@@ -3,10 +3,11 @@
 The reference maps group statistics back onto rows with Python dicts. Here a
 lookup is a grouped aggregate (partially aggregated map-side, so a hot key
 costs one row per partition in the shuffle) joined back to the rows on the
-key. The join is left to the planner: with AQE on, a lookup table that turns
-out small at runtime is broadcast, a large one is sort-merge joined with skew
-splitting. Static dimension tables are broadcast only after ``bounded_broadcast``
-has proven their size.
+key. The lookup table (one row per key) is computed once and checkpointed, then
+broadcast only when its row count is proven small (``small_lookup``), so the
+large side is never shuffled for a small lookup; a large lookup table is
+sort-merge joined (AQE splits skewed partitions). Static dimension tables are
+broadcast only after ``bounded_broadcast`` has proven their size.
 """
 
 from __future__ import annotations
@@ -25,10 +26,23 @@ def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if n <= max_rows else df
 
 
+MAX_LOOKUP_ROWS = 2_000_000
+
+
+def small_lookup(table: DataFrame, max_rows: int = MAX_LOOKUP_ROWS) -> DataFrame:
+    """A lookup table computed once (checkpointed: one row per key) and
+    broadcast only if its row count is proven <= max_rows; beyond that the
+    join falls back to a shuffle join. Without this, the planner shuffles the
+    large side by the key before it learns that the lookup side is small."""
+    from ..session import materialize
+    t = materialize(table)
+    return F.broadcast(t) if t.count() <= max_rows else t
+
+
 def lookup_count(df: DataFrame, key: str, out: str) -> DataFrame:
     """Attach the size of each row's key group; a null key gets null."""
     counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias(out))
-    return df.join(counts, on=key, how="left")
+    return df.join(small_lookup(counts), on=key, how="left")
 
 
 def lookup_share(df: DataFrame, key: str, out: str) -> DataFrame:
@@ -36,13 +50,13 @@ def lookup_share(df: DataFrame, key: str, out: str) -> DataFrame:
     total = df.where(F.col(key).isNotNull()).count()
     shares = (df.where(F.col(key).isNotNull()).groupBy(key)
               .agg((F.count(F.lit(1)) / F.lit(float(total) if total else None)).alias(out)))
-    return df.join(shares, on=key, how="left")
+    return df.join(small_lookup(shares), on=key, how="left")
 
 
 def lookup_mean(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
     """Attach the mean of ``value`` over the row's key group."""
     means = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.avg(value).alias(out))
-    return df.join(means, on=key, how="left")
+    return df.join(small_lookup(means), on=key, how="left")
 
 
 def top_keys(df: DataFrame, key: str, n: int) -> DataFrame:
