@@ -54,14 +54,16 @@ def daily_quota_usage(df: DataFrame, user: str, action: str, ts: str, id_col: st
                       limits: DataFrame) -> DataFrame:
     """Running count of a user's actions per day, against a (action, daily_limit) table.
 
-    The window partition is one user, one action, one day; the limits table
-    is tiny and joined by broadcast after a size check.
+    The running count is the exact rank inside (user, action, day) in time
+    order, computed by ``rank_within`` (bucketed by time, so one busy user's
+    day is spread over several tasks); the limits table is tiny and joined by
+    broadcast after a size check.
     """
+    from .features import rank_within
     from .lookups import bounded_broadcast
-    day = F.to_date(F.col(ts))
-    w = Window.partitionBy(user, action, day).orderBy(F.col(ts), F.col(id_col)).rowsBetween(
-        Window.unboundedPreceding, 0)
-    used = df.withColumn("day", day).withColumn("used_today", F.count(F.lit(1)).over(w))
+    base = df.withColumn("day", F.to_date(F.col(ts))).withColumn("_t", event_micros(ts))
+    ranked = rank_within(base, [user, action, "day"], "_t", tiebreak=[id_col], out="_r")
+    used = ranked.withColumn("used_today", F.col("_r") + 1).drop("_r", "_t")
     out = used.join(bounded_broadcast(limits, 10_000), action, "left")
     return out.withColumn("over_quota", F.coalesce(F.col("used_today") > F.col("daily_limit"), F.lit(False)))
 
