@@ -248,13 +248,20 @@ def rank_within(df: DataFrame, groups, order: str, rows_per_bucket: int = 200_00
 
 
 def split_train_test(df: DataFrame, key_cols, label: str | None = None, test_size: float = 0.2,
-                     seed: int = 42, out: str = "split") -> DataFrame:
+                     seed: int = 42, out: str = "split", exact: bool = True) -> DataFrame:
     """Seeded split with exact per-class test counts (ceil(test_size * n_class)).
 
     Rows are ordered by a seeded hash of their key inside each class; the
     first ceil(test_size * n) rows are 'test'. Without a label the whole table
     is one class. For a continuous label pass ``label=None`` (no stratification).
+
+    ``exact=False`` is the row-local form: 'test' when the seeded hash falls
+    below test_size of its range. No shuffle at all; every class gets the
+    test share only in expectation.
     """
+    if not exact:
+        u = hash_order(key_cols, seed).cast("double") / F.lit(float(16 ** 15))
+        return df.withColumn(out, F.when(u < F.lit(test_size), F.lit("test")).otherwise(F.lit("train")))
     grp = [label] if label else []
     base = df.withColumn("_h", hash_order(key_cols, seed))
     if not grp:

@@ -12,8 +12,9 @@ instead:
    each pass splits the interval into ``bins`` equal-width buckets, counts
    rows per bucket with a partially aggregated ``groupBy`` (bounded shuffle:
    groups x ranks x bins rows), and keeps the bucket that holds the rank;
-3. once an interval holds at most ``small`` rows (or a single value), the
-   rows left in it are sorted inside one group of bounded size.
+3. once an interval holds at most ``small`` rows (1M doubles, about 8 MB) or
+   a single value, the rows left in it are sorted inside one group of
+   bounded size.
 
 Every step is a DataFrame job; the loop's state is a small table that is
 checkpointed each pass. ``method="approx"`` switches to ``percentile_approx``.
@@ -39,7 +40,7 @@ def _nsjoin(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inne
 
 
 def quantiles(df: DataFrame, value: str, probs, by=(), names=None, method: str = "exact",
-              bins: int = 1024, small: int = 100_000, accuracy: int = 1_000_000,
+              bins: int = 1024, small: int = 1_000_000, accuracy: int = 1_000_000,
               max_passes: int = 64) -> DataFrame:
     """One row per group of ``by`` with one column per probability.
 

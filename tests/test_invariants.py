@@ -120,3 +120,11 @@ def test_elbow_and_pick_best(spark):
     assert O.elbow_point(df, "k", "inertia").first()["optimal_k"] == 3
     runs = spark.createDataFrame([(1, 0.9, "a"), (2, 0.95, "b"), (3, 0.95, "c")], "o int, score double, name string")
     assert O.pick_best(runs, "score", "o").first()["name"] == "b"
+
+
+def test_row_local_split_share(skewed):
+    s = split_train_test(skewed, ["id"], None, 0.2, 42, exact=False).toPandas()
+    share = (s.split == "test").mean()
+    assert 0.17 < share < 0.23
+    again = split_train_test(skewed, ["id"], None, 0.2, 42, exact=False).toPandas()
+    assert (s.sort_values("id").split.values == again.sort_values("id").split.values).all()
