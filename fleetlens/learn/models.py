@@ -97,9 +97,10 @@ def fit_classifier(train: DataFrame, features, label: str, kind: str = "random_f
     labels = list(idx_model.labels)
     back = IndexToString(inputCol="prediction", outputCol="predicted_label", labels=labels)
     # the estimator passes over (features, label) only: assemble once, keep that
-    prepared = _persist(asm.transform(idx_model.transform(train)).select("features", "label_idx"))
+    prepared = _persist(asm.transform(idx_model.transform(train)).select("features", "label_idx"), kind)
     fitted = est.fit(prepared)
-    prepared.unpersist()
+    if kind in TREE_KINDS:
+        prepared.unpersist()
     model = PipelineModel(stages=[idx_model, asm, fitted, back])
     return FittedModel(kind, model, features, label, True, labels)
 
@@ -113,12 +114,24 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(max(par, df.rdd.getNumPartitions()))
 
 
-def _persist(df: DataFrame) -> DataFrame:
-    """Estimators read their input several times (metadata, splits, iterations):
-    keep it (memory, spilling to disk) unless the caller already did."""
-    if df.storageLevel != StorageLevel.NONE:
-        return df
-    return spread(df).persist(StorageLevel.MEMORY_AND_DISK)
+TREE_KINDS = {"decision_tree", "random_forest", "gradient_boosting", "xgboost"}
+
+
+def _persist(df: DataFrame, kind: str = "") -> DataFrame:
+    """Estimators read their input several times, so the assembled
+    (features, label) rows are spread over the cores and kept:
+
+    * tree learners read the rows a few times (metadata, split candidates,
+      one pass to build their own binned cache): a cached DataFrame;
+    * iterative optimizers (logistic, linear, lasso, MLP, k-means) cache their
+      own vector RDD only when handed an uncached input, and decoding cached
+      rows on every iteration is slower: a reliable checkpoint (lineage cut,
+      a lost executor re-reads the files).
+    """
+    from ..session import materialize
+    if kind in TREE_KINDS:
+        return spread(df).persist(StorageLevel.MEMORY_AND_DISK)
+    return materialize(spread(df))
 
 
 def _rff_columns(features, n_components: int, gamma: float, seed: int):
@@ -183,9 +196,10 @@ def fit_regressor(train: DataFrame, features, label: str, kind: str = "linear_re
         raise ValueError(f"unknown regressor {kind}")
     asm = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="skip")
     est.setFeaturesCol("features").setLabelCol(label)
-    prepared = _persist(asm.transform(train).select("features", F.col(label).cast("double").alias(label)))
+    prepared = _persist(asm.transform(train).select("features", F.col(label).cast("double").alias(label)), kind)
     fitted = est.fit(prepared)
-    prepared.unpersist()
+    if kind in TREE_KINDS:
+        prepared.unpersist()
     return FittedModel(kind, PipelineModel(stages=[asm, fitted]), features, label, False, extra=extra)
 
 
