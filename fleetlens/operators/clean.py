@@ -46,30 +46,37 @@ def column_modes(df: DataFrame, cols) -> dict[str, str | None]:
     return {c: found.get(c) for c in cols}
 
 
-def impute_median(df: DataFrame, cols=None, method: str = "exact") -> DataFrame:
+def columns_with_nulls(df: DataFrame, cols) -> list[str]:
+    """The columns (of ``cols``) holding at least one null: one aggregate."""
+    cols = list(cols)
+    if not cols:
+        return []
+    row = df.agg(*[F.max(F.col(f"`{c}`").isNull().cast("int")).alias(c) for c in cols]).first()
+    return [c for c in cols if row[c]]
+
+
+def impute_median(df: DataFrame, cols=None, method: str = "exact", check_nulls: bool = True) -> DataFrame:
     """Numeric nulls -> column median (only columns that have a null)."""
     if cols is None:
         cols = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
     cols = list(cols)
     if not cols:
         return df
-    has_null = df.agg(*[F.max(F.col(f"`{c}`").isNull().cast("int")).alias(c) for c in cols]).first()
-    todo = [c for c in cols if has_null[c]]
+    todo = columns_with_nulls(df, cols) if check_nulls else cols
     med = column_medians(df, todo, method)
     fills = {c: v for c, v in med.items() if v is not None}
     return df.select(*[F.coalesce(F.col(f"`{c}`"), F.lit(fills[c]).cast(df.schema[c].dataType)).alias(c)
                        if c in fills else F.col(f"`{c}`") for c in df.columns])
 
 
-def impute_mode(df: DataFrame, cols=None, unknown: str = "Unknown") -> DataFrame:
+def impute_mode(df: DataFrame, cols=None, unknown: str = "Unknown", check_nulls: bool = True) -> DataFrame:
     """String nulls -> mode (smallest on ties), or 'Unknown' if the column is all null."""
     if cols is None:
         cols = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     cols = list(cols)
     if not cols:
         return df
-    has_null = df.agg(*[F.max(F.col(f"`{c}`").isNull().cast("int")).alias(c) for c in cols]).first()
-    todo = [c for c in cols if has_null[c]]
+    todo = columns_with_nulls(df, cols) if check_nulls else cols
     modes = column_modes(df, todo)
     return df.select(*[F.coalesce(F.col(f"`{c}`"), F.lit(modes[c] if modes[c] is not None else unknown)).alias(c)
                        if c in modes else F.col(f"`{c}`") for c in df.columns])
@@ -91,8 +98,11 @@ def clean_table(df: DataFrame, range_col: str = "Electric Range", price_col: str
     its blocks are recomputed from lineage.
     """
     out = df.dropDuplicates().persist(StorageLevel.MEMORY_AND_DISK)
-    out = impute_median(out, method=method)
-    out = impute_mode(out)
+    numeric = [f.name for f in out.schema.fields if isinstance(f.dataType, T.NumericType)]
+    strings = [f.name for f in out.schema.fields if isinstance(f.dataType, T.StringType)]
+    holes = set(columns_with_nulls(out, numeric + strings))     # one pass decides both fills
+    out = impute_median(out, [c for c in numeric if c in holes], method=method, check_nulls=False)
+    out = impute_mode(out, [c for c in strings if c in holes], check_nulls=False)
     out = bound_and_cap_range(out, range_col, range_cap)
     out = bound_and_cap_price(out, price_col, price_cap)
     out = bound_year(out, year_col, ref_year, year_low)

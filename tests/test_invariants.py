@@ -128,3 +128,17 @@ def test_row_local_split_share(skewed):
     assert 0.17 < share < 0.23
     again = split_train_test(skewed, ["id"], None, 0.2, 42, exact=False).toPandas()
     assert (s.sort_values("id").split.values == again.sort_values("id").split.values).all()
+
+
+def test_rolling_count_hot_client(spark):
+    """One client sends a third of all requests; counts stay exact."""
+    import datetime as dt
+    base = dt.datetime(2024, 1, 1)
+    rows = [(i, 0 if i % 3 == 0 else i % 50, base + dt.timedelta(seconds=7 * i)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp")
+    got = {r.event_id: r.recent_requests for r in O.rolling_request_count(df, "user_id", "ts", 600).collect()}
+    pdf = df.toPandas()
+    for uid, g in pdf.groupby("user_id"):
+        t = g.ts.values
+        for eid, ti in zip(g.event_id, t):
+            assert got[eid] == int(((t >= ti - np.timedelta64(600, "s")) & (t <= ti)).sum())
