@@ -142,26 +142,37 @@ def _decide(rows: pd.DataFrame, accepted: list, window_s: float, limit: int):
     return out, acc
 
 
-def rate_limit_stream(sdf: DataFrame, client: str = "user_id", window_seconds: float = 60, limit: int = 100) -> DataFrame:
+def rate_limit_stream(sdf: DataFrame, client: str = "user_id", window_seconds: float = 60, limit: int = 100,
+                      watermark: str = "10 minutes") -> DataFrame:
     """Per-client accepted-only sliding-window rate limiter on a stream.
 
     State per client: the accepted timestamps still inside the window (at most
     ``limit`` values). Rows of one client inside one micro-batch are sorted
     by (ts, event_id) before deciding; micro-batches arrive in time order.
+    An event-time timeout (last accepted time + window, under the watermark)
+    drops the state of clients that went quiet, so state is bounded by the
+    clients active within one window.
     """
+    window_ms = int(window_seconds * 1000)
+
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = pd.concat(list(pdfs)).sort_values(["ts", "event_id"])
         prev = list(state.get[0]) if state.exists else []
         prev = [pd.Timestamp(p) for p in prev]
         dec, acc = _decide(rows, prev, window_seconds, limit)
         state.update(([a.to_pydatetime() for a in acc],))
+        last = max([rows["ts"].max()] + acc)
+        state.setTimeoutTimestamp(int(pd.Timestamp(last).timestamp() * 1000) + window_ms)
         ts_map = dict(zip(rows["event_id"], rows["ts"]))
         yield pd.DataFrame({"event_id": [e for e, _ in dec], "client": key[0],
                             "ts": [ts_map[e] for e, _ in dec], "accepted": [a for _, a in dec]})
 
-    return (sdf.select("event_id", F.col(client).alias("client"), "ts")
+    return (sdf.withWatermark("ts", watermark).select("event_id", F.col(client).alias("client"), "ts")
             .groupBy("client")
-            .applyInPandasWithState(fn, DECISION_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout))
+            .applyInPandasWithState(fn, DECISION_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout))
 
 
 def rate_limit_replay(df: DataFrame, client: str = "user_id", ts: str = "ts", window_seconds: float = 60,
