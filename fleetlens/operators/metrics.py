@@ -99,8 +99,18 @@ def prefix_sum(df: DataFrame, order: str, value: str, out: str, rows_per_bucket:
             .drop("_pb", "_off"))
 
 
-def roc_auc(df: DataFrame, y: str, score: str, positive=1) -> DataFrame:
-    """Binary ROC AUC: P(score of a positive > score of a negative), ties count half."""
+def roc_auc(df: DataFrame, y: str, score: str, positive=1, method: str = "exact") -> DataFrame:
+    """Binary ROC AUC: P(score of a positive > score of a negative), ties count half.
+
+    ``method="evaluator"`` uses Spark's BinaryClassificationEvaluator (binned
+    curve, approximate when there are many distinct scores).
+    """
+    if method == "evaluator":
+        from pyspark.ml.evaluation import BinaryClassificationEvaluator
+        data = df.select((F.col(y) == F.lit(positive)).cast("double").alias("_y"),
+                         F.col(score).cast("double").alias("_s"))
+        v = BinaryClassificationEvaluator(rawPredictionCol="_s", labelCol="_y", metricName="areaUnderROC").evaluate(data)
+        return df.sparkSession.createDataFrame([(float(v),)], "roc_auc double")
     pos = (F.col(y) == F.lit(positive)).cast("long")
     by_score = df.groupBy(F.col(score).cast("double").alias("s")).agg(
         F.sum(pos).alias("pos"), F.sum(1 - pos).alias("neg"))
@@ -226,6 +236,15 @@ def silhouette_sq(long: DataFrame, id_col: str, label: str) -> DataFrame:
     return s.agg(F.avg("s").alias("silhouette"))
 
 
+def silhouette_evaluator(df: DataFrame, features_col: str, label: str) -> float:
+    """Spark's ClusteringEvaluator (squared Euclidean silhouette) on a vector
+    column: the built-in large-scale path, same definition as ``silhouette_sq``."""
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    return ClusteringEvaluator(featuresCol=features_col, predictionCol=label,
+                               distanceMeasure="squaredEuclidean").evaluate(
+        df.withColumn(label, F.col(label).cast("double")))
+
+
 def noise_stats(df: DataFrame, label: str, noise=-1) -> DataFrame:
     return df.agg(F.count_if(F.col(label) == noise).cast("long").alias("noise_count"),
                   (F.count_if(F.col(label) == noise) / F.count(F.lit(1)) * 100).alias("noise_percent"))

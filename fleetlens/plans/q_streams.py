@@ -47,6 +47,14 @@ def q_stream_sliding(spark, d):
     return round_doubles(out.withColumn("window_start", F.date_format("window_start", TS_FMT)))
 
 
+@register("stream_sliding_p95")
+def q_stream_sliding_p95(spark, d):
+    """Sliding-window stats with an approximate p95 latency (bounded sketch in state)."""
+    out = ST.run_to_table(ST.sliding_stats(ST.stream_scan(spark, d, "events"), with_p95=True), "sliding_p95",
+                          "complete")
+    return round_doubles(out.withColumn("window_start", F.date_format("window_start", TS_FMT)))
+
+
 @register("stream_alerts_complete",
           f"SELECT strftime({_bucket_sql(60)}, '%Y-%m-%d %H:%M:%S') AS window_start, "
           "count(*) FILTER (WHERE event_type = 'error') AS errors, count(*) AS requests, "

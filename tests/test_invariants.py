@@ -142,3 +142,19 @@ def test_rolling_count_hot_client(spark):
         t = g.ts.values
         for eid, ti in zip(g.event_id, t):
             assert got[eid] == int(((t >= ti - np.timedelta64(600, "s")) & (t <= ti)).sum())
+
+
+def test_fast_paths_agree(spark):
+    from pyspark.ml.feature import VectorAssembler
+    rng = np.random.default_rng(2)
+    pts = np.vstack([rng.normal(c, 0.3, size=(50, 2)) for c in (0, 4)])
+    rows = [(i, int(i >= 50), [float(x) for x in p]) for i, p in enumerate(pts)]
+    df = spark.createDataFrame(rows, "id long, c int, vec array<double>")
+    exact = M.silhouette_sq(M.long_vectors(df, "id", "vec", "c"), "id", "c").first()[0]
+    flat = df.select("id", "c", df.vec[0].alias("a"), df.vec[1].alias("b"))
+    v = VectorAssembler(inputCols=["a", "b"], outputCol="f").transform(flat)
+    assert M.silhouette_evaluator(v, "f", "c") == pytest.approx(exact, rel=1e-6)
+    scores = spark.createDataFrame([(int(i % 2), float(i % 2) + 0.1 * (i % 7)) for i in range(200)], "y int, s double")
+    a = M.roc_auc(scores, "y", "s").first()[0]
+    b = M.roc_auc(scores, "y", "s", method="evaluator").first()[0]
+    assert a == pytest.approx(b, abs=1e-6)
