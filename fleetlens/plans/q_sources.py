@@ -113,14 +113,16 @@ def q_sink_summary(spark, d):
     return back.select(F.col("position").cast("int"), "column", "dtype", "missing", "unique", "total_records")
 
 
-@register("sink_features")
+@register("sink_features",
+          "SELECT o_orderkey, round((o_totalprice - m) / s, 6) AS o_totalprice, CAST(year(o_orderdate) AS INT) "
+          "AS model_year FROM orders, (SELECT avg(o_totalprice) AS m, stddev_pop(o_totalprice) AS s FROM orders)")
 def q_sink_features(spark, d):
     from ..operators.features import scale_standard
     o = table(spark, d, "orders").select("o_orderkey", "o_totalprice", F.year("o_orderdate").alias("model_year"))
     scaled, _ = scale_standard(o, ["o_totalprice"])
     folder = _scratch(spark, "features")
     FS.sink_features(o, scaled, ["o_totalprice", "model_year"], folder)
-    return spark.read.parquet(f"{folder}/scaled")
+    return round_doubles(spark.read.parquet(f"{folder}/scaled"))
 
 
 @register("sink_samples", "SELECT * FROM lineitem ORDER BY md5(concat_ws('|', '42', CAST(l_orderkey AS VARCHAR), "
