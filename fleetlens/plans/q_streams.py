@@ -79,17 +79,32 @@ def q_stream_dedupe(spark, d):
     return out.select("event_id")
 
 
-@register("rate_limit_stateful")
+_RATE_LIMIT_SQL = (
+    "WITH RECURSIVE e AS (SELECT event_id, user_id AS client, ts, row_number() OVER (PARTITION BY user_id "
+    "ORDER BY ts, event_id) AS rn FROM events), "
+    "r AS (SELECT event_id, client, rn, TRUE AS accepted, ts AS last_acc FROM e WHERE rn = 1 "
+    "UNION ALL SELECT e.event_id, e.client, e.rn, "
+    "epoch_us(e.ts) - epoch_us(r.last_acc) >= 3600000000 AS accepted, "
+    "CASE WHEN epoch_us(e.ts) - epoch_us(r.last_acc) >= 3600000000 THEN e.ts ELSE r.last_acc END "
+    "FROM r JOIN e ON e.client = r.client AND e.rn = r.rn + 1) "
+    "SELECT event_id, client, accepted FROM r")
+
+
+@register("rate_limit_stateful", _RATE_LIMIT_SQL)
 def q_rate_limit(spark, d):
-    """Accepted-only limiter (1 accepted request per client per hour) on the event stream."""
+    """Accepted-only limiter (1 accepted request per client per hour) on the event
+    stream. With limit 1 a request is accepted exactly when an hour has passed
+    since the client's last accepted one, which the SQL twin states recursively."""
     sdf = ST.stream_scan(spark, d, "events")
-    return ST.run_to_table(ST.rate_limit_stream(sdf, "user_id", 3600, 1), "ratelimit", "append")
+    out = ST.run_to_table(ST.rate_limit_stream(sdf, "user_id", 3600, 1), "ratelimit", "append")
+    return out.select("event_id", "client", "accepted")
 
 
-@register("rate_limit_replay")
+@register("rate_limit_replay", _RATE_LIMIT_SQL)
 def q_rate_limit_replay(spark, d):
     """Batch twin: weekly slices replayed in order with the limiter state carried."""
-    return ST.rate_limit_replay(table(spark, d, "events"), "user_id", "ts", 3600, 1, slice_seconds=7 * 86400)
+    out = ST.rate_limit_replay(table(spark, d, "events"), "user_id", "ts", 3600, 1, slice_seconds=7 * 86400)
+    return out.select("event_id", "client", "accepted")
 
 
 @register("stream_score")
