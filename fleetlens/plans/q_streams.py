@@ -65,7 +65,12 @@ def q_stream_alerts_complete(spark, d):
     return round_doubles(out.withColumn("window_start", F.date_format("window_start", TS_FMT)))
 
 
-@register("stream_alerts")
+@register("stream_alerts",
+          f"SELECT strftime({_bucket_sql(60)}, '%Y-%m-%d %H:%M:%S') AS window_start, "
+          "count(*) FILTER (WHERE event_type = 'error') AS errors, count(*) AS requests, "
+          "round(count(*) FILTER (WHERE event_type = 'error') / 60.0, 6) AS error_rate FROM events GROUP BY 1 "
+          "HAVING count(*) FILTER (WHERE event_type = 'error') / 60.0 > 0.02 "
+          f"AND max({_bucket_sql(60)}) + INTERVAL 60 SECONDS <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTES")
 def q_stream_alerts(spark, d):
     """Append mode: a window is emitted once the watermark has passed it, so the
     windows of the last watermark delay of the stream stay open."""
