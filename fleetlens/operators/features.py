@@ -21,8 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..session import materialize
-from .lookups import (MAX_LOOKUP_ROWS, bounded_broadcast, flag_in_set, flag_in_top_n, lookup_count, lookup_mean,
-                      lookup_share)
+from .lookups import MAX_LOOKUP_ROWS, bounded_broadcast, flag_in_set, lookup_mean
 
 # Luxury make lists (service list and notebook list).
 LUXURY_SERVICE = ["TESLA", "BMW", "MERCEDES-BENZ", "AUDI", "JAGUAR", "PORSCHE"]

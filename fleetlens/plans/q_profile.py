@@ -9,7 +9,7 @@ from ..operators import profile as P
 from ..roles import vehicles, with_vehicles
 from ..sources.registry import registry_sql, registry_tables
 from ..session import table
-from .registry import money_mean_sql, r6, register, round_doubles
+from .registry import money_mean_sql, register, round_doubles
 
 MEASURES = ["make", "model_year", "electric_range"]
 
