@@ -116,7 +116,7 @@ def _flags(dropped: Column, n: Column) -> Column:
 def drop_frequent_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10,
                         min_chars: int = 1, n_batches: int = 4, fanout: int = 3,
                         work: str = "_line") -> DataFrame:
-    """``docs`` with two structs-worth of columns more: ``{work}_kept`` (text), ``{work}_n``, ``{work}_dropped``.
+    """``docs`` and three columns more: ``{work}_kept`` (text), ``{work}_n`` and ``{work}_dropped`` (lines).
 
     The table is taken as ``n_batches`` batches that arrive one after the other
     (each row's batch is its hash); every batch adds its run before the lines of
@@ -140,9 +140,10 @@ def drop_frequent_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         F.array_join(F.transform(
             F.filter(F.arrays_zip(lines.alias("line"), _flags(F.col("drop"), F.size(lines)).alias("flag")), lambda x: ~x["flag"]),
             lambda x: x["line"]), "\n"))
-    return j.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns], kept.alias(f"{work}_kept"),
-                    F.size(lines).cast("long").alias(f"{work}_n"),
-                    F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias(f"{work}_dropped"))
+    out = F.struct(kept.alias("kept"), F.size(lines).cast("long").alias("n"),
+                   F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("dropped"))
+    return j.select("doc", out.alias("out")).select(
+        "doc.*", *[F.col(f"out.{c}").alias(f"{work}_{c}") for c in ("kept", "n", "dropped")])
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars",

@@ -39,6 +39,7 @@ from itertools import chain
 from operator import itemgetter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -241,8 +242,7 @@ def _run(docs: DataFrame, text_col: str, keep: list[str] | None, n: int, model:
 
 def decode_ids(df: DataFrame, ids_col: str = "ids", out: str = "decoded", model: str = MODEL) -> DataFrame:
     """``df`` plus the text of its ids."""
-    import pandas as pd
-
-    def run(x):
-        return pd.Series([None if i is None else pieces(model).decode(i) for i in x])
-    return df.withColumn(out, F.pandas_udf(run, "string", F.PandasUDFType.SCALAR)(F.col(f"`{ids_col}`")))
+    @F.pandas_udf("string")
+    def run(x: pd.Series) -> pd.Series:
+        return pd.Series([None if i is None else pieces(model).decode(i) for i in x], dtype=object)
+    return df.withColumn(out, run(F.col(f"`{ids_col}`")))
