@@ -50,7 +50,7 @@ HELD_MARK = ""  # stands for a U+2581 of the text itself while spaces are
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 4
 UNKNOWN_LOSS = 10.0
-HELD, LONG = 300_000, 48  # stretches that a worker remembers, and their longest
+HELD, LONG = 200_000, 48  # stretches that a worker remembers, and their longest
 
 
 class Pieces:
@@ -81,7 +81,7 @@ class Pieces:
         inside = f"[{re.escape(bound)}]" if bound else "(?!)"
         crosses = any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.stretch = re.compile(f"(?:{SPACE}|{inside})+|." if crosses else f"{SPACE}*{inside}+|{SPACE}+|.", re.S)
-        self.held: dict[str, tuple] = {}
+        self.held: dict[str, tuple[float, tuple[int, ...], float]] = {}
 
     def n_best(self, s: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The n best ``(score, ids)`` of one stretch, best first.
@@ -141,10 +141,10 @@ class Pieces:
             found.append((total - loss, tuple(ids)))
         return found
 
-    def _search(self, s: str, n: int) -> tuple:
-        """(best score, best ids, loss of the second, all n best) of a stretch; short ones are remembered."""
-        found = self.n_best(s, n)
-        got = (*found[0], found[0][0] - found[1][0] if len(found) > 1 else float("inf"), found)
+    def _search(self, s: str) -> tuple[float, tuple[int, ...], float]:
+        """(best score, best ids, loss of the second) of a stretch; short ones are remembered."""
+        found = self.n_best(s, 2)
+        got = (*found[0], found[0][0] - found[1][0] if len(found) > 1 else float("inf"))
         if len(s) <= LONG:
             if len(self.held) >= HELD:
                 self.held.clear()
@@ -153,24 +153,26 @@ class Pieces:
 
     def segment(self, text: str | None, n: int = N_BEST):
         """``(parts, scores, choices)`` of a whole text: its stretches as searched, the scores of the text's n
-        best, and for each of these the ``{stretch position: rank}`` in which it differs from the best."""
+        best, and for each of these the ``{stretch position: ids}`` in which it differs from the best."""
         if not text:
             return [], [0.0], [{}]
         parts: list[tuple] = []
+        texts: list[str] = []
         get, search = self.held.get, self._search
         for at, raw in enumerate(text.split(SPACE)):
             if at:  # a U+2581 of the text itself, as bytes
-                ids = tuple(self.byte[b] for b in SPACE.encode())
-                parts.append((self.unknown, ids, float("inf"), [(self.unknown, ids)]))
-            marked = (SPACE if not at else "") + raw.replace(" ", SPACE)
-            parts += [get(s) or search(s, n) for s in self.stretch.findall(marked)]
+                parts.append((self.unknown, tuple(self.byte[b] for b in SPACE.encode()), float("inf")))
+                texts.append("")
+            found = self.stretch.findall((SPACE if not at else "") + raw.replace(" ", SPACE))
+            parts += [get(s) or search(s) for s in found]
+            texts += found
         best = sum(map(itemgetter(0), parts))
-        sums: list[tuple[float, dict[int, int]]] = [(0.0, {})]
+        sums: list[tuple[float, dict[int, tuple[int, ...]]]] = [(0.0, {})]
         # of the n best texts none changes a stretch beyond the n - 1 of least second loss
         for least, at in heapq.nsmallest(n - 1, zip(map(itemgetter(2), parts), range(len(parts)))):
             if least < float("inf"):
-                p = parts[at][3]
-                more = [(loss + p[0][0] - p[r][0], {**c, at: r}) for loss, c in sums for r in range(1, len(p))]
+                top, *others = self.n_best(texts[at], n)
+                more = [(loss + top[0] - score, {**c, at: ids}) for loss, c in sums for score, ids in others]
                 sums = sorted(sums + more, key=itemgetter(0))[:n]
         return parts, [best - loss for loss, _ in sums], [c for _, c in sums]
 
@@ -182,7 +184,7 @@ class Pieces:
     def encode_n_best(self, text: str | None, n: int = N_BEST) -> list[tuple[float, list[int]]]:
         """The n best segmentations in full."""
         parts, scores, choices = self.segment(text, n)
-        return [(s, [i for at, p in enumerate(parts) for i in p[3][c.get(at, 0)][1]]) for s, c in zip(scores, choices)]
+        return [(s, [i for at, p in enumerate(parts) for i in c.get(at, p[1])]) for s, c in zip(scores, choices)]
 
     def decode(self, ids) -> str:
         """The text of a sequence of ids (without the space that encoding puts first)."""

@@ -43,7 +43,7 @@ MAX_TRAIN, MAX_TERMS, CHI = 16384, 4096, 30.0
 K, BLOCK, SOFT, EVIDENCE = 16, 64, 0.05, 3
 BEGINNINGS = range(3, 8)
 WORD = re.compile(r"\w+")
-HELD = 500_000  # words whose terms a worker remembers, partial counts it holds
+HELD = 200_000  # words whose terms a worker remembers, partial counts it holds
 
 
 def terms_of(word: str) -> list[str]:
@@ -230,7 +230,7 @@ def score(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", learn: C
             for i, t, f in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 key = (i if i in voters else None, tuple(t), tuple(f))
                 if key not in same:
-                    if len(same) > HELD // 5:
+                    if len(same) > HELD // 4:
                         same.clear()
                     same[key] = m.score(i, np.array(t, np.int64), f, k)
                 out.append(same[key])
