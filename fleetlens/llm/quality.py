@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 BITS = 18
 MASK = (1 << BITS) - 1
-MAX_TRAIN = 16384
+MAX_TRAIN = 8192
 EPOCHS = 3
 
 _SHAPE = bytes(32 if b in b" \t\n\x0b\x0c\r" else 97 if 97 <= b <= 122 or b >= 128 else 65 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else b
@@ -66,7 +66,7 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 
 def train(rows, alpha: float = 2.0, beta: float = 1.0, l1: float = 0.05, l2: float = 0.1, epochs: int = EPOCHS):
     """FTRL-proximal over ``(text, label)`` rows, in their order; returns (weights, bias)."""
-    data = [(*features(t), float(y)) for t, y in rows]
+    data = [(i.astype(np.int32), v.astype(np.float32), float(y)) for t, y in rows for i, v in [features(t)]]
     z, n = np.zeros(MASK + 2), np.zeros(MASK + 2)
     for _ in range(epochs if data else 0):
         for index, value, y in data:
