@@ -12,8 +12,9 @@ segmentations. A code point that no single piece covers gets a place of its own,
 at a score below every piece, and is written as byte pieces.
 
 No piece crosses from one stretch to the next where the model allows none: before
-U+2581 after another character (if no piece has that), and around characters that
-only single pieces hold. A text's lattice is the chain of its stretches' lattices;
+U+2581 after another character (if no piece has that), around characters that
+only single pieces hold, and between letters and marks that are never side by side
+in a piece. A text's lattice is the chain of its stretches' lattices;
 each stretch is searched once and remembered by the worker, and the text's N-best
 are the least sums of the stretches' losses against their best.
 
@@ -29,6 +30,7 @@ remembers a bounded number of short stretches; others are searched again.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import re
@@ -50,7 +52,7 @@ HELD_MARK = ""  # stands for a U+2581 of the text itself while spaces are
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 4
 UNKNOWN_LOSS = 10.0
-HELD, LONG = 200_000, 48  # stretches that a worker remembers, and their longest
+HELD, LONG = 250_000, 48  # half the stretches that a worker remembers, and their longest
 
 
 class Pieces:
@@ -77,21 +79,20 @@ class Pieces:
             for c in p:
                 node = node.setdefault(c, {})
             node[""] = (i, self.scores[i])
-        bound = "".join(sorted({c for p in self.ids if len(p) > 1 for c in p} - {SPACE}))
-        inside = f"[{re.escape(bound)}]" if bound else "(?!)"
-        crosses = any(SPACE in p.lstrip(SPACE) for p in self.ids)
-        self.stretch = re.compile(f"(?:{SPACE}|{inside})+|." if crosses else f"{SPACE}*{inside}+|{SPACE}+|.", re.S)
+        bound = {c for p in self.ids if len(p) > 1 for c in p} - {SPACE}
+        beside = {(x, y) for p in self.ids for x, y in zip(p, p[1:])}
+        mixed = {c for x, y in beside if x.isalpha() != y.isalpha() for c in (x, y)}
+        marks = {c for c in bound if not c.isalpha()} - mixed  # never beside a letter in a piece
+        runs = [f"[{re.escape(''.join(sorted(x)))}]" for x in (bound - marks, marks) if x]
+        if any(SPACE in p.lstrip(SPACE) for p in self.ids):
+            self.stretch = re.compile(f"(?:{'|'.join([SPACE, *runs])})+|.", re.S)
+        else:
+            self.stretch = re.compile("|".join([*(f"{SPACE}*{r}+" for r in runs), f"{SPACE}+", "."]), re.S)
         self.held: dict[str, tuple[float, tuple[int, ...], float]] = {}
+        self.before: dict[str, tuple[float, tuple[int, ...], float]] = {}
 
-    def n_best(self, s: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The n best ``(score, ids)`` of one stretch, best first.
-
-        Forward: every way a piece ends at a position, and the best score there.
-        Backward: a path's bound is its score so far plus the best score of what
-        is left, so its loss against the best path is known when it leaves the
-        best way; along the best way the bound does not change. The queue holds
-        as many paths as are still wanted.
-        """
+    def _forward(self, s: str):
+        """Per position every ``(score, start, piece)`` that ends there, and the best of them."""
         size, trie, unknown = len(s), self.trie, self.unknown
         ends: list[list[tuple[float, int, int]]] = [[] for _ in range(size + 1)]
         best: list[tuple[float, int, int]] = [(float("-inf"), 0, 0)] * (size + 1)
@@ -99,15 +100,16 @@ class Pieces:
         for i in range(size):
             here = best[i][0]
             node, j, single = trie, i, False
-            while j < size:
-                node = node.get(s[j])
+            for c in s[i:]:
+                node = node.get(c)
                 if node is None:
                     break
                 j += 1
-                if "" in node:
-                    piece, score = node[""]
-                    single = single or j == i + 1
-                    way = (here + score, i, piece)
+                got = node.get("")
+                if got is not None:
+                    if j == i + 1:
+                        single = True
+                    way = (here + got[1], i, got[0])
                     ends[j].append(way)
                     if way[0] > best[j][0]:
                         best[j] = way
@@ -116,8 +118,31 @@ class Pieces:
                 ends[i + 1].append(way)
                 if way[0] > best[i + 1][0]:
                     best[i + 1] = way
-        total, found, order = best[size][0], [], 0
-        queue: list[tuple] = [(0.0, 0, size, None)]  # (loss, order, position, rest of the path), sorted
+        return ends, best
+
+    def _ids(self, s: str, rest) -> tuple[int, ...]:
+        """Ids of a path of nested ``(start, piece, rest)``."""
+        ids: list[int] = []
+        while rest is not None:
+            at, piece, rest = rest
+            if piece >= 0:
+                ids.append(piece)
+            else:
+                ids += [self.byte[b] for b in s[at].encode("utf-8", "surrogatepass")]
+        return tuple(ids)
+
+    def n_best(self, s: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
+        """The n best ``(score, ids)`` of one stretch, best first.
+
+        Forward: every way a piece ends at a position, and the best score there.
+        Backward: a path's bound is its score so far plus the best score of what
+        is left, so its loss against the best path is known when it leaves the
+        best way; along the best way the bound does not change. The queue holds
+        as many paths as are still wanted.
+        """
+        ends, best = self._forward(s)
+        total, found, order = best[-1][0], [], 0
+        queue: list[tuple] = [(0.0, 0, len(s), None)]  # (loss, order, position, rest of the path), sorted
         while queue and len(found) < n:
             loss, _, j, rest = queue.pop(0)
             want = n - len(found) - 1
@@ -131,26 +156,35 @@ class Pieces:
                             insort(queue, (at, order, way[1], (way[1], way[2], rest)))
                             del queue[want:]
                 rest, j = (top[1], top[2], rest), top[1]
-            ids: list[int] = []
-            while rest is not None:
-                at, piece, rest = rest
-                if piece >= 0:
-                    ids.append(piece)
-                else:
-                    ids += [self.byte[b] for b in s[at].encode("utf-8", "surrogatepass")]
-            found.append((total - loss, tuple(ids)))
+            found.append((total - loss, self._ids(s, rest)))
         return found
 
     def _search(self, s: str) -> tuple[float, tuple[int, ...], float]:
         """(best score, best ids, loss of the second) of a stretch; short ones are remembered."""
-        found = self.n_best(s, 2)
-        got = (*found[0], found[0][0] - found[1][0] if len(found) > 1 else float("inf"))
+        return self._remember(s, self.before.get(s) or self._best(s))
+
+    def _remember(self, s: str, got: tuple) -> tuple[float, tuple[int, ...], float]:
         if len(s) <= LONG:
-            if len(self.held) >= HELD:
+            if len(self.held) >= HELD:  # the older half goes; what is still in use comes back from it
+                self.before = dict(self.held)
                 self.held.clear()
             self.held[s] = got
         return got
 
+    def _best(self, s: str) -> tuple[float, tuple[int, ...], float]:
+        """The best path by Viterbi; the second's loss is the bound at the head of the
+        backward search's queue once the best path has left it."""
+        ends, best = self._forward(s)
+        least, rest, j = float("inf"), None, len(s)
+        while j:
+            top = best[j]
+            if len(ends[j]) > 1:
+                for way in ends[j]:
+                    if way is not top and top[0] - way[0] < least:
+                        least = top[0] - way[0]
+            rest, j = (top[1], top[2], rest), top[1]
+        return best[-1][0], self._ids(s, rest), least
+
     def segment(self, text: str | None, n: int = N_BEST):
         """``(parts, scores, choices)`` of a whole text: its stretches as searched, the scores of the text's n
         best, and for each of these the ``{stretch position: ids}`` in which it differs from the best."""
@@ -231,12 +265,16 @@ def _run(docs: DataFrame, text_col: str, keep: list[str] | None, n: int, model:
 
     def run(batches: Iterator[pa.RecordBatch]):
         m = pieces(model)
-        for b in batches:
-            for lo in range(0, b.num_rows, 256):  # ids are many times larger than texts: small batches out
-                part = b.slice(lo, 256)
-                got = [_one(m, t.as_py(), n, full) for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array([g[k] for g in got], t) for k, (_, _, t) in enumerate(own)]],
-                                                 names=["row", *[a for a, _, _ in own]])
+        gc.disable()  # no cycles are made here, and passes over the remembered stretches cost a tenth of the time
+        try:
+            for b in batches:
+                for lo in range(0, b.num_rows, 256):  # ids are many times larger than texts: small batches out
+                    part = b.slice(lo, 256)
+                    got = [_one(m, t.as_py(), n, full) for t in part.column(1)]
+                    yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array([g[k] for g in got], t) for k, (_, _, t) in enumerate(own)]],
+                                                     names=["row", *[a for a, _, _ in own]])
+        finally:
+            gc.enable()
 
     out = rows.mapInArrow(run, schema)
     return out.select("row.*", *[a for a, _, _ in own])
