@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import row_keys, stored, words_count
 
 WEIGHTS = (5, 2, 1)
-MAX_SOURCES = 1_000_000
+MAX_SOURCES = 100_000
 #: Marks of markup and noise; their share lowers a document's quality weight.
 SYMBOLS = "#$%&*|!<>{}[]~^_=+\\@"
 
@@ -96,7 +96,8 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
         epochs = int(t // size) if size else 0
         plan.append((r["source"], size, float(t), epochs, int(t - epochs * size)))
     mix = spark.createDataFrame(plan, "source string, source_size long, target double, epochs long, budget long")
-    w = rows.alias("d").join(mix.alias("m"), F.col("d.source").eqNullSafe(F.col("m.source"))).select(
+    # one row per source, MAX_SOURCES at most: rows stay where they are, however large their source
+    w = rows.alias("d").join(F.broadcast(mix).alias("m"), F.col("d.source").eqNullSafe(F.col("m.source"))).select(
         "d.*", "m.source_size", "m.target", "m.epochs", "m.budget",
         F.floor(F.lit(n_bins) * (1 - F.exp(-F.col("key")))).cast("int").alias("bin"))
     bins = w.groupBy("source", "bin", "budget").agg(F.sum("size").alias("words"))
@@ -106,7 +107,7 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     cut = (bins.where((F.col("before") <= F.col("budget")) & (F.col("before") + F.col("words") > F.col("budget")))
            .select(F.col("source").alias("s"), F.col("bin").alias("cut"), "before"))
     cut = stored(cut, "mix-cut")
-    w = w.join(cut, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    w = w.join(F.broadcast(cut), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     at_cut = w.where(F.col("bin") == F.col("cut"))
     run = Window.partitionBy("source").orderBy("key", "id", "r1", "r2", "row").rowsBetween(Window.unboundedPreceding, -1)
     at_cut = at_cut.withColumn("start", F.col("before") + F.coalesce(F.sum("size").over(run), F.lit(0)))
