@@ -9,8 +9,8 @@ within eps, so:
 * a point is core when its cell block (the 3^d cells around it) holds at
   least ``min_samples`` points (a count per cell, then a sum over the block);
 * core cells one step apart are connected; clusters are the connected
-  components of the core-cell graph, found by min-label propagation
-  (one join + groupBy per round, checkpointed);
+  components of the core-cell graph, found by min-label propagation with
+  pointer jumping (checkpointed rounds, until no label changes);
 * a non-core point joins the cluster of a core cell in its block (smallest
   label), otherwise it is noise (-1).
 
@@ -37,10 +37,12 @@ def _offsets(d: int):
     return [list(o) for o in itertools.product((-1, 0, 1), repeat=d)]
 
 
-def grid_density_clusters(df: DataFrame, id_col: str, features, eps: float = 0.5, min_samples: int = 5,
-                          max_rounds: int = 200) -> DataFrame:
+def grid_density_clusters(df: DataFrame, id_col: str, features, eps: float = 0.5, min_samples: int = 5) -> DataFrame:
     """(id, cluster) with cluster = -1 for noise; labels are the smallest cell
-    id (as text) of each component, then renumbered 0..k-1 by that order."""
+    id (as text) of each component, then renumbered 0..k-1 by that order.
+
+    At most 3 features (3^d neighbour cells per cell); a row with a null
+    feature is noise."""
     feats = list(features)
     d = len(feats)
     if d > 3:
@@ -68,10 +70,17 @@ def grid_density_clusters(df: DataFrame, id_col: str, features, eps: float = 0.5
 
     labels = core_cells.select("_cell", F.col("_cell").alias("_lab"))
     labels = materialize(labels)
-    for _ in range(max_rounds):
+    while True:
         prop = (edges.join(labels, "_cell").groupBy("_dst").agg(F.min("_lab").alias("_new"))
                 .withColumnRenamed("_dst", "_cell"))
-        nxt = materialize(labels.join(prop, "_cell").select("_cell", F.least("_lab", "_new").alias("_lab")))
+        low = labels.join(prop, "_cell").select("_cell", F.least("_lab", "_new").alias("_lab"))
+        # every label is itself a cell of the same component: hook the label's own
+        # cell under the smaller label seen below it, then jump to the label's label
+        hook = low.join(labels.withColumnRenamed("_lab", "_old"), "_cell").groupBy(F.col("_old").alias("_cell")).agg(
+            F.min("_lab").alias("_hook"))
+        low = materialize(low.join(hook, "_cell", "left").select("_cell", F.least("_lab", F.coalesce("_hook", "_lab")).alias("_lab")))
+        jump = low.select(F.col("_cell").alias("_lab"), F.col("_lab").alias("_far"))
+        nxt = materialize(low.join(jump, "_lab").select("_cell", F.least("_lab", "_far").alias("_lab")))
         changed = nxt.join(labels.withColumnRenamed("_lab", "_old"), "_cell").where(
             F.col("_lab") != F.col("_old")).limit(1).count()
         labels = nxt

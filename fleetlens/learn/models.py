@@ -14,6 +14,10 @@ objectives differ, parameters are mapped so the same problem is solved:
 
 Training reads the data through Spark ML's own distributed passes (tree
 statistics, L-BFGS / normal-equation aggregates); nothing is collected.
+
+Rows with a null feature (or label) cannot train: ``fit_*`` leaves them out
+visibly (``FittedModel.dropped`` counts them). Scoring returns every input
+row; a row with a null feature has a null prediction.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
                                        MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier)
-from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
+from pyspark.ml.feature import IndexToString, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, LinearRegression,
                                    RandomForestRegressor)
@@ -35,7 +39,7 @@ from pyspark.sql import functions as F
 
 CLASSIFIER_KINDS = ["decision_tree", "random_forest", "gradient_boosting", "xgboost", "logistic_regression",
                     "neural_network"]
-REGRESSOR_KINDS = ["linear_regression", "ridge", "lasso", "random_forest", "gradient_boosting", "svr",
+REGRESSOR_KINDS = ["linear_regression", "ridge", "lasso", "random_forest", "gradient_boosting", "xgboost", "svr",
                    "decision_tree"]
 
 
@@ -48,13 +52,25 @@ class FittedModel:
     classification: bool
     labels: list = field(default_factory=list)
     extra: dict = field(default_factory=dict)
+    dropped: int = 0
 
     def transform(self, df: DataFrame) -> DataFrame:
-        df = _add_rff(df, self.extra["rff"]) if "rff" in self.extra else df
-        out = self.model.transform(df)
+        """Every row of ``df`` with its prediction; null where a feature is null or NaN."""
+        complete = F.lit(True)
+        for f in self.features:
+            v = F.col(f"`{f}`").cast("double")
+            complete = complete & v.isNotNull() & ~F.isnan(v)
+        filled = df.withColumn("_complete", F.coalesce(complete, F.lit(False)))
+        # the assembler sees zeros in incomplete rows; their predictions are blanked below
+        row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
+        zeros = [F.when(F.col("_complete"), F.col(f"`{f}`")).otherwise(F.lit(0)).cast("double").alias(f) for f in self.features]
+        x = filled.select(row, "_complete", *zeros)
+        x = _add_rff(x, self.extra["rff"]) if "rff" in self.extra else x
+        out = self.model.transform(x)
         if self.classification and "probability" in out.columns:
             out = out.withColumn("probabilities", vector_to_array("probability"))
-        return out
+        made = [c for c in ("prediction", "predicted_label", "probabilities") if c in out.columns]
+        return out.select("_row.*", *[F.when(F.col("_complete"), F.col(c)).alias(c) for c in made])
 
 
 def _classifier(kind: str, n_features: int, n_classes: int, n_rows: int, p: dict):
@@ -74,7 +90,7 @@ def _classifier(kind: str, n_features: int, n_classes: int, n_rows: int, p: dict
     if kind == "logistic_regression":
         c = p.get("C", 1.0)
         return LogisticRegression(maxIter=p.get("max_iter", 1000), regParam=1.0 / (c * max(n_rows, 1)),
-                                  elasticNetParam=0.0)
+                                  elasticNetParam=0.0, standardization=False)
     if kind == "neural_network":
         hidden = p.get("hidden", [16])
         return MultilayerPerceptronClassifier(layers=[n_features, *hidden, max(n_classes, 2)],
@@ -87,31 +103,45 @@ def fit_classifier(train: DataFrame, features, label: str, kind: str = "random_f
     """Fit one classifier; a fresh estimator per call (no state shared between fits)."""
     params = dict(params or {})
     features = list(features)
-    stats = train.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(label).alias("k")).first()
-    indexer = StringIndexer(inputCol=label, outputCol="label_idx", stringOrderType="alphabetAsc",
-                            handleInvalid="keep")
-    asm = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip")
-    est = _classifier(kind, len(features), stats["k"], stats["n"], params)
+    train, total = _complete(train.select(*dict.fromkeys([*features, label])), [*features, label])
+    # one grouped count gives the rows, the classes and their order
+    counts = train.groupBy(F.col(f"`{label}`").cast("string").alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()
+    labels = sorted(r["y"] for r in counts)
+    n_rows = sum(r["n"] for r in counts)
+    asm = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="error")
+    est = _classifier(kind, len(features), len(labels), n_rows, params)
     est.setFeaturesCol("features").setLabelCol("label_idx")
-    idx_model = indexer.fit(train)
-    labels = list(idx_model.labels)
+    idx_model = StringIndexerModel.from_labels(labels, inputCol=label, outputCol="label_idx", handleInvalid="error")
+    train = train.withColumn(label, F.col(f"`{label}`").cast("string"))
     back = IndexToString(inputCol="prediction", outputCol="predicted_label", labels=labels)
     # the estimator passes over (features, label) only: assemble once, keep that
     prepared = _persist(asm.transform(idx_model.transform(train)).select("features", "label_idx"), kind)
     fitted = est.fit(prepared)
     if kind in TREE_KINDS:
         prepared.unpersist()
-    model = PipelineModel(stages=[idx_model, asm, fitted, back])
-    return FittedModel(kind, model, features, label, True, labels)
+    model = PipelineModel(stages=[asm, fitted, back])
+    return FittedModel(kind, model, features, label, True, labels, dropped=total - n_rows)
+
+
+def _complete(train: DataFrame, cols) -> tuple[DataFrame, int]:
+    """Rows without null or NaN in ``cols``, and the number of all rows."""
+    total = train.count()
+    keep = F.lit(True)
+    numeric = {f.name for f in train.schema.fields if f.dataType.simpleString() in ("double", "float")}
+    for c in cols:
+        keep = keep & F.col(f"`{c}`").isNotNull() & (~F.isnan(F.col(f"`{c}`")) if c in numeric else F.lit(True))
+    return train.where(keep), total
 
 
 def spread(df: DataFrame) -> DataFrame:
     """Spread the (features, label) rows evenly before an estimator's many
     passes: upstream partitioning (AQE-coalesced shuffles, windows keyed by a
     few classes) can leave most cores idle for the whole training. One
-    round-robin shuffle, into at least one partition per core."""
-    par = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(max(par, df.rdd.getNumPartitions()))
+    round-robin shuffle, into as many partitions as the cluster has cores or
+    the session's shuffles have, whichever is more (both are settings: looking
+    at the frame's own partitions would run its upstream stages)."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
 TREE_KINDS = {"decision_tree", "random_forest", "gradient_boosting", "xgboost"}
@@ -162,11 +192,13 @@ def fit_regressor(train: DataFrame, features, label: str, kind: str = "linear_re
     seed = params.get("seed", 42)
     extra: dict = {}
     cols = features
+    train, total = _complete(train.select(*[F.col(f"`{f}`").cast("double").alias(f) for f in dict.fromkeys([*features, label])]),
+                             [*features, label])
+    n_rows = train.count()
     if kind == "linear_regression":
         est = LinearRegression(solver="normal", regParam=0.0)
     elif kind == "ridge":
-        n = train.count()
-        est = LinearRegression(solver="normal", regParam=params.get("alpha", 1.0) / max(n, 1), elasticNetParam=0.0,
+        est = LinearRegression(solver="normal", regParam=params.get("alpha", 1.0) / max(n_rows, 1), elasticNetParam=0.0,
                                standardization=False)
     elif kind == "lasso":
         est = LinearRegression(regParam=params.get("alpha", 1.0), elasticNetParam=1.0, standardization=False,
@@ -174,9 +206,10 @@ def fit_regressor(train: DataFrame, features, label: str, kind: str = "linear_re
     elif kind == "random_forest":
         est = RandomForestRegressor(numTrees=params.get("n_estimators", 100), maxDepth=params.get("max_depth", 10),
                                     minInstancesPerNode=params.get("min_samples_leaf", 2), seed=seed)
-    elif kind == "gradient_boosting":
-        est = GBTRegressor(maxIter=params.get("n_estimators", 100), stepSize=params.get("learning_rate", 0.1),
-                           maxDepth=params.get("max_depth", 3), seed=seed)
+    elif kind in ("gradient_boosting", "xgboost"):
+        depth, rate = (3, 0.1) if kind == "gradient_boosting" else (6, 0.3)
+        est = GBTRegressor(maxIter=params.get("n_estimators", 100), stepSize=params.get("learning_rate", rate),
+                           maxDepth=params.get("max_depth", depth), seed=seed)
     elif kind == "decision_tree":
         est = DecisionTreeRegressor(maxDepth=params.get("max_depth", 10), seed=seed)
     elif kind == "svr":
@@ -190,21 +223,21 @@ def fit_regressor(train: DataFrame, features, label: str, kind: str = "linear_re
         extra["rff"] = {"features": features, "comps": comps, "means": means, "stds": stds}
         train = _add_rff(train, extra["rff"])
         cols = [f"_rff{i}" for i in range(len(comps))]
-        est = LinearRegression(loss="huber", regParam=1.0 / (params.get("C", 1.0) * max(train.count(), 1)),
+        est = LinearRegression(loss="huber", regParam=1.0 / (params.get("C", 1.0) * max(n_rows, 1)),
                                maxIter=200)
     else:
         raise ValueError(f"unknown regressor {kind}")
-    asm = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="skip")
+    asm = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="error")
     est.setFeaturesCol("features").setLabelCol(label)
     prepared = _persist(asm.transform(train).select("features", F.col(label).cast("double").alias(label)), kind)
     fitted = est.fit(prepared)
     if kind in TREE_KINDS:
         prepared.unpersist()
-    return FittedModel(kind, PipelineModel(stages=[asm, fitted]), features, label, False, extra=extra)
+    return FittedModel(kind, PipelineModel(stages=[asm, fitted]), features, label, False, extra=extra, dropped=total - n_rows)
 
 
-def feature_importance(fm: FittedModel, top: int = 10) -> list[tuple[str, float]]:
-    """Tree importances, or |coefficients| for linear models; sorted, top n."""
+def feature_importance(fm: FittedModel, top: int | None = None) -> list[tuple[str, float]]:
+    """Tree importances, or |coefficients| for linear models; sorted, all features (or the ``top`` first)."""
     est = fm.model.stages[-2] if fm.classification else fm.model.stages[-1]
     names = fm.features if "rff" not in fm.extra else [f"_rff{i}" for i in range(len(fm.extra["rff"]["comps"]))]
     if hasattr(est, "featureImportances"):

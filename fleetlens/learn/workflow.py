@@ -57,20 +57,22 @@ def cross_validate(df: DataFrame, key_cols, features, label: str, kind: str, cla
     return {"metric": metric, "scores": scores, "mean": statistics.fmean(scores), "std": statistics.pstdev(scores)}
 
 
-def param_grid(grid: dict, max_draws: int = 20, seed: int = 42) -> list[dict]:
-    """Full grid for <= 3 parameters, else ``max_draws`` seeded random draws."""
+def param_grid(grid: dict, search: str = "grid", n_iter: int = 20, seed: int = 42) -> list[dict]:
+    """All combinations (``grid``), or ``n_iter`` seeded draws of them without repeats (``random``)."""
     keys = sorted(grid)
     combos = [dict(zip(keys, vals)) for vals in itertools.product(*[grid[k] for k in keys])]
-    if len(grid) > 3 and len(combos) > max_draws:
-        combos = random.Random(seed).sample(combos, max_draws)
+    if search == "random":
+        return random.Random(seed).sample(combos, min(n_iter, len(combos)))
+    if search != "grid":
+        raise ValueError(f"unknown search {search}")
     return combos
 
 
 def tune(df: DataFrame, key_cols, features, label: str, kind: str, grid: dict, classification: bool = True,
-         folds: int = 5, seed: int = 42) -> list[dict]:
-    """Grid (or random) search with k-fold CV; rows sorted best first (ties: grid order)."""
+         folds: int = 5, seed: int = 42, search: str = "grid", n_iter: int = 20) -> list[dict]:
+    """Grid or random search with k-fold CV; rows sorted best first (ties: grid order)."""
     results = []
-    for i, params in enumerate(param_grid(grid, seed=seed)):
+    for i, params in enumerate(param_grid(grid, search, n_iter, seed)):
         cv = cross_validate(df, key_cols, features, label, kind, classification, folds, seed, params)
         results.append({"order": i, "params": params, "mean": cv["mean"], "std": cv["std"]})
     return sorted(results, key=lambda r: (-r["mean"], r["order"]))
@@ -133,8 +135,8 @@ METRIC_SCHEMA = "run_id string, key string, value double, step int"
 def train_and_log(spark: SparkSession, store: str, experiment: str, train: DataFrame, test: DataFrame, features,
                   label: str, kind: str, classification: bool, params: dict | None = None,
                   run_id: str | None = None) -> dict:
-    """Train, evaluate and append the run, its parameters (JSON text cut at 250
-    characters) and metrics as rows of three Parquet tables under ``store``."""
+    """Train, evaluate and append the run, its parameters (JSON text) and
+    metrics as rows of three Parquet tables under ``store``."""
     t0 = time.time()
     fm = _fit(kind, train, features, label, classification, params)
     metrics = evaluate(fm, test)
@@ -144,7 +146,7 @@ def train_and_log(spark: SparkSession, store: str, experiment: str, train: DataF
     p.update({"features": features, "label": label})
     spark.createDataFrame([(run_id, experiment, kind, int(t0), dur, "FINISHED")], RUN_SCHEMA) \
         .write.mode("append").parquet(f"{store}/runs")
-    spark.createDataFrame([(run_id, k, json.dumps(v)[:250]) for k, v in sorted(p.items())], PARAM_SCHEMA) \
+    spark.createDataFrame([(run_id, k, json.dumps(v)) for k, v in sorted(p.items())], PARAM_SCHEMA) \
         .write.mode("append").parquet(f"{store}/run_params")
     spark.createDataFrame([(run_id, k, float(v), 0) for k, v in sorted(metrics.items()) if v is not None],
                           METRIC_SCHEMA).write.mode("append").parquet(f"{store}/run_metrics")
@@ -162,13 +164,18 @@ def score_batch(fm: FittedModel, df: DataFrame) -> DataFrame:
 
 
 def save_model(fm: FittedModel, path: str) -> None:
-    fm.model.write().overwrite().save(path)
-
-
-def load_model(path: str, like: FittedModel) -> FittedModel:
-    """Reload the pipeline saved by ``save_model`` (metadata from ``like``)."""
-    return FittedModel(like.kind, PipelineModel.load(path), like.features, like.label, like.classification,
-                       like.labels, like.extra)
+    """The fitted pipeline and, beside it, what is needed to use it in another process."""
+    fm.model.write().overwrite().save(f"{path}/pipeline")
+    about = {"kind": fm.kind, "features": fm.features, "label": fm.label, "classification": fm.classification,
+             "labels": fm.labels, "extra": fm.extra, "dropped": fm.dropped}
+    spark = SparkSession.getActiveSession()
+    spark.createDataFrame([(json.dumps(about),)], "about string").write.mode("overwrite").parquet(f"{path}/about")
+
+
+def load_model(path: str) -> FittedModel:
+    """A model saved by ``save_model``."""
+    about = json.loads(SparkSession.getActiveSession().read.parquet(f"{path}/about").first()["about"])
+    return FittedModel(model=PipelineModel.load(f"{path}/pipeline"), **about)
 
 
 def compare_models(metrics_long: DataFrame, model_col: str, metric_col: str, value_col: str) -> DataFrame:

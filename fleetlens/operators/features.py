@@ -6,22 +6,21 @@ Scale notes:
 * encoders keep their category table as a DataFrame; transform is an
   equi-join on the category, broadcast only after the table is proven small;
 * splits and folds need a row's exact rank inside its class. ``rank_within``
-  computes it without one task per class: rows are spread over hash buckets,
-  bucket sizes give offsets (a small window per class), and row_number runs
-  inside each (class, bucket) of bounded size.
+  computes it without one task per class: rows are cut into ranges of the
+  order value, range counts give offsets (a small window per class), and
+  row_number runs inside each (class, range).
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..session import materialize
-from .lookups import MAX_LOOKUP_ROWS, bounded_broadcast, flag_in_set, lookup_mean
+from .lookups import bounded_broadcast, flag_in_set, lookup_mean
 
 # Luxury make lists (service list and notebook list).
 LUXURY_SERVICE = ["TESLA", "BMW", "MERCEDES-BENZ", "AUDI", "JAGUAR", "PORSCHE"]
@@ -73,7 +72,7 @@ def notebook_features(df: DataFrame, make="Make", model="Model", year="Model Yea
 
     def part(k):
         t = stats.where((F.col("gid") == gid[k]) & F.col(k).isNotNull()).select(k, "n", "mean_v")
-        return F.broadcast(t) if t.count() <= MAX_LOOKUP_ROWS else t
+        return bounded_broadcast(t)
 
     city_t = part("k_city")
     top = city_t.orderBy(F.desc("n"), F.asc("k_city")).limit(top_cities).select(
@@ -207,6 +206,15 @@ def outliers_zscore(df: DataFrame, col: str, threshold: float = 3.0, out: str =
     return df.withColumn(out, F.coalesce(z > threshold, F.lit(False)))
 
 
+def _nsjoin(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on ``keys`` where null matches null."""
+    r = right.select(*[F.col(f"`{k}`").alias(f"__r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(f"`{k}`").eqNullSafe(F.col(f"`__r_{k}`"))
+    return left.join(r, cond).drop(*[f"__r_{k}" for k in keys])
+
+
 def hash_order(cols, seed: int = 42) -> Column:
     """A 60-bit integer from md5(seed|cols), reproducible in any SQL engine."""
     txt = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols])
@@ -221,24 +229,27 @@ def rank_within(df: DataFrame, groups, order: str, rows_per_bucket: int = 200_00
     Each group is cut into ceil(n / rows_per_bucket) equal-width ranges of the
     order value; bucket counts give each bucket's offset (a window over
     buckets, not rows), and row_number runs inside each (group, bucket) only.
-    The input is persisted (memory, spilling to disk) because the group sizes,
-    the bucket counts and the ranking all read it; upstream work runs once.
+    The input is written as a checkpoint because the group sizes, the bucket
+    counts and the ranking all read it; upstream work runs once.
     ``keep_size`` keeps the group size as a column of that name.
+
+    No row is lost: null group values are a group of their own, and rows with a
+    null order value rank first in their group, in a bucket of their own.
     """
     groups = list(groups)
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    df = materialize(df)
     sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_gn"), F.min(order).alias("_lo"),
                                     F.max(order).alias("_hi"))
     nb = F.greatest(F.lit(1), F.ceil(F.col("_gn") / F.lit(rows_per_bucket)))
-    sized = df.join(sizes.select(*groups, "_gn", nb.alias("_nb"), "_lo", "_hi"), groups, "inner")
+    sized = _nsjoin(df, bounded_broadcast(materialize(sizes.select(*groups, "_gn", nb.alias("_nb"), "_lo", "_hi"))), groups)
     rel = (F.col(order) - F.col("_lo")).cast("double") / (F.col("_hi") - F.col("_lo")).cast("double")
-    bucket = F.when(F.col("_hi") == F.col("_lo"), F.lit(0)).otherwise(
+    bucket = F.when(F.col(order).isNull(), F.lit(-1)).when(F.col("_hi") == F.col("_lo"), F.lit(0)).otherwise(
         F.least(F.floor(rel * F.col("_nb")), F.col("_nb") - 1))
     sized = sized.withColumn("_bucket", bucket.cast("long"))
     bcounts = sized.groupBy(*groups, "_bucket").agg(F.count(F.lit(1)).alias("_bn"))
     w = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = bcounts.select(*groups, "_bucket", F.coalesce(F.sum("_bn").over(w), F.lit(0)).alias("_off"))
-    ranked = sized.join(offsets, groups + ["_bucket"], "inner")
+    ranked = _nsjoin(sized, bounded_broadcast(materialize(offsets)), groups + ["_bucket"])
     rw = Window.partitionBy(*groups, "_bucket").orderBy(order, *tiebreak)
     ranked = ranked.withColumn(out, F.col("_off") + F.row_number().over(rw) - 1)
     if keep_size:

@@ -69,7 +69,8 @@ def bucket_quantile(df: DataFrame, ts: str, value: str, q: float = 0.95, size: s
                     bounds=LATENCY_BUCKETS) -> DataFrame:
     """histogram_quantile: the q-quantile read from cumulative bucket counts,
     interpolating linearly inside the bucket; the +Inf bucket returns the
-    highest finite bound, the first bucket starts at 0."""
+    highest finite bound, the first bucket starts at 0. Null values are not counted."""
+    df = df.where(F.col(value).isNotNull())
     bounds = list(bounds)
     idx = F.lit(len(bounds))
     for i in reversed(range(len(bounds))):

@@ -16,27 +16,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast-hint ``df`` only if it has at most ``max_rows`` rows.
+MAX_LOOKUP_ROWS = 2_000_000
+MAX_BROADCAST_BYTES = 64 << 20
 
-    The bound is proven by counting at most ``max_rows + 1`` rows; beyond it
-    the frame is returned unhinted and the planner picks a shuffle join.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
 
+def row_bytes(df: DataFrame):
+    """Column: bytes of a row as text, plus a fixed part per column (a measure of its broadcast size)."""
+    width = F.lit(16 * len(df.columns))
+    for f in df.schema.fields:
+        if f.dataType.simpleString() in ("string", "binary"):
+            width = width + F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0))
+        elif f.dataType.simpleString().startswith(("array", "map", "struct")):
+            width = width + F.coalesce(F.octet_length(F.to_json(F.struct(F.col(f"`{f.name}`")))), F.lit(0))
+    return width
 
-MAX_LOOKUP_ROWS = 2_000_000
+
+def bounded_broadcast(df: DataFrame, max_rows: int = MAX_LOOKUP_ROWS, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """Broadcast-hint ``df`` only if it has at most ``max_rows`` rows and ``max_bytes`` bytes.
+
+    Both are proven on at most ``max_rows + 1`` rows; beyond them the frame is
+    returned unhinted and the planner picks a shuffle join.
+    """
+    r = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(row_bytes(df)), F.lit(0)).alias("b")).first()
+    return F.broadcast(df) if r["n"] <= max_rows and r["b"] <= max_bytes else df
 
 
 def small_lookup(table: DataFrame, max_rows: int = MAX_LOOKUP_ROWS) -> DataFrame:
     """A lookup table computed once (checkpointed: one row per key) and
-    broadcast only if its row count is proven <= max_rows; beyond that the
+    broadcast only if its rows and bytes are proven small; beyond that the
     join falls back to a shuffle join. Without this, the planner shuffles the
     large side by the key before it learns that the lookup side is small."""
     from ..session import materialize
-    t = materialize(table)
-    return F.broadcast(t) if t.count() <= max_rows else t
+    return bounded_broadcast(materialize(table), max_rows)
 
 
 def lookup_count(df: DataFrame, key: str, out: str) -> DataFrame:

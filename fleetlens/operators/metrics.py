@@ -11,6 +11,11 @@ score) rows: partial aggregation before any shuffle, one pass per report.
 * The silhouette is the squared-Euclidean form computed exactly in O(n*k)
   from per-cluster sums (sum x, sum |x|^2). The Euclidean form needs every
   pair of rows and is not offered (see README).
+
+Rows in which the label, the prediction or the score is null (or a score is
+NaN) take no part. A metric whose divisor is zero is null: ROC AUC of one
+class, R2 of a constant target, scores of a single cluster, skewness of fewer
+than 3 and kurtosis of fewer than 4 values, shares of an empty frame.
 """
 
 from __future__ import annotations
@@ -23,12 +28,16 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+#: Labels that a zero-filled confusion matrix may have.
+MAX_CLASSES = 1000
+
+
 # ---------------------------------------------------------------- classification
 
 def label_set(df: DataFrame, y: str, p: str) -> list:
-    """Sorted union of true and predicted labels (bounded: the classes)."""
+    """Sorted union of true and predicted labels; at most ``MAX_CLASSES`` + 1 reach the driver."""
     vals = (df.select(F.col(y).alias("v")).union(df.select(F.col(p).alias("v"))).distinct()
-            .where(F.col("v").isNotNull()).orderBy("v").collect())
+            .where(F.col("v").isNotNull()).orderBy("v").limit(MAX_CLASSES + 1).collect())
     return [r["v"] for r in vals]
 
 
@@ -36,6 +45,8 @@ def confusion_matrix(df: DataFrame, y: str, p: str, labels=None) -> DataFrame:
     """Counts by (true, predicted), zero-filled over labels x labels."""
     spark = df.sparkSession
     labels = labels if labels is not None else label_set(df, y, p)
+    if len(labels) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} labels: {y} and {p} are not classes")
     counts = df.groupBy(F.col(y).alias("actual"), F.col(p).alias("predicted")).agg(
         F.count(F.lit(1)).alias("count"))
     dtype = df.schema[y].dataType.simpleString()
@@ -50,6 +61,7 @@ def accuracy(df: DataFrame, y: str, p: str) -> DataFrame:
 
 def classification_report(df: DataFrame, y: str, p: str) -> DataFrame:
     """Per class: precision, recall, F1 (0 where undefined) and support."""
+    df = df.where(F.col(y).isNotNull() & F.col(p).isNotNull())
     sup = df.groupBy(F.col(y).alias("label")).agg(F.count(F.lit(1)).alias("support"),
                                                    F.count_if(F.col(y) == F.col(p)).alias("tp"))
     pred = df.groupBy(F.col(p).alias("label")).agg(F.count(F.lit(1)).alias("predicted"))
@@ -107,28 +119,30 @@ def roc_auc(df: DataFrame, y: str, score: str, positive=1, method: str = "exact"
     """
     if method == "evaluator":
         from pyspark.ml.evaluation import BinaryClassificationEvaluator
-        data = df.select((F.col(y) == F.lit(positive)).cast("double").alias("_y"),
+        data = df.where(F.col(y).isNotNull() & F.col(score).isNotNull()).select((F.col(y) == F.lit(positive)).cast("double").alias("_y"),
                          F.col(score).cast("double").alias("_s"))
         v = BinaryClassificationEvaluator(rawPredictionCol="_s", labelCol="_y", metricName="areaUnderROC").evaluate(data)
         return df.sparkSession.createDataFrame([(float(v),)], "roc_auc double")
+    df = df.where(F.col(y).isNotNull() & F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
     pos = (F.col(y) == F.lit(positive)).cast("long")
     by_score = df.groupBy(F.col(score).cast("double").alias("s")).agg(
         F.sum(pos).alias("pos"), F.sum(1 - pos).alias("neg"))
     cum = prefix_sum(by_score, "s", "neg", "neg_below")
-    return cum.agg(((F.sum(F.col("pos") * (F.col("neg_below") + 0.5 * F.col("neg"))))
-                    / (F.sum("pos") * F.sum("neg"))).alias("roc_auc"))
+    return cum.agg(F.try_divide(F.sum(F.col("pos") * (F.col("neg_below") + 0.5 * F.col("neg"))),
+                                (F.sum("pos").cast("double") * F.sum("neg"))).alias("roc_auc"))
 
 
 # ---------------------------------------------------------------- regression
 
 def regression_metrics(df: DataFrame, y: str, p: str) -> DataFrame:
     """MSE, RMSE, MAE, R2, explained variance, max error, n - one aggregate."""
+    df = df.where(F.col(y).isNotNull() & F.col(p).isNotNull())
     e = F.col(y) - F.col(p)
     s = df.agg(F.count(F.lit(1)).alias("n"), F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"),
                F.max(F.abs(e)).alias("max_error"), F.var_pop(y).alias("vy"), F.var_pop(e).alias("ve"))
     return s.select("n", "mse", F.sqrt("mse").alias("rmse"), "mae",
-                    (1 - F.col("mse") / F.col("vy")).alias("r2"),
-                    (1 - F.col("ve") / F.col("vy")).alias("explained_variance"), "max_error")
+                    (1 - F.try_divide("mse", "vy")).alias("r2"),
+                    (1 - F.try_divide("ve", "vy")).alias("explained_variance"), "max_error")
 
 
 def mape(df: DataFrame, y: str, p: str) -> DataFrame:
@@ -149,8 +163,8 @@ def residual_analysis(df: DataFrame, r: str, method: str = "exact") -> DataFrame
     n = F.count(r).cast("double")
     g1 = F.skewness(r)
     g2 = F.kurtosis(r)
-    skew = g1 * F.sqrt(n * (n - 1)) / (n - 2)
-    kurt = (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6)
+    skew = F.when(n > 2, F.try_divide(g1 * F.sqrt(n * (n - 1)), n - 2))
+    kurt = F.when(n > 3, F.try_divide(n - 1, (n - 2) * (n - 3)) * ((n + 1) * g2 + 6))
     s = df.agg(F.avg(r).alias("mean"), F.stddev_samp(r).alias("std"), F.min(r).cast("double").alias("min"),
                F.max(r).cast("double").alias("max"), skew.alias("skewness"), kurt.alias("kurtosis"))
     return s.select("mean", "std", "min", "max", F.lit(q1).cast("double").alias("q1"),
@@ -195,7 +209,7 @@ def calinski_harabasz(long: DataFrame, id_col: str, label: str) -> DataFrame:
                   F.sum(F.col("q") - F.col("s") * F.col("s") / F.col("n")).alias("W"))
     cnt = long.agg(F.count_distinct(id_col).alias("n"), F.count_distinct(label).alias("k")).first()
     n, k = float(cnt["n"]), float(cnt["k"])
-    return parts.select(((F.col("B") / F.lit(k - 1)) / (F.col("W") / F.lit(n - k))).alias("calinski_harabasz"))
+    return parts.select(F.try_divide(F.try_divide(F.col("B"), F.lit(k - 1)), F.try_divide(F.col("W"), F.lit(n - k))).alias("calinski_harabasz"))
 
 
 def davies_bouldin(long: DataFrame, id_col: str, label: str) -> DataFrame:
@@ -210,7 +224,7 @@ def davies_bouldin(long: DataFrame, id_col: str, label: str) -> DataFrame:
           .agg(F.sqrt(F.sum((F.col("_mi") - F.col("_mj")) ** 2)).alias("_dij")))
     si = s.select(F.col(label).alias("_i"), F.col("s").alias("_si"))
     sj = s.select(F.col(label).alias("_j"), F.col("s").alias("_sj"))
-    r = cd.join(si, "_i").join(sj, "_j").select("_i", ((F.col("_si") + F.col("_sj")) / F.col("_dij")).alias("_r"))
+    r = cd.join(si, "_i").join(sj, "_j").select("_i", F.try_divide(F.col("_si") + F.col("_sj"), F.col("_dij")).alias("_r"))
     return r.groupBy("_i").agg(F.max("_r").alias("_rmax")).agg(F.avg("_rmax").alias("davies_bouldin"))
 
 
@@ -232,7 +246,8 @@ def silhouette_sq(long: DataFrame, id_col: str, label: str) -> DataFrame:
         (F.col("_nc") > 1).alias("_multi"))
     other = d.where(F.col("_oc") != F.col("_own")).groupBy("_id").agg(F.min(F.col("_tot") / F.col("_nc")).alias("_b"))
     s = own.join(other, "_id").select(
-        F.when(F.col("_multi"), (F.col("_b") - F.col("_a")) / F.greatest("_a", "_b")).otherwise(F.lit(0.0)).alias("s"))
+        F.when(F.col("_multi"), F.coalesce(F.try_divide(F.col("_b") - F.col("_a"), F.greatest("_a", "_b")), F.lit(0.0)))
+        .otherwise(F.lit(0.0)).alias("s"))
     return s.agg(F.avg("s").alias("silhouette"))
 
 
@@ -247,7 +262,7 @@ def silhouette_evaluator(df: DataFrame, features_col: str, label: str) -> float:
 
 def noise_stats(df: DataFrame, label: str, noise=-1) -> DataFrame:
     return df.agg(F.count_if(F.col(label) == noise).cast("long").alias("noise_count"),
-                  (F.count_if(F.col(label) == noise) / F.count(F.lit(1)) * 100).alias("noise_percent"))
+                  (F.try_divide(F.count_if(F.col(label) == noise), F.count(F.lit(1))) * 100).alias("noise_percent"))
 
 
 def cluster_sizes(df: DataFrame, label: str) -> DataFrame:

@@ -25,15 +25,17 @@ def event_micros(ts: str) -> Column:
 
 
 def rolling_count(df: DataFrame, key: str, ts: str, window_seconds: float, out: str = "recent") -> DataFrame:
-    """Rows of the same key with time in [t - w, t] (peers with equal time included)."""
+    """Rows of the same key with time in [t - w, t] (peers with equal time included).
+
+    A row without a time has a null count and is in no window."""
     w = int(window_seconds * 1_000_000)
     t = event_micros(ts)
     base = df.withColumn("_t", t).withColumn("_b", F.floor(F.col("_t") / F.lit(w)))
     own = base.withColumn("_own", F.lit(True))
-    ctx = base.withColumn("_b", F.col("_b") + 1).withColumn("_own", F.lit(False))
+    ctx = base.where(F.col("_t").isNotNull()).withColumn("_b", F.col("_b") + 1).withColumn("_own", F.lit(False))
     both = own.unionByName(ctx)
     win = Window.partitionBy(key, "_b").orderBy("_t").rangeBetween(-w, 0)
-    return (both.withColumn(out, F.count(F.lit(1)).over(win))
+    return (both.withColumn(out, F.when(F.col("_t").isNotNull(), F.count(F.lit(1)).over(win)))
             .where(F.col("_own")).drop("_t", "_b", "_own"))
 
 
@@ -88,7 +90,8 @@ def latest_version(versions: DataFrame, name: str, version: str, stage: str | No
         df = df.where(F.col(stage).isin(list(stages)))
     keys = [name] + ([stage] if stage else [])
     others = [c for c in df.columns if c not in keys and c != version]
-    best = F.max(F.struct(F.col(version).alias("_v"), *[F.col(c) for c in others])).alias("_best")
+    # ordered by the version alone: the other columns may be of types without an order (maps)
+    best = F.max_by(F.struct(F.col(version).alias("_v"), *[F.col(c) for c in others]), F.col(version)).alias("_best")
     return df.groupBy(*keys).agg(best).select(*keys, F.col("_best._v").alias(version),
                                               *[F.col(f"_best.{c}").alias(c) for c in others])
 
@@ -121,11 +124,11 @@ def elbow_point(df: DataFrame, k_col: str, inertia_col: str, group: str | None =
 
 
 def confidence_series(df: DataFrame, model: str, ts: str, id_col: str, conf: str) -> DataFrame:
-    """(position, confidence) of predictions that have one, per model in time order."""
+    """(position, confidence) of predictions that have one, per model in time order (ties: id, confidence)."""
     from .features import rank_within
     have = df.where(F.col(conf).isNotNull() & (F.col(conf) != 0))
     have = have.withColumn("_o", event_micros(ts))
-    ranked = rank_within(have, [model], "_o", tiebreak=[id_col], out="position")
+    ranked = rank_within(have, [model], "_o", tiebreak=[id_col, conf], out="position")
     return ranked.select(model, id_col, "position", conf)
 
 
@@ -140,14 +143,16 @@ def majority_vote(cols, out: str = "vote") -> Column:
 
 
 def pick_best(df: DataFrame, score: str, order: str, group: str | None = None) -> DataFrame:
-    """Row with the highest score; the first (smallest ``order``) wins ties."""
+    """Row with the highest score; the first (smallest ``order``) wins ties.
+
+    A row without a score (null or NaN) wins only where no row has one."""
     keys = [group] if group else []
-    others = [c for c in df.columns if c not in keys + [score, order]]
-    best = F.min(F.struct((-F.col(score)).alias("_ns"), F.col(order).alias("_o"),
-                          *[F.col(c) for c in others])).alias("_b")
-    return df.groupBy(*keys).agg(best).select(
-        *keys, (-F.col("_b._ns")).alias(score), F.col("_b._o").alias(order),
-        *[F.col(f"_b.{c}").alias(c) for c in others])
+    others = [c for c in df.columns if c not in keys]
+    s = F.col(score)
+    missing = s.isNull() | F.isnan(s.cast("double"))
+    rank = F.struct(missing.alias("m"), F.when(~missing, -s).alias("ns"), F.col(order).alias("o"))
+    best = F.min_by(F.struct(*[F.col(c) for c in others]), rank).alias("_b")
+    return df.groupBy(*keys).agg(best).select(*[F.col(c) if c in keys else F.col(f"_b.{c}").alias(c) for c in df.columns])
 
 
 def top_k(df: DataFrame, k: int, *order: Column) -> DataFrame:

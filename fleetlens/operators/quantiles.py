@@ -40,8 +40,7 @@ def _nsjoin(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inne
 
 
 def quantiles(df: DataFrame, value: str, probs, by=(), names=None, method: str = "exact",
-              bins: int = 1024, small: int = 1_000_000, accuracy: int = 1_000_000,
-              max_passes: int = 64) -> DataFrame:
+              bins: int = 1024, small: int = 1_000_000, accuracy: int = 1_000_000) -> DataFrame:
     """One row per group of ``by`` with one column per probability.
 
     Nulls and NaN in ``value`` are ignored, as in pandas.
@@ -72,16 +71,17 @@ def quantiles(df: DataFrame, value: str, probs, by=(), names=None, method: str =
                      F.lit(0).cast("long").alias("_below"), F.col("_n").alias("_cnt")))
     state = materialize(state)
 
-    for _ in range(max_passes):
+    while True:  # ends: a pass narrows an open interval to a bucket's own least and greatest value
         is_open = (F.col("_lo") < F.col("_hi")) & (F.col("_cnt") > small)
         open_ = state.where(is_open)
         if open_.limit(1).count() == 0:
             break
         closed = state.where(~is_open)
         j = _nsjoin(base, open_, keys).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
-        width = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
-        j = j.withColumn("_b", F.least(F.floor((F.col("_v") - F.col("_lo")) / width),
-                                       F.lit(bins - 1)).cast("int"))
+        # halves first: the span of two finite doubles may overflow; the top value has a bucket of its own
+        rel = (F.col("_v") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2)
+        j = j.withColumn("_b", F.when(F.col("_v") == F.col("_hi"), F.lit(bins)).when(F.col("_v") == F.col("_lo"), F.lit(-1))
+                         .otherwise(F.least(F.floor(rel * F.lit(bins)), F.lit(bins - 1))).cast("int"))
         hist = j.groupBy(*keys, "_k", "_below", "_b").agg(
             F.count(F.lit(1)).alias("_nb"), F.min("_v").alias("_blo"), F.max("_v").alias("_bhi"))
         w = Window.partitionBy(*keys, "_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)

@@ -206,7 +206,7 @@ def q_tune_random(spark, d):
     """Four parameters -> seeded random draws from the grid (then 3-fold CV each)."""
     f = _frame(spark, d)
     grid = {"max_depth": [3, 5, 8], "min_samples_leaf": [1, 5], "seed": [1, 42], "n_estimators": [5]}
-    draws = WF.param_grid(grid, max_draws=4, seed=42)
+    draws = WF.param_grid(grid, "random", 4, 42)
     rows = []
     for i, p in enumerate(draws):
         cv = WF.cross_validate(f, KEYS, FEATURES, "ev_type", "random_forest", True, 3, 42, p)
@@ -286,7 +286,7 @@ def q_model_store(spark, d):
     fm = MD.fit_classifier(train, FEATURES, "ev_type", "decision_tree", {})
     path = _store(spark) + "/model_tree"
     WF.save_model(fm, path)
-    return WF.load_model(path, fm).transform(test).select(*KEYS, "predicted_label")
+    return WF.load_model(path).transform(test).select(*KEYS, "predicted_label")
 
 
 @register("compare_models", registry_sql(

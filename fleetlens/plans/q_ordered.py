@@ -139,11 +139,7 @@ def q_elbow(spark, d):
     "WHERE confidence IS NOT NULL AND confidence <> 0", ["predictions"]))
 def q_confidence_series(spark, d):
     preds = registry_tables(spark, d)["predictions"]
-    from ..operators.features import rank_within
-    have = preds.where(F.col("confidence").isNotNull() & (F.col("confidence") != 0))
-    have = have.withColumn("_o", O.event_micros("timestamp"))
-    ranked = rank_within(have, ["model_id"], "_o", tiebreak=["prediction_id", "confidence"], out="position")
-    return round_doubles(ranked.select("model_id", "prediction_id", "position", "confidence"))
+    return round_doubles(O.confidence_series(preds, "model_id", "timestamp", "prediction_id", "confidence"))
 
 
 _P2 = "CASE WHEN l_quantity > 25 THEN 'A' ELSE 'N' END"

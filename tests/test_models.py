@@ -72,7 +72,7 @@ def test_kmeans_inertia_falls_with_k(sep):
 def test_save_load_same_predictions(spark, sep, tmp_path):
     fm = MD.fit_classifier(sep, FEATS, "label", "decision_tree")
     WF.save_model(fm, str(tmp_path / "m"))
-    back = WF.load_model(str(tmp_path / "m"), fm)
+    back = WF.load_model(str(tmp_path / "m"))
     a = {r.id: r.predicted_label for r in fm.transform(sep).collect()}
     b = {r.id: r.predicted_label for r in back.transform(sep).collect()}
     assert a == b
@@ -81,7 +81,7 @@ def test_save_load_same_predictions(spark, sep, tmp_path):
 def test_cross_validate_and_grid(sep):
     cv = WF.cross_validate(sep, ["id"], FEATS, "label", "decision_tree", True, folds=3)
     assert len(cv["scores"]) == 3 and 0.9 <= cv["mean"] <= 1.0
-    grid = WF.param_grid({"a": [1, 2], "b": [1, 2], "c": [1, 2], "d": [1, 2, 3]}, max_draws=5)
+    grid = WF.param_grid({"a": [1, 2], "b": [1, 2], "c": [1, 2], "d": [1, 2, 3]}, "random", 5)
     assert len(grid) == 5
     assert len(WF.param_grid({"a": [1, 2], "b": [3]})) == 2
 
