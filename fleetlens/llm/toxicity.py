@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 
 from .common import stored
 
-MAX_TRAIN, MAX_TERMS, CHI = 4096, 1024, 30.0
+MAX_TRAIN, MAX_TERMS, CHI = 4096, 1024, 60.0
 K, BLOCK, SOFT, EVIDENCE = 16, 64, 0.05, 3
 BEGINNINGS = range(3, 8)
 WORD = re.compile(r"\w+")
