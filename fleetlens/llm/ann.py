@@ -100,22 +100,30 @@ def _seed_graph(nodes: DataFrame, dims: int, k: int, trees: int, window: int, n:
 
 
 def _lists(edges: DataFrame, k: int) -> DataFrame:
-    """``node, id, d, fresh``: the k nearest of each node; fresh unless an edge of the pair was known."""
-    one = edges.groupBy("node", "id").agg(F.min("d").alias("d"), F.min("fresh").alias("fresh"))
-    return _first_rank(one, "node", ["d", "id"], k)
+    """``node, id, d, fresh, rank, worst``: the k nearest of each node; fresh unless an edge of the pair was
+    known; ``worst`` is the distance to beat (infinite while the list is short).
+
+    Limited before its one shuffle: an edge found several times has one dense rank, and all
+    that follows keeps the partitioning by node.
+    """
+    near, whole = Window.partitionBy("node").orderBy("d", "id"), Window.partitionBy("node")
+    best = edges.withColumn("rank", F.dense_rank().over(near)).where(F.col("rank") <= k)
+    one = best.groupBy("node", "id").agg(F.min("d").alias("d"), F.min("fresh").alias("fresh"))
+    worst = F.when(F.count(F.lit(1)).over(whole) >= k, F.max("d").over(whole)).otherwise(F.lit(float("inf"))).cast("float")
+    return one.withColumn("rank", F.row_number().over(near)).withColumn("worst", worst)
 
 
 def _descend(graph: DataFrame, small: DataFrame, dims: int, k: int, named: int, turn: int) -> DataFrame:
     """Updates ``node, id, d`` from one round of local joins."""
-    back = graph.select(F.col("id").alias("at"), F.col("node").alias("member"), "fresh", "d")
+    back = graph.select(F.col("id").alias("at"), F.col("node").alias("member"), "fresh")
     back = _first_rank(back, "at", [F.desc("fresh"), F.xxhash64(F.lit(turn), "member"), "member"], named)
-    around = graph.select(F.col("node").alias("at"), F.col("id").alias("member"), "fresh").unionByName(back.drop("d"))
-    around = around.groupBy("at", "member").agg(F.max("fresh").alias("fresh"))
+    around = graph.select(F.col("node").alias("at"), F.col("id").alias("member"), "fresh").unionByName(back)
+    # at most k + named rows a node, so one shuffle by node serves both steps
+    around = around.repartition("at").groupBy("at", "member").agg(F.max("fresh").alias("fresh"))
     # nodes around which nothing is fresh have nothing to compare
-    around = around.join(around.groupBy("at").agg(F.max("fresh").alias("any")).where("any").select("at"), "at", "left_semi")
-    worst = graph.groupBy("node").agg(F.max("d").alias("worst"), F.count(F.lit(1)).alias("n"))
-    known = small.join(worst, "node", "left").select(
-        F.col("node").alias("member"), "small", F.when(F.col("n") >= k, F.col("worst")).otherwise(F.lit(float("inf"))).cast("float").alias("worst"))
+    around = around.withColumn("any", F.max("fresh").over(Window.partitionBy("at"))).where("any").drop("any")
+    known = small.join(graph.where("rank = 1").select("node", "worst"), "node", "left").select(
+        F.col("node").alias("member"), "small", F.coalesce("worst", F.lit(float("inf")).cast("float")).alias("worst"))
     met = around.join(known, "member").groupBy("at").agg(F.collect_list(F.struct("member", "fresh", "worst", "small")).alias("m"))
     met = met.select(
         F.col("m.member").alias("ids"), F.col("m.fresh").alias("fresh"), F.col("m.worst").alias("worst"), F.col("m.small").alias("small"))
@@ -162,7 +170,7 @@ def _descend(graph: DataFrame, small: DataFrame, dims: int, k: int, named: int,
 
 def build_graph(nodes: DataFrame, dims: int, k: int = NEIGHBOURS, named: int = NAMED_BY, trees: int = TREES, window: int = WINDOW,
                 settled: float = SETTLED) -> DataFrame:
-    """``node, id, d, fresh``: the neighbour lists of ``nodes`` (node, vec), by NN-descent."""
+    """``node, id, d, fresh, rank, worst``: the neighbour lists of ``nodes`` (node, vec), by NN-descent."""
     top = nodes.agg(F.count(F.lit(1)).alias("n"), F.max(F.array_max(F.transform("vec", F.abs))).alias("top")).first()
     n, scale = top["n"], 127.0 / (top["top"] or 1.0)
 
@@ -179,7 +187,7 @@ def build_graph(nodes: DataFrame, dims: int, k: int = NEIGHBOURS, named: int = N
         turn += 1
         found = _descend(graph, small, dims, k, named, turn).withColumn("fresh", F.lit(True))
         # known neighbours are no longer fresh; a pair found again keeps that
-        new = stored(_lists(graph.withColumn("fresh", F.lit(False)).unionByName(found), k), "ann-graph")
+        new = stored(_lists(graph.select("node", "id", "d", F.lit(False).alias("fresh")).unionByName(found), k), "ann-graph")
         changed = new.where("fresh").count()
         graph = new
         release(nodes.sparkSession)
@@ -196,6 +204,12 @@ def _measured(pairs: DataFrame, dims: int) -> DataFrame:
     return pairs.select("q", "node", "qv", "vec").mapInArrow(run, "q long, node long, d double")
 
 
+def _beams(rows: DataFrame, beam: int, open_: int) -> DataFrame:
+    """The best ``beam`` rows of each query; ``next`` marks the best unopened ones (one shuffle, by query)."""
+    order = Window.partitionBy("q", "opened").orderBy("d", "node")
+    return _first_rank(rows, "q", ["d", "node"], beam).withColumn("next", ~F.col("opened") & (F.row_number().over(order) <= open_))
+
+
 def search(nodes: DataFrame, graph: DataFrame, asked: DataFrame, dims: int, beam: int = BEAM, open_: int = OPEN,
            named: int = NAMED_BY) -> DataFrame:
     """``q, node, d``: the best ``beam`` nodes that greedy search reaches from each query's ``start`` node.
@@ -206,18 +220,16 @@ def search(nodes: DataFrame, graph: DataFrame, asked: DataFrame, dims: int, beam
     ways = stored(graph.select("node", "id").unionByName(back.select("node", "id")).distinct()
                   .groupBy("node").agg(F.collect_list("id").alias("ids")), "ann-ways")
     start = asked.join(nodes.select(F.col("node").alias("start"), "vec"), "start").withColumn("node", F.col("start"))
-    found = materialize(_measured(start, dims).withColumn("opened", F.lit(False)))
+    found = stored(_beams(_measured(start, dims).withColumn("opened", F.lit(False)), beam, open_), "ann-beams")
     while True:
-        todo = _first_rank(found.where(~F.col("opened")), "q", ["d", "node"], open_).select("q", "node")
-        todo = materialize(todo)
+        todo = found.where("next").select("q", "node")
         if todo.isEmpty():
             return found.select("q", "node", "d")
-        seen = found.join(todo.withColumn("now", F.lit(True)), ["q", "node"], "left").select(
-            "q", "node", "d", (F.col("opened") | F.coalesce("now", F.lit(False))).alias("opened"))
+        seen = found.select("q", "node", "d", (F.col("opened") | F.col("next")).alias("opened"))
         reach = todo.join(ways, "node").select("q", F.explode("ids").alias("node")).distinct()
         reach = reach.join(found.select("q", "node"), ["q", "node"], "left_anti")
         new = _measured(reach.join(nodes, "node").join(asked.select("q", "qv"), "q"), dims).withColumn("opened", F.lit(False))
-        found = materialize(_first_rank(seen.unionByName(new), "q", ["d", "node"], beam))
+        found = stored(_beams(seen.unionByName(new), beam, open_), "ann-beams")
         release(nodes.sparkSession)
 
 
