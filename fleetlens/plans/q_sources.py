@@ -67,12 +67,12 @@ def q_run_sql(spark, d):
                           "GROUP BY o_orderpriority", {"min_price": 100000})
 
 
-@register("sink_csv", "SELECT count(*) AS written FROM orders")
+@register("sink_csv", "SELECT * FROM orders")
 def q_sink_csv(spark, d):
     path = _scratch(spark, "orders_csv")
     o = table(spark, d, "orders")
     FS.sink_csv(o, path)
-    return FS.scan_csv(spark, path, schema=o.schema).agg(F.count(F.lit(1)).alias("written"))
+    return FS.scan_csv(spark, path, schema=o.schema)
 
 
 @register("sink_parquet", "SELECT o_orderkey, o_totalprice, CAST(year(o_orderdate) AS INT) AS model_year FROM orders "
@@ -125,14 +125,19 @@ def q_sink_features(spark, d):
     return round_doubles(spark.read.parquet(f"{folder}/scaled"))
 
 
-@register("sink_samples", "SELECT * FROM lineitem ORDER BY md5(concat_ws('|', '42', CAST(l_orderkey AS VARCHAR), "
-                          "CAST(l_linenumber AS VARCHAR), CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR))), "
-                          "l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 1000")
+_SAMPLE_SQL = ("SELECT * FROM (SELECT {n} AS sample, * FROM lineitem ORDER BY md5(concat_ws('|', '42', CAST(l_orderkey AS VARCHAR), "
+               "CAST(l_linenumber AS VARCHAR), CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR))), "
+               "l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT {n})")
+
+
+@register("sink_samples", " UNION ALL ".join(_SAMPLE_SQL.format(n=n) for n in (1000, 10000)))
 def q_sink_samples(spark, d):
+    """Both samples, read back."""
     folder = _scratch(spark, "samples")
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
     FS.sink_samples(table(spark, d, "lineitem"), folder, keys, sizes=(1000, 10000))
-    return spark.read.parquet(f"{folder}/sample_1000")
+    small, large = (spark.read.parquet(f"{folder}/sample_{n}").withColumn("sample", F.lit(n)) for n in (1000, 10000))
+    return small.unionByName(large)
 
 
 @register("sink_prediction_history", registry_sql(

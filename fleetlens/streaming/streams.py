@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -77,8 +78,10 @@ def run_to_table(sdf: DataFrame, name: str, mode: str = "complete", base: str |
     q.awaitTermination()
     try:
         return spark.read.schema(_result_schema(sdf)).parquet(out)
-    except Exception:  # noqa: BLE001  (no batch produced any row)
-        return spark.createDataFrame([], _result_schema(sdf))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], _result_schema(sdf))  # no batch was run
 
 
 def _result_schema(sdf: DataFrame) -> T.StructType:
