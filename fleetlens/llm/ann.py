@@ -7,8 +7,10 @@ of Spark joins: every node gathers its neighbours and a bounded share of those
 that name it, with their vectors; pairs of them, at least one new, are held
 against each other, since neighbours of neighbours tend to be neighbours; what
 beats a node's worst neighbour is merged into its list. Rounds go on until fewer
-than ``settled`` of all list entries change. Distances inside the rounds use
-vectors rounded to bytes.
+than ``settled`` of all list entries change. Vectors travel as float32 where that holds
+every component exactly, else as float64. Products of centred vectors only pick
+pairs, with room for their rounding; the distances kept are sums of squared
+differences, so near copies stay apart and a large vector blurs no other.
 
 Search. A query starts at its own node. Each hop opens its best unopened nodes,
 fetches their neighbours by join, measures the exact distance and keeps the best
@@ -44,8 +46,9 @@ SETTLED = 0.02
 BEAM, OPEN = 96, 24
 SAMPLE = 4096
 
-_EDGE = pa.schema([("node", pa.int64()), ("id", pa.int64()), ("d", pa.float32())])
-_EDGE_DDL = "node long, id long, d float"
+PAIRS = 16_384  # pairs measured at a time
+_EDGE = pa.schema([("node", pa.int64()), ("id", pa.int64()), ("d", pa.float64())])
+_EDGE_DDL = "node long, id long, d double"
 
 
 def _first_rank(df: DataFrame, key: str, order: list, n: int) -> DataFrame:
@@ -54,13 +57,24 @@ def _first_rank(df: DataFrame, key: str, order: list, n: int) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
 
 
-def _distances(x: np.ndarray) -> np.ndarray:
-    """Squared distances of all pairs in a stack (..., members, dims)."""
+def _about(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances of all pairs in a stack (..., members, dims), by products, and a bound of their error."""
+    x = x - x[..., :1, :]
     sq = (x * x).sum(axis=-1)
-    return np.maximum(sq[..., :, None] + sq[..., None, :] - 2 * x @ np.swapaxes(x, -1, -2), 0)
+    both = sq[..., :, None] + sq[..., None, :]
+    return both - 2 * x @ np.swapaxes(x, -1, -2), both * (8 * (x.shape[-1] + 8) * np.finfo(float).eps)
 
 
-def _seed_graph(nodes: DataFrame, dims: int, k: int, trees: int, window: int, n: int) -> DataFrame:
+def _exact(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances of the pairs (x[a], x[b]), by differences: the same for a pair wherever it is met."""
+    out = np.empty(len(a))
+    for lo in range(0, len(a), PAIRS):
+        diff = x[a[lo:lo + PAIRS]] - x[b[lo:lo + PAIRS]]
+        out[lo:lo + PAIRS] = (diff * diff).sum(axis=1)
+    return out
+
+
+def _seed_graph(nodes: DataFrame, dims: int, k: int, trees: int, window: int, n: int, kind: type) -> DataFrame:
     """``node, id, d``: neighbours within windows of random projection orders."""
     bits = max(1, int(np.ceil(np.log2(max(2, n / window)))))
     rng = np.random.default_rng(7)
@@ -82,17 +96,19 @@ def _seed_graph(nodes: DataFrame, dims: int, k: int, trees: int, window: int, n:
     def near(batches: Iterator[pa.RecordBatch]):
         for b in batches:
             node = b.column(0).to_numpy()
-            x = np.frombuffer(b"".join(b.column(1).to_pylist()), np.int8).reshape(-1, dims).astype(np.float32)
+            x = np.frombuffer(b"".join(b.column(1).to_pylist()), kind).reshape(-1, dims).astype(float)
             for lo in range(0, len(node), window):
                 lo = max(0, min(lo, len(node) - window))
                 ids = node[lo:lo + window]
-                d = _distances(x[lo:lo + window])
+                d, room = _about(x[lo:lo + window])
                 d[ids[:, None] == ids[None, :]] = np.inf
-                best = np.argsort(d, axis=1, kind="stable")[:, :k]
-                rows = np.repeat(np.arange(len(ids)), best.shape[1])
-                cols = best.ravel()
-                ok = np.isfinite(d[rows, cols])
-                yield pa.record_batch([pa.array(ids[rows[ok]]), pa.array(ids[cols[ok]]), pa.array(d[rows[ok], cols[ok]].astype(np.float32))], schema=_EDGE)
+                last = np.partition(d, k - 1, axis=1)[:, k - 1:k] if k < len(ids) else np.inf
+                rows, cols = np.nonzero((d <= last + 2 * room) & np.isfinite(d))
+                exact = _exact(x[lo:lo + window], rows, cols)
+                by = np.lexsort((cols, exact, rows))
+                rows, cols, exact = rows[by], cols[by], exact[by]
+                ok = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+                yield pa.record_batch([pa.array(ids[rows[ok]]), pa.array(ids[cols[ok]]), pa.array(exact[ok])], schema=_EDGE)
 
     placed = nodes.select("node", "vec", "small").mapInArrow(place, "tree int, code long, at double, node long, small binary")
     ordered = placed.repartitionByRange("tree", "code", "at").sortWithinPartitions("tree", "code", "at")
@@ -109,11 +125,11 @@ def _lists(edges: DataFrame, k: int) -> DataFrame:
     near, whole = Window.partitionBy("node").orderBy("d", "id"), Window.partitionBy("node")
     best = edges.withColumn("rank", F.dense_rank().over(near)).where(F.col("rank") <= k)
     one = best.groupBy("node", "id").agg(F.min("d").alias("d"), F.min("fresh").alias("fresh"))
-    worst = F.when(F.count(F.lit(1)).over(whole) >= k, F.max("d").over(whole)).otherwise(F.lit(float("inf"))).cast("float")
+    worst = F.when(F.count(F.lit(1)).over(whole) >= k, F.max("d").over(whole)).otherwise(F.lit(float("inf")))
     return one.withColumn("rank", F.row_number().over(near)).withColumn("worst", worst)
 
 
-def _descend(graph: DataFrame, small: DataFrame, dims: int, k: int, named: int, turn: int) -> DataFrame:
+def _descend(graph: DataFrame, small: DataFrame, dims: int, k: int, named: int, turn: int, kind: type) -> DataFrame:
     """Updates ``node, id, d`` from one round of local joins."""
     back = graph.select(F.col("id").alias("at"), F.col("node").alias("member"), "fresh")
     back = _first_rank(back, "at", [F.desc("fresh"), F.xxhash64(F.lit(turn), "member"), "member"], named)
@@ -123,7 +139,7 @@ def _descend(graph: DataFrame, small: DataFrame, dims: int, k: int, named: int,
     # nodes around which nothing is fresh have nothing to compare
     around = around.withColumn("any", F.max("fresh").over(Window.partitionBy("at"))).where("any").drop("any")
     known = small.join(graph.where("rank = 1").select("node", "worst"), "node", "left").select(
-        F.col("node").alias("member"), "small", F.coalesce("worst", F.lit(float("inf")).cast("float")).alias("worst"))
+        F.col("node").alias("member"), "small", F.coalesce("worst", F.lit(float("inf"))).alias("worst"))
     met = around.join(known, "member").groupBy("at").agg(F.collect_list(F.struct("member", "fresh", "worst", "small")).alias("m"))
     met = met.select(
         F.col("m.member").alias("ids"), F.col("m.fresh").alias("fresh"), F.col("m.worst").alias("worst"), F.col("m.small").alias("small"))
@@ -137,21 +153,23 @@ def _descend(graph: DataFrame, small: DataFrame, dims: int, k: int, named: int,
                 size = max(map(len, ids))
                 n = len(ids)
                 idx = np.full((n, size), -1, np.int64)
-                fresh, worst = np.zeros((n, size), bool), np.full((n, size), -1.0, np.float32)
-                x = np.zeros((n, size, dims), np.float32)
+                fresh, worst = np.zeros((n, size), bool), np.full((n, size), -1.0)
+                x = np.zeros((n, size, dims))
                 for i in range(n):
                     c = len(ids[i])
                     idx[i, :c] = ids[i]
                     fresh[i, :c] = part.column(1)[i].values.to_numpy(zero_copy_only=False)
                     worst[i, :c] = part.column(2)[i].values.to_numpy()
-                    x[i, :c] = np.frombuffer(b"".join(part.column(3)[i].as_py()), np.int8).reshape(c, dims)
-                d = _distances(x)
+                    x[i, :c] = np.frombuffer(b"".join(part.column(3)[i].as_py()), kind).reshape(c, dims)
+                d, room = _about(x)
                 real = np.arange(size)[None, :] < np.array([len(v) for v in ids])[:, None]
-                ok = (d < worst[:, :, None]) & (fresh[:, :, None] | fresh[:, None, :]) & real[:, :, None] & real[:, None, :]
+                ok = (d < worst[:, :, None] + room) & (fresh[:, :, None] | fresh[:, None, :]) & real[:, :, None] & real[:, None, :]
                 ok &= ~np.eye(size, dtype=bool)[None]
                 g, r, c = np.nonzero(ok)
-                out.append((idx[g, r], idx[g, c], d[g, r, c].astype(np.float32)))
-            if out:
+                d = _exact(x.reshape(-1, dims), g * size + r, g * size + c)
+                ok = d < worst[g, r]
+                out.append((idx[g, r][ok], idx[g, c][ok], d[ok]))
+            if sum(len(z[0]) for z in out):
                 node, other, d = (np.concatenate(z) for z in zip(*out))
                 order = np.lexsort((d, node))  # a batch's k best of each node are enough
                 node, other, d = node[order], other[order], d[order]
@@ -160,7 +178,7 @@ def _descend(graph: DataFrame, small: DataFrame, dims: int, k: int, named: int,
                 dup = np.concatenate(([False], (node[same][1:] == node[same][:-1]) & (other[same][1:] == other[same][:-1])))
                 keep[same[dup]] = False
                 node, other, d = node[keep], other[keep], d[keep]
-                starts = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1]))) if len(node) else np.empty(0, int)
+                starts = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
                 rank = np.arange(len(node)) - np.repeat(starts, np.diff(np.append(starts, len(node))))
                 ok = rank < k
                 yield pa.record_batch([pa.array(node[ok]), pa.array(other[ok]), pa.array(d[ok])], schema=_EDGE)
@@ -171,21 +189,22 @@ def _descend(graph: DataFrame, small: DataFrame, dims: int, k: int, named: int,
 def build_graph(nodes: DataFrame, dims: int, k: int = NEIGHBOURS, named: int = NAMED_BY, trees: int = TREES, window: int = WINDOW,
                 settled: float = SETTLED) -> DataFrame:
     """``node, id, d, fresh, rank, worst``: the neighbour lists of ``nodes`` (node, vec), by NN-descent."""
-    top = nodes.agg(F.count(F.lit(1)).alias("n"), F.max(F.array_max(F.transform("vec", F.abs))).alias("top")).first()
-    n, scale = top["n"], 127.0 / (top["top"] or 1.0)
+    whole = F.min(F.forall("vec", lambda v: v.cast("float").cast("double") == v))
+    n, short = nodes.agg(F.count(F.lit(1)), whole).first()
+    kind = np.float32 if short else np.float64
 
-    def rounded(batches: Iterator[pa.RecordBatch]):
+    def packed(batches: Iterator[pa.RecordBatch]):
         for b in batches:
-            x = np.rint(matrix(b.column(1), dims) * scale).astype(np.int8)
+            x = matrix(b.column(1), dims).astype(kind)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in x], pa.binary())], names=["node", "vec", "small"])
 
-    both = stored(nodes.mapInArrow(rounded, "node long, vec array<double>, small binary"), "ann-nodes")
+    both = stored(nodes.mapInArrow(packed, "node long, vec array<double>, small binary"), "ann-nodes")
     small = both.select("node", "small")
-    graph = stored(_lists(_seed_graph(both, dims, k, trees, window, n).withColumn("fresh", F.lit(True)), k), "ann-graph")
+    graph = stored(_lists(_seed_graph(both, dims, k, trees, window, n, kind).withColumn("fresh", F.lit(True)), k), "ann-graph")
     turn = 0
     while True:
         turn += 1
-        found = _descend(graph, small, dims, k, named, turn).withColumn("fresh", F.lit(True))
+        found = _descend(graph, small, dims, k, named, turn, kind).withColumn("fresh", F.lit(True))
         # known neighbours are no longer fresh; a pair found again keeps that
         new = stored(_lists(graph.select("node", "id", "d", F.lit(False).alias("fresh")).unionByName(found), k), "ann-graph")
         changed = new.where("fresh").count()

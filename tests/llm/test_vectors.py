@@ -97,3 +97,29 @@ def test_neighbours_of_equal_vectors_and_few_rows(vectors):
     assert [x[2] for x in got if x[0] == 30] == [31, 32, 33, 0]
     assert found(ann.nearest(vectors([(0, [1.0])]), F.col("vec_id") % 10 == 0)) == []
     assert found(ann.nearest(vectors(ODD), F.col("vec_id") % 10 == 0)) == []
+
+
+def recall(rows, got, k):
+    m, by = {i: np.array(v) for i, v in rows}, {}
+    ids, x = np.array(list(m)), np.array(list(m.values()))
+    for r in got:
+        by.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = []
+    for q, have in by.items():
+        d = ((x - m[q]) ** 2).sum(axis=1)
+        d[ids == q] = np.inf
+        hit.append(len(set(ids[np.argsort(d, kind="stable")[:k]].tolist()) & have) / k)
+    return len(by), float(np.mean(hit))
+
+
+def test_neighbours_within_a_group_of_near_copies(vectors):
+    near = [(10_000 + i, [float(np.float32(5 + x)) for x in v]) for i, v in random_rows(2500, 16, seed=6, spread=1e-4)]
+    rows = random_rows(500, 16, seed=5) + near
+    queries, hit = recall(rows, ann.nearest(vectors(rows), F.col("vec_id") % 50 == 0, k=10).collect(), 10)
+    assert queries == 60 and hit >= 0.9
+
+
+def test_neighbours_beside_one_large_vector(vectors):
+    rows = random_rows(1500, 16, seed=5) + [(5000, [1e9] * 16)]
+    queries, hit = recall(rows, ann.nearest(vectors(rows), F.col("vec_id") % 50 == 0, k=10).collect(), 10)
+    assert queries == 31 and hit >= 0.9
