@@ -111,7 +111,8 @@ def _seed_graph(nodes: DataFrame, dims: int, k: int, trees: int, window: int, n:
                 yield pa.record_batch([pa.array(ids[rows[ok]]), pa.array(ids[cols[ok]]), pa.array(exact[ok])], schema=_EDGE)
 
     placed = nodes.select("node", "vec", "small").mapInArrow(place, "tree int, code long, at double, node long, small binary")
-    ordered = placed.repartitionByRange("tree", "code", "at").sortWithinPartitions("tree", "code", "at")
+    parts = max(1, int(np.ceil(trees * n / (16 * window))))  # full windows, whatever the session's partitions are
+    ordered = placed.repartitionByRange(parts, "tree", "code", "at").sortWithinPartitions("tree", "code", "at")
     return ordered.select("node", "small").mapInArrow(near, _EDGE_DDL)
 
 

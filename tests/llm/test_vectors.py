@@ -123,3 +123,17 @@ def test_neighbours_beside_one_large_vector(vectors):
     rows = random_rows(1500, 16, seed=5) + [(5000, [1e9] * 16)]
     queries, hit = recall(rows, ann.nearest(vectors(rows), F.col("vec_id") % 50 == 0, k=10).collect(), 10)
     assert queries == 31 and hit >= 0.9
+
+
+def test_few_neighbours_over_many_partitions(spark, vectors):
+    many = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in many}
+    rows = random_rows(8, 8, seed=7)
+    try:
+        for k, v in many.items():
+            spark.conf.set(k, v)
+        got = found(ann.nearest(vectors(rows), F.col("vec_id") == 0, k=30))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sorted(x[2] for x in got) == list(range(1, 8))
