@@ -2,10 +2,14 @@
 
 Terms of a text are its words (Unicode word characters, lower case) and their
 beginnings of 3 to 7 characters, so that forms of one stem meet. Of the terms in
-the labelled examples, those whose document counts depend on the label
-(chi-squared of at least ``CHI``, at most ``MAX_TERMS`` of them) are the space in
-which texts are compared: (1 + ln tf) times the inverse document frequency over
-ALL documents, scaled to length 1.
+the labelled examples, those whose presence depends on the label are the space in
+which texts are compared. Their effect is chi-squared over the number of examples
+(the squared correlation with the label), so that it does not grow with that
+number; ``EFFECT`` is its least value. A term weighs (1 + ln tf) times the inverse
+document frequency over ALL documents times its effect, scaled to length 1, which
+keeps chance words of few examples below words that many hold. A word that toxic
+texts alone hold passes when a fiftieth of them hold it, so some fifty texts' terms
+bound the vocabulary.
 
 The examples form an inverted index with block maxima: postings by term, cut at
 blocks of ``BLOCK`` examples, and the largest weight of each term in each block.
@@ -39,7 +43,7 @@ from pyspark.sql import types as T
 
 from .common import stored
 
-MAX_TRAIN, MAX_TERMS, CHI = 4096, 1024, 60.0
+MAX_TRAIN, EFFECT = 4096, 0.02
 K, BLOCK, SOFT, EVIDENCE = 16, 64, 0.05, 3
 BEGINNINGS = range(3, 8)
 WORD = re.compile(r"\w+")
@@ -61,8 +65,8 @@ def _examples(docs: DataFrame, labels: DataFrame, label_col: str, learn: Column
     return rows.orderBy(F.xxhash64("id"), "id", "label", F.xxhash64("text")).limit(max_train)
 
 
-def select_terms(examples: DataFrame, max_terms: int = MAX_TERMS, chi: float = CHI) -> list[str]:
-    """Terms whose presence depends on the label, most dependent first."""
+def select_terms(examples: DataFrame, least: float = EFFECT) -> dict[str, float]:
+    """Terms whose presence depends on the label and their effects, most dependent first."""
     def count(batches: Iterator[pa.RecordBatch]):
         held: dict[str, list[int]] = {}
 
@@ -87,15 +91,15 @@ def select_terms(examples: DataFrame, max_terms: int = MAX_TERMS, chi: float = C
     n = {r["y"]: r["n"] for r in examples.groupBy((F.col("label") != 0).alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}
     n0, n1 = n.get(False, 0), n.get(True, 0)
     if not n0 or not n1:
-        return []
+        return {}
     c = examples.select("text", "label").mapInArrow(count, "term string, n0 long, n1 long").groupBy("term").agg(
         F.sum("n0").cast("double").alias("a"), F.sum("n1").cast("double").alias("b"))
     have = F.col("a") + F.col("b")
     c = c.where(have < n0 + n1)
-    score = (n0 + n1) * F.pow(F.col("b") * (n0 - F.col("a")) - F.col("a") * (n1 - F.col("b")), F.lit(2.0)) / (
+    effect = F.pow(F.col("b") * (n0 - F.col("a")) - F.col("a") * (n1 - F.col("b")), F.lit(2.0)) / (
         F.lit(float(n0)) * n1 * have * (n0 + n1 - have))
-    best = c.select("term", score.alias("chi")).where(F.col("chi") >= chi).orderBy(F.desc("chi"), "term").limit(max_terms)
-    return [r["term"] for r in best.collect()]
+    best = c.select("term", effect.alias("effect")).where(F.col("effect") >= least).orderBy(F.desc("effect"), "term")
+    return {r["term"]: r["effect"] for r in best.collect()}
 
 
 def term_counts(rows: DataFrame, vocabulary: list[str]) -> DataFrame:
@@ -175,8 +179,8 @@ class BlockMaxIndex:
 class Model:
     """The index, the vocabulary's weights and the rates, as tasks share them."""
 
-    def __init__(self, vocabulary, idf, ids, labels, vectors):
-        self.vocabulary, self.idf = vocabulary, idf
+    def __init__(self, vocabulary, weight, ids, labels, vectors):
+        self.vocabulary, self.weight = vocabulary, weight
         has = np.array([len(v[0]) > 0 for v in vectors], bool)
         self.prior = (labels.sum() + 0.5) / (len(labels) + 1.0)
         without = labels[~has]
@@ -187,7 +191,7 @@ class Model:
         self.label = np.array([of[i] for i in self.index.ids.tolist()]) if len(keep) else np.empty(0)
 
     def unit(self, terms, tfs):
-        w = (1 + np.log(np.asarray(tfs, float))) * self.idf[terms]
+        w = (1 + np.log(np.asarray(tfs, float))) * self.weight[terms]
         return np.asarray(terms), w / math.sqrt(float(w @ w))
 
     def score(self, own_id, terms, tfs, k: int = K) -> tuple[float, list[int]]:
@@ -205,19 +209,20 @@ def score(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", learn: C
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     examples = stored(_examples(docs, labels, label_col, learn, id_col, text_col, max_train), "toxic-examples")
-    vocabulary = select_terms(examples)
+    effects = select_terms(examples)
+    vocabulary = list(effects)
     counted = stored(term_counts(rows, vocabulary), "toxic-terms")
     n = counted.count()
     df = np.zeros(max(1, len(vocabulary)))
     for r in counted.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect():
         df[r["t"]] = r["n"]
-    idf = np.log((1 + n) / (1 + df)) + 1
+    weight = (np.log((1 + n) / (1 + df)) + 1) * np.array([*effects.values()] or [0.0])
     got = term_counts(examples.select(F.col("id").cast("long").alias("id"), (F.col("label") != 0).cast("int").alias("label"), "text"),
                       vocabulary).orderBy("id", "label", "terms", "tfs").collect()  # at most max_train short rows
     got = [r for at, r in enumerate(got) if not at or r["id"] != got[at - 1]["id"]]
     if not got:
         return counted.select(F.col("id").alias("doc_id"), F.lit(0.5).alias("score"), F.array().cast("array<long>").alias("evidence"))
-    model = Model(vocabulary, idf, np.array([r["id"] for r in got], np.int64), np.array([r["label"] for r in got], float),
+    model = Model(vocabulary, weight, np.array([r["id"] for r in got], np.int64), np.array([r["label"] for r in got], float),
                   [(np.array(r["terms"], np.int64), np.array(r["tfs"])) for r in got])
     shared = spark.sparkContext.broadcast(model)
 

@@ -101,3 +101,12 @@ def test_toxicity_awkward(spark, awkward):
     none = toxicity.score(awkward, labels.limit(0))
     assert none.where("score != 0.5").count() == 0 and none.count() == awkward.count()
     assert toxicity.score(awkward.limit(0), labels).count() == 0
+
+
+def test_toxicity_from_few_labels(spark, docs):
+    rng = np.random.default_rng(0)
+    rows = [(i, " ".join(rng.choice(["the", "cat", "sat", "dog", "runs"], 8)) + (" vileword" if i % 5 == 0 else "")) for i in range(80)]
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(40)], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.score(docs(rows), labels).collect()}
+    assert all((got[i].score >= 0.3) == (i % 5 == 0) for i in range(80))
+    assert all(e % 5 == 0 for i in range(0, 80, 5) for e in got[i].evidence) and got[75].evidence
