@@ -46,7 +46,7 @@ SETTLED = 0.02
 BEAM, OPEN = 96, 24
 SAMPLE = 4096
 
-PAIRS = 16_384  # pairs measured at a time
+PAIRS, HELD = 16_384, 1 << 20  # pairs measured at a time, pairs a task holds before it keeps the k best of each node
 _EDGE = pa.schema([("node", pa.int64()), ("id", pa.int64()), ("d", pa.float64())])
 _EDGE_DDL = "node long, id long, d double"
 
@@ -145,9 +145,24 @@ def _descend(graph: DataFrame, small: DataFrame, dims: int, k: int, named: int,
     met = met.select(
         F.col("m.member").alias("ids"), F.col("m.fresh").alias("fresh"), F.col("m.worst").alias("worst"), F.col("m.small").alias("small"))
 
+    def best(out):
+        """The k best of each node among the pairs held are enough."""
+        node, other, d = (np.concatenate(z) for z in zip(*out))
+        order = np.lexsort((d, node))
+        node, other, d = node[order], other[order], d[order]
+        keep = np.ones(len(node), bool)
+        same = np.lexsort((d, other, node))
+        dup = np.concatenate(([False], (node[same][1:] == node[same][:-1]) & (other[same][1:] == other[same][:-1])))
+        keep[same[dup]] = False
+        node, other, d = node[keep], other[keep], d[keep]
+        starts = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
+        rank = np.arange(len(node)) - np.repeat(starts, np.diff(np.append(starts, len(node))))
+        ok = rank < k
+        return pa.record_batch([pa.array(node[ok]), pa.array(other[ok]), pa.array(d[ok])], schema=_EDGE)
+
     def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
-            out = []
+            out, held = [], 0
             for at in range(0, b.num_rows, 128):
                 part = b.slice(at, 128)
                 ids = [c.values.to_numpy() for c in part.column(0)]
@@ -170,19 +185,12 @@ def _descend(graph: DataFrame, small: DataFrame, dims: int, k: int, named: int,
                 d = _exact(x.reshape(-1, dims), g * size + r, g * size + c)
                 ok = d < worst[g, r]
                 out.append((idx[g, r][ok], idx[g, c][ok], d[ok]))
-            if sum(len(z[0]) for z in out):
-                node, other, d = (np.concatenate(z) for z in zip(*out))
-                order = np.lexsort((d, node))  # a batch's k best of each node are enough
-                node, other, d = node[order], other[order], d[order]
-                keep = np.ones(len(node), bool)
-                same = np.lexsort((d, other, node))
-                dup = np.concatenate(([False], (node[same][1:] == node[same][:-1]) & (other[same][1:] == other[same][:-1])))
-                keep[same[dup]] = False
-                node, other, d = node[keep], other[keep], d[keep]
-                starts = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
-                rank = np.arange(len(node)) - np.repeat(starts, np.diff(np.append(starts, len(node))))
-                ok = rank < k
-                yield pa.record_batch([pa.array(node[ok]), pa.array(other[ok]), pa.array(d[ok])], schema=_EDGE)
+                held += len(out[-1][0])
+                if held > HELD:
+                    yield best(out)
+                    out, held = [], 0
+            if held:
+                yield best(out)
 
     return met.mapInArrow(run, _EDGE_DDL)
 
