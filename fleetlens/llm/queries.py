@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, lines, mixing, quality, sharding, simhash, spm, topk, toxicity
+from . import ann, chat, jaccard, lexical, lines, middle, mixing, quality, sharding, simhash, spm, topk, toxicity
 from .common import native_bytes, table
 
 #: Below this score a document counts as label 0 (both classifiers).
@@ -82,9 +82,25 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(F.coalesce("_line_kept", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 documents of highest score for every benchmark item."""
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut in prefix, middle and suffix: counts, and digests of the output and of the text restored from it."""
+    return middle.fill_in_middle_digests(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component and set size of every document; links at a Jaccard similarity of 0.8 or more of 5-word shingles."""
+    return jaccard.jaccard_classes(table(spark, sf_dir, "documents"), words=5, percent=80)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_chat_format, op2_spm_encode, op3_exact_topk, op4_mix_sources, op5_quality, op6_extendible_shards,
-    op7_simhash, op8_ann, op9_toxicity, op10_line_dedup)}
+    op7_simhash, op8_ann, op9_toxicity, op10_line_dedup, op11_lexical_search, op12_fill_in_middle,
+    op13_jaccard_join)}
 
 
 _OP1 = r"""
@@ -163,5 +179,49 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
 FROM m GROUP BY doc_id
 """
 
-ORACLES = {"op1_chat_format": _OP1, "op3_exact_topk": _OP3, "op4_mix_sources": _OP4,
+_OP11 = r"""
+WITH x AS (SELECT *, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(low, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM x),
+s AS (SELECT count(*) FILTER (len(t) > 0) AS n_docs, sum(len(t))::BIGINT AS n_terms FROM d),
+p AS (SELECT r, doc_id, term, any_value(n) AS n, count(*) AS tf FROM (SELECT r, doc_id, len(t) AS n, unnest(t) AS term FROM d) GROUP BY r, doc_id, term),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM p, s GROUP BY term),
+b AS (SELECT item_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM benchmark),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(low, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM b),
+c AS (SELECT item_id, r, any_value(doc_id) AS doc_id,
+             sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + ((50 * n * n_docs) // n_terms)))))::BIGINT AS score
+      FROM q JOIN p USING (term) JOIN w USING (term), s GROUP BY item_id, r),
+o AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank, doc_id, score FROM c WHERE score > 0)
+SELECT * FROM o WHERE rank <= 50
+"""
+
+_OP12 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h,
+                  regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS t FROM documents),
+k AS (SELECT *, len(t) AS n, ('0x' || substr(h, 1, 8))::BIGINT % (len(t) + 1) AS a, ('0x' || substr(h, 9, 8))::BIGINT % (len(t) + 1) AS b,
+             CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+                       OR ('0x' || substr(h, 17, 8))::BIGINT % 100 >= 50 THEN 'plain'
+                  WHEN ('0x' || substr(h, 25, 8))::BIGINT % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM d),
+c AS (SELECT *, coalesce(array_to_string(t[1:least(a, b)], ''), '') AS prefix, coalesce(array_to_string(t[least(a, b) + 1:greatest(a, b)], ''), '') AS middle,
+             coalesce(array_to_string(t[greatest(a, b) + 1:], ''), '') AS suffix FROM k)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle
+                        ELSE '<P>' || prefix || '<S>' || suffix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256 FROM c
+"""
+
+_OP13 = r"""
+WITH RECURSIVE x AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents),
+w AS (SELECT r, doc_id, regexp_extract_all(low, '[^\x20\x09-\x0D]+') AS w FROM x),
+d AS (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                             ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+g AS (SELECT r, unnest(s) AS s FROM d),
+p AS (SELECT a.r AS x, b.r AS y, count(*) AS shared FROM g a JOIN g b ON a.s = b.s AND a.r < b.r GROUP BY a.r, b.r),
+l AS (SELECT x, y FROM p JOIN d a ON a.r = x JOIN d b ON b.r = y WHERE 100 * shared >= 80 * (len(a.s) + len(b.s) - shared)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+reach AS (SELECT r, r AS other FROM d UNION SELECT reach.r, e.y FROM reach JOIN e ON e.x = reach.other),
+c AS (SELECT reach.r, min(d.doc_id) AS component_id FROM reach JOIN d ON d.r = reach.other GROUP BY reach.r)
+SELECT doc_id, len(s) AS n_shingles, component_id FROM d JOIN c USING (r)
+"""
+
+ORACLES = {"op11_lexical_search": _OP11, "op12_fill_in_middle": _OP12, "op13_jaccard_join": _OP13,
+           "op1_chat_format": _OP1, "op3_exact_topk": _OP3, "op4_mix_sources": _OP4,
            "op6_extendible_shards": _OP6, "op10_line_dedup": _OP10}
