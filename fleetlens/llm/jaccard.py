@@ -106,7 +106,9 @@ def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
     h = np.full(n, k, np.uint64)
     for i in range(k):
         h += w[i:i + n] * odd[i]
-    return np.unique(_mix(h))
+    h = _mix(h)
+    h.sort()
+    return h[np.concatenate(([True], h[1:] != h[:-1]))]
 
 
 def class_of(h: np.ndarray) -> int:
@@ -150,26 +152,40 @@ class Bands:
         return out
 
 
-def part_words(h: np.ndarray, group: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """(word, number of set bits) of every part of a set's sketch in a group."""
-    part = ((h >> _U(32)) * _U(parts)) >> _U(32)
-    bit = (part << _U(32)) | (h & _U(0xFFFFFFFF))
-    order = np.sort(bit)
-    if (order[1:] == order[:-1]).any():  # an even number of shingles on a bit leaves it unset
-        bit, n = np.unique(order, return_counts=True)
-        bit = bit[n % 2 == 1]
-        part = bit >> _U(32)
-    word = np.zeros(parts, np.uint64)
+def part_words(sets: list[np.ndarray], groups: list[int], parts: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, word, number of set bits) of every part of the sketches of several sets, set i in its group."""
+    n = np.array(parts, np.uint64)
+    base = np.concatenate(([0], np.cumsum(n)))[:-1].astype(np.uint64)
+    sizes = [len(h) for h in sets]
+    h = np.concatenate(sets)
+    place = (((h >> _U(32)) * np.repeat(n, sizes)) >> _U(32)) + np.repeat(base, sizes)
+    bit = np.sort((place << _U(32)) | (h & _U(0xFFFFFFFF)))
+    if (bit[1:] == bit[:-1]).any():  # an even number of shingles on a bit leaves it unset
+        bit, times = np.unique(bit, return_counts=True)
+        bit = bit[times % 2 == 1]
+    row = np.repeat(np.arange(len(sets)), parts)
+    inside = np.arange(len(row), dtype=np.uint64) - base[row]
+    place = (bit >> _U(32)).astype(np.int64)
+    word = np.zeros(len(row), np.uint64)
     if len(bit):
-        starts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-        word[part[starts].astype(np.int64)] = np.bitwise_xor.reduceat(_mix(bit + _U(1)), starts)
-    where = (_U(group) << _U(32)) | np.arange(parts, dtype=np.uint64)
-    return _mix(word ^ _mix(~where)), np.bincount(part.astype(np.int64), minlength=parts)
+        starts = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
+        word[place[starts]] = np.bitwise_xor.reduceat(_mix(((inside[place] << _U(32)) | (bit & _U(0xFFFFFFFF))) + _U(1)), starts)
+    where = (np.array(groups, np.uint64)[row] << _U(32)) | inside
+    return row, _mix(word ^ _mix(~where)), np.bincount(place, minlength=len(row))
+
+
+def first_words(row: np.ndarray, word: np.ndarray, load: np.ndarray, hot: np.ndarray, want: list[int]) -> np.ndarray:
+    """Indices of each row's first ``want`` words (at least): frequent words last, words of many bits first, then by hash."""
+    order = (hot.astype(np.uint64) << _U(63)) | ((255 - np.minimum(load, 255)).astype(np.uint64) << _U(55)) | (word >> _U(9))
+    at = np.lexsort((order, row))
+    starts = np.searchsorted(row, np.arange(len(want)))
+    last = order[at[starts + np.array(want) - 1]]
+    return at[order[at] <= last[row[at]]]
 
 
 def dense_sketch(h: np.ndarray) -> bytes:
-    """A parity sketch of at least two bits a shingle (a power of two, 64 or more), packed."""
-    bits = max(64, 1 << (2 * len(h) - 1).bit_length())
+    """A parity sketch of at least four bits a shingle (a power of two, 64 or more), packed."""
+    bits = max(64, 1 << (4 * len(h) - 1).bit_length())
     parity = np.bincount((h & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(parity.astype(np.uint8)).tobytes()
 
@@ -196,20 +212,18 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _digests(texts: DataFrame, words: int) -> DataFrame:
-    """``doc_id, th, n, cls, sketch, fold`` of every row, null from ``cls`` on for the empty set."""
-    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("sketch", pa.binary()), ("fold", pa.binary())])
+    """``doc_id, th, n, cls, sketch`` of every row; class and sketch are null for the empty set."""
+    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("sketch", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
             sets = [shingle_set(t.as_py(), words) for t in b.column(2)]
-            sketches = [dense_sketch(h) if len(h) else None for h in sets]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array([len(h) for h in sets], pa.int64()),
                  pa.array([class_of(h) if len(h) else None for h in sets], pa.int64()),
-                 pa.array(sketches, pa.binary()),
-                 pa.array([x if x is None else folded(x, CARRIED).tobytes() for x in sketches], pa.binary())], schema=schema)
+                 pa.array([dense_sketch(h) if len(h) else None for h in sets], pa.binary())], schema=schema)
 
-    return texts.mapInArrow(run, "doc_id long, th long, n long, cls long, sketch binary, fold binary")
+    return texts.mapInArrow(run, "doc_id long, th long, n long, cls long, sketch binary")
 
 
 def _words_of(texts: DataFrame, words: int, percent: int, frequent: np.ndarray | None) -> DataFrame:
@@ -218,9 +232,22 @@ def _words_of(texts: DataFrame, words: int, percent: int, frequent: np.ndarray |
 
     def run(batches: Iterator[pa.RecordBatch]):
         bands, seen = Bands(percent), set()
+        todo: list[tuple] = []
+
+        def out():
+            sets, classes, groups, parts, want = map(list, zip(*todo))
+            row, word, load = part_words(sets, groups, parts)
+            salt = np.zeros(len(word), np.int32)
+            if frequent is not None:
+                hot = np.isin(word, frequent) if len(frequent) else np.zeros(len(word), bool)
+                first = first_words(row, word, load, hot, want)
+                row, word, hot = row[first], word[first], hot[first]
+                salt = np.where(hot, np.array(classes, np.int64)[row] % SALTS + 1, 0).astype(np.int32)
+            return pa.record_batch([pa.array(word.view(np.int64)), pa.array(salt), pa.array(np.array(classes, np.int64)[row])], schema=schema)
+
+        size = 0
         for b in batches:
-            out, size = [], 0
-            for t in b.column(b.schema.get_field_index("text")):
+            for t in b.column(0):
                 h = shingle_set(t.as_py(), words)
                 if not len(h):
                     continue
@@ -230,21 +257,15 @@ def _words_of(texts: DataFrame, words: int, percent: int, frequent: np.ndarray |
                 if len(seen) >= HELD:
                     seen.clear()
                 seen.add(c)
-                for group, parts, want in bands.groups(len(h)):
-                    word, load = part_words(h, group, parts)
-                    salt = np.zeros(parts, np.int32)
-                    if frequent is not None:
-                        at = np.searchsorted(frequent, word)
-                        hot = frequent[np.minimum(at, len(frequent) - 1)] == word if len(frequent) else np.zeros(parts, bool)
-                        first = np.lexsort((word, -load, hot))[:want]
-                        word, salt = word[first], np.where(hot[first], c % SALTS + 1, 0).astype(np.int32)
-                    out.append((word.view(np.int64), salt, np.full(len(word), c, np.int64)))
-                    size += len(word)
-                if size > 1 << 18:
-                    yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*out)], schema=schema)
-                    out, size = [], 0
-            if out:
-                yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*out)], schema=schema)
+                for g, p, w in bands.groups(len(h)):
+                    todo.append((h, c, g, p, w))
+                    size += len(h)
+                if size > 1 << 16:
+                    yield out()
+                    todo.clear()
+                    size = 0
+        if todo:
+            yield out()
 
     return texts.select("text").mapInArrow(run, "word long, salt int, cls long")
 
@@ -289,9 +310,9 @@ def _stars(filed: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "word long, salt int, a long, b long")
 
 
-def _near_members(member: DataFrame, percent: int) -> DataFrame:
+def _near_members(member: DataFrame, percent: int, nearest: bool) -> DataFrame:
     """``a, b``: of the sets that share a word and lie in different components (columns ``word, cls, root, n,
-    sketch``), the pairs within the Hamming bound of their sketches, each once for every word.
+    sketch``), the pairs within the Hamming bound of their sketches; with ``nearest`` only each set's nearest.
 
     Words of many sets are cut into blocks, and a task compares two blocks at a time.
     """
@@ -300,23 +321,32 @@ def _near_members(member: DataFrame, percent: int) -> DataFrame:
     both = F.transform(F.sequence(F.lit(0), F.col("c") - 1), lambda i: F.struct(F.least(i, "own").alias("lo"), F.greatest(i, "own").alias("hi")))
     rows = rows.select("word", "own", "cls", "root", "n", "sketch", F.explode(both).alias("x")).select("word", "x.lo", "x.hi", "own", "cls", "root", "n", "sketch")
 
+    seen: set[tuple[int, int]] = set()
+
     def compare(own, cls, root, n, sketches, lo, hi):
-        size = min(map(len, sketches))
+        size = min(CARRIED, *map(len, sketches))
         w = np.stack([folded(x, size) for x in sketches])
         left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
         step = max(1, (1 << 21) // max(1, len(right) * w.shape[1]))
-        for at in range(0, len(left), step):
+        for at in range(0, len(left) if len(right) else 0, step):
             i = left[at:at + step, None]
             d = np.bitwise_count(w[i] ^ w[right][None]).sum(axis=2, dtype=np.int64)
             ok = (root[i] != root[right]) & (d <= most_apart(n[i], n[right], percent))
             if lo == hi:
-                ok &= cls[i] < cls[right]
-            x, y = np.nonzero(ok)
+                ok &= cls[i] != cls[right]
+            if nearest:
+                d[~ok] = 1 << 40
+                ok &= d == d.min(axis=1, keepdims=True)
+                x = np.flatnonzero(ok.any(axis=1))
+                y = ok[x].argmax(axis=1)
+            else:
+                x, y = np.nonzero(ok & (cls[i] < cls[right]) if lo == hi else ok)
             if len(x):
-                yield pa.record_batch([pa.array(cls[left[at + x]]), pa.array(cls[right[y]])], names=["a", "b"])
+                yield cls[left[at + x]], cls[right[y]]
 
     def run(batches: Iterator[pa.RecordBatch]):
         held = None
+        seen.clear()
         for b in batches:
             if not b.num_rows:
                 continue
@@ -331,7 +361,13 @@ def _near_members(member: DataFrame, percent: int) -> DataFrame:
 
     def group(t: pa.Table):
         _, lo, hi, own, cls, root, n = (t.column(i).to_numpy() for i in range(7))
-        yield from compare(own, cls, root, n, t.column(7).to_pylist(), lo[0], hi[0])
+        for a, b in compare(own, cls, root, n, t.column(7).to_pylist(), lo[0], hi[0]):
+            pairs = {(min(x), max(x)) for x in zip(a.tolist(), b.tolist())} - seen  # many words show a pair
+            if len(seen) > HELD:
+                seen.clear()
+            seen.update(pairs)
+            a, b = np.array(list(pairs), np.int64).reshape(-1, 2).T
+            yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
 
     rows = rows.repartition("word", "lo", "hi").sortWithinPartitions("word", "lo", "hi")
     return rows.mapInArrow(run, "a long, b long")
@@ -341,38 +377,62 @@ def _pairs(df: DataFrame) -> DataFrame:
     return df.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int, keep) -> DataFrame:
-    """The linked ones of candidate pairs of classes ``a, b``."""
-    side = lambda c: classes.select(F.col("cls").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"), F.col("th").alias(f"t{c}"))
-    rows = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb", "na", "nb", "sa", "sb")
+def _of_texts(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """One of ``rows`` for every text hash in the pairs' ``ta, tb``."""
+    wanted = pairs.select(F.col("ta").alias("th")).union(pairs.select(F.col("tb").alias("th"))).distinct()
+    return rows.join(bounded_broadcast(wanted), "th").dropDuplicates(["th"])
+
+
+def _folded(digests: DataFrame, members: DataFrame) -> DataFrame:
+    """``th, sketch`` of the members, at most ``CARRIED`` bytes of each."""
+    def run(batches: Iterator[pa.RecordBatch]):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([folded(x.as_py(), CARRIED).tobytes() for x in b.column(1)], pa.binary())],
+                                             names=["th", "sketch"])
+
+    wanted = members.select("th").distinct()
+    rows = digests.where("sketch is not null").select("th", "sketch").join(bounded_broadcast(wanted), "th")
+    return rows.mapInArrow(run, "th long, sketch binary").dropDuplicates(["th"])
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, digests: DataFrame, texts: DataFrame, words: int, percent: int, keep) -> DataFrame:
+    """The linked ones of candidate pairs of classes ``a, b``: sizes, then sketches, then texts."""
+    side = lambda c: classes.select(F.col("cls").alias(c), F.col("n").alias(f"n{c}"), F.col("th").alias(f"t{c}"))
+    rows = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    rows = keep(rows.select("a", "b", "ta", "tb", "na", "nb"), "sized")
+    sketches = _of_texts(digests.select("th", "sketch"), rows)
+    rows = (rows.join(sketches.select(F.col("th").alias("ta"), F.col("sketch").alias("sa")), "ta")
+            .join(sketches.select(F.col("th").alias("tb"), F.col("sketch").alias("sb")), "tb").select("a", "b", "ta", "tb", "na", "nb", "sa", "sb"))
 
     def near(batches: Iterator[pa.RecordBatch]):
         for b in batches:
-            na, nb = b.column(4).to_pylist(), b.column(5).to_pylist()
-            sa, sb = b.column(6), b.column(7)
-            ok = [100 * min(n, m) >= percent * max(n, m) and hamming(x.as_py(), y.as_py()) <= most_apart(n, m, percent)
-                  for n, m, x, y in zip(na, nb, sa, sb)]
+            ok = [hamming(x.as_py(), y.as_py()) <= most_apart(n, m, percent)
+                  for n, m, x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), b.column(6), b.column(7))]
             yield b.select([0, 1, 2, 3]).filter(pa.array(ok, pa.bool_()))
 
     left = keep(rows.mapInArrow(near, "a long, b long, ta long, tb long"), "near")
-    wanted = left.select(F.col("ta").alias("th")).union(left.select(F.col("tb").alias("th"))).distinct()
-    found = texts.select("th", "text").join(bounded_broadcast(wanted), "th").dropDuplicates(["th"])
-    found = keep(found, "texts")
-    both = (left.join(found.select(F.col("th").alias("tb"), F.col("text").alias("xb")), "tb")
-            .join(found.select(F.col("th").alias("ta"), F.col("text").alias("xa")), "ta").select("a", "b", "xa", "xb"))
+    # the partners of one set come in salted groups, each with that set's text first
+    counts = left.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("c"), F.min("ta").alias("th"))
+    heads = counts.select("th", "a", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"))
+    partners = left.join(counts.select("a", "c"), "a").select(F.col("tb").alias("th"), "a", F.pmod(F.xxhash64("b"), "c").cast("int").alias("salt"), "b")
+    both = heads.unionByName(partners).join(_of_texts(texts.select("th", "text"), left), "th").select("a", "salt", "b", "text")
 
     def exact(batches: Iterator[pa.RecordBatch]):
-        last, x = None, None
-        for b in batches:
-            ok = []
-            for a, u, v in zip(b.column(0).to_pylist(), b.column(2), b.column(3)):
-                if a != last:
-                    last, x = a, shingle_set(u.as_py(), words)
-                y = shingle_set(v.as_py(), words)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+        x = None
+        for batch in batches:
+            out = []
+            for a, b, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+                y = shingle_set(text.as_py(), words)
+                if b is None:
+                    x = y
+                    continue
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * shared >= percent * (len(x) + len(y) - shared):
+                    out.append((a, b))
+            a, b = np.array(out, np.int64).reshape(-1, 2).T
+            yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
 
+    both = both.repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
     return keep(both.mapInArrow(exact, "a long, b long"), "links")
 
 
@@ -396,7 +456,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     digests.write.parquet(path)
     digests = spark.read.schema(digests.schema).parquet(path)
     classes = keep(digests.where("cls is not null").groupBy("cls").agg(
-        F.min("doc_id").alias("first"), F.min(F.struct("th", "n", "sketch", "fold")).alias("x")).select("cls", "first", "x.*"), "classes")
+        F.min("doc_id").alias("first"), F.min("th").alias("th"), F.min("n").alias("n")), "classes")
 
     filed = _words_of(texts, words, percent, frequent_words(texts, words, percent, keep))
     stars = keep(_stars(filed), "stars")
@@ -404,22 +464,27 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     heads = heads.join(heads.groupBy("word").agg(F.min("a").alias("least")), "word").select("word", F.col("least").alias("a"), F.col("a").alias("b"))
     stars = stars.select("word", "a", "b").unionByName(heads)
     tried = keep(_pairs(stars), "tried")
-    links = _verified(tried, classes, texts, words, percent, keep)
+    links = _verified(tried, classes, digests, texts, words, percent, keep)
 
-    # pairs that share a word but lie in different components and were not a star's
-    part = components(links)
+    # pairs that share a word but lie in different components and were not tried: first each set's nearest, then all
     many = stars.groupBy("word").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    member = stars.join(many, "word").select("word", F.explode(F.array("a", "b")).alias("cls")).distinct()
-    member = member.join(part.withColumnRenamed("node", "cls"), "cls", "left").select("word", "cls", F.coalesce("root", "cls").alias("root"))
-    split = member.groupBy("word").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("word")
-    member = keep(member.join(split, "word").join(classes.select("cls", "n", F.col("fold").alias("sketch")), "cls")
-                  .select("word", "cls", "root", "n", "sketch"), "members")
-    more = _pairs(_near_members(member, percent))
-    more = keep(more.join(tried, ["a", "b"], "left_anti"), "more")
-    if not more.isEmpty():
-        links = links.unionByName(_verified(more, classes, texts, words, percent, keep))
-
+    member = keep(stars.join(many, "word").select("word", F.explode(F.array("a", "b")).alias("cls")).distinct(), "members")
     part = components(links)
+    for nearest in (True, False):
+        rooted = member.join(part.withColumnRenamed("node", "cls"), "cls", "left").select("word", "cls", F.coalesce("root", "cls").alias("root"))
+        split = rooted.groupBy("word").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("word")
+        rooted = keep(rooted.join(split, "word").join(classes.select("cls", "n", "th"), "cls"), "split")
+        sketches = _folded(digests, rooted)
+        more = _pairs(_near_members(rooted.join(sketches, "th").select("word", "cls", "root", "n", "sketch"), percent, nearest))
+        more = keep(more.join(tried, ["a", "b"], "left_anti"), "more")
+        if more.isEmpty():
+            continue
+        found = _verified(more, classes, digests, texts, words, percent, keep)
+        tried = tried.unionByName(more)
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            part = components(links)
+
     named = classes.select("cls", "first").join(part.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     path = shared_dir(spark, "jaccard-named")
