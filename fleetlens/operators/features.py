@@ -15,12 +15,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..session import materialize
 from .lookups import bounded_broadcast, flag_in_set, lookup_mean
+from .ordering import positions
 
 # Luxury make lists (service list and notebook list).
 LUXURY_SERVICE = ["TESLA", "BMW", "MERCEDES-BENZ", "AUDI", "JAGUAR", "PORSCHE"]
@@ -79,9 +80,8 @@ def notebook_features(df: DataFrame, make="Make", model="Model", year="Model Yea
         F.col("k_city").alias(city), F.lit(1).alias("is_urban"))
     make_t = part("k_make")
     total_make = make_t.agg(F.sum("n")).first()[0]
-    labels = (part("k_cafv").select(F.col("k_cafv").alias("_lab_v"))
-              .select("_lab_v", (F.dense_rank().over(Window.orderBy("_lab_v")) - 1).cast("int")
-                      .alias(f"{cafv}_encoded")))
+    cafv_t = stats.where((F.col("gid") == gid["k_cafv"]) & F.col("k_cafv").isNotNull()).select(F.col("k_cafv").alias("_lab_v"))
+    labels = bounded_broadcast(positions(cafv_t, ["_lab_v"], "_p").select("_lab_v", F.col("_p").cast("int").alias(f"{cafv}_encoded")))
     out = df.select("*",
                     S.age_from_year(year, ref_year).alias("vehicle_age"),
                     flag_in_set(make, luxury, upper=False).alias("is_luxury"),
@@ -129,20 +129,18 @@ class LabelEncoderModel:
         new = (df.select(self._key(df).alias("value")).distinct()
                .join(self.labels.select("value"), "value", "left_anti"))
         top = self.labels.agg(F.coalesce(F.max("index"), F.lit(-1))).first()[0]
-        new_idx = new.select("value", (F.lit(top) + F.dense_rank().over(Window.orderBy("value"))).cast("int")
-                             .alias("index"))
+        new_idx = positions(new, ["value"], "_p").select("value", (F.lit(top + 1) + F.col("_p")).cast("int").alias("index"))
         return LabelEncoderModel(self.column, self.labels.unionByName(new_idx), self.fill, self.max_broadcast)
 
 
 def fit_label_encoder(df: DataFrame, col: str, fill: str = "nan") -> LabelEncoderModel:
     """Category -> index in sorted order of the text (null becomes ``fill``).
 
-    The category table has one row per distinct value; its index comes from a
-    window over that table only (category counts, not row counts).
+    The category table has one row per distinct value; its index is the value's
+    position in a range-partitioned sort of that table, so no task sees all values.
     """
     key = F.coalesce(F.col(f"`{col}`").cast("string"), F.lit(fill))
-    labels = (df.select(key.alias("value")).distinct()
-              .select("value", (F.dense_rank().over(Window.orderBy("value")) - 1).cast("int").alias("index")))
+    labels = positions(df.select(key.alias("value")).distinct(), ["value"], "_p").select("value", F.col("_p").cast("int").alias("index"))
     return LabelEncoderModel(col, labels, fill)
 
 
@@ -221,40 +219,29 @@ def hash_order(cols, seed: int = 42) -> Column:
     return F.conv(F.substring(F.md5(txt), 1, 15), 16, 10).cast("long")
 
 
-def rank_within(df: DataFrame, groups, order: str, rows_per_bucket: int = 200_000,
+def rank_within(df: DataFrame, groups, order: str, rows_per_bucket: int | None = None,
                 out: str = "_rank", tiebreak=(), keep_size: str | None = None) -> DataFrame:
-    """Exact 0-based rank of each row inside its group by ``order`` (numeric),
-    then ``tiebreak`` columns, without one task per group.
+    """Exact 0-based rank of each row inside its group by ``order``, then
+    ``tiebreak`` columns, without one task per group.
 
-    Each group is cut into ceil(n / rows_per_bucket) equal-width ranges of the
-    order value; bucket counts give each bucket's offset (a window over
-    buckets, not rows), and row_number runs inside each (group, bucket) only.
-    The input is written as a checkpoint because the group sizes, the bucket
-    counts and the ranking all read it; upstream work runs once.
-    ``keep_size`` keeps the group size as a column of that name.
+    Rows are sorted by (groups, order, tiebreak, row hash) over range partitions
+    cut at sampled splitters, so a hot group, a crowded range of order values and
+    rows of one order value all spread over many tasks. A row's rank is its
+    position less the least position in its group; that table has one row per
+    group and is broadcast only if it is proven small. ``keep_size`` keeps the
+    group size as a column of that name; ``rows_per_bucket`` asks for partitions of
+    about so many rows (default: the session's shuffle partitions).
 
     No row is lost: null group values are a group of their own, and rows with a
-    null order value rank first in their group, in a bucket of their own.
+    null order value rank first in their group, in any number of partitions.
     """
     groups = list(groups)
-    df = materialize(df)
-    sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_gn"), F.min(order).alias("_lo"),
-                                    F.max(order).alias("_hi"))
-    nb = F.greatest(F.lit(1), F.ceil(F.col("_gn") / F.lit(rows_per_bucket)))
-    sized = _nsjoin(df, bounded_broadcast(materialize(sizes.select(*groups, "_gn", nb.alias("_nb"), "_lo", "_hi"))), groups)
-    rel = (F.col(order) - F.col("_lo")).cast("double") / (F.col("_hi") - F.col("_lo")).cast("double")
-    bucket = F.when(F.col(order).isNull(), F.lit(-1)).when(F.col("_hi") == F.col("_lo"), F.lit(0)).otherwise(
-        F.least(F.floor(rel * F.col("_nb")), F.col("_nb") - 1))
-    sized = sized.withColumn("_bucket", bucket.cast("long"))
-    bcounts = sized.groupBy(*groups, "_bucket").agg(F.count(F.lit(1)).alias("_bn"))
-    w = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = bcounts.select(*groups, "_bucket", F.coalesce(F.sum("_bn").over(w), F.lit(0)).alias("_off"))
-    ranked = _nsjoin(sized, bounded_broadcast(materialize(offsets)), groups + ["_bucket"])
-    rw = Window.partitionBy(*groups, "_bucket").orderBy(order, *tiebreak)
-    ranked = ranked.withColumn(out, F.col("_off") + F.row_number().over(rw) - 1)
+    placed = positions(df, [*groups, order, *tiebreak], "_pos", rows_per_bucket)
+    starts = materialize(placed.groupBy(*groups).agg(F.min("_pos").alias("_lo"), F.count(F.lit(1)).alias("_gn")))
+    ranked = _nsjoin(placed, bounded_broadcast(starts), groups).withColumn(out, F.col("_pos") - F.col("_lo"))
     if keep_size:
         ranked = ranked.withColumnRenamed("_gn", keep_size)
-    return ranked.drop("_nb", "_bucket", "_off", "_lo", "_hi", "_gn")
+    return ranked.drop("_pos", "_lo", "_gn")
 
 
 def split_train_test(df: DataFrame, key_cols, label: str | None = None, test_size: float = 0.2,

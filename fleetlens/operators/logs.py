@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lookups import bounded_broadcast
+from .ordering import runs as numbered_runs
 from .quantiles import quantiles
 
 # Alert rules (metric, comparison, threshold, hold time).
@@ -44,10 +46,31 @@ def request_rate(df: DataFrame, ts: str, size: str = "5 minutes", seconds: int =
 
 def sliding_rate(df: DataFrame, ts: str, size: str = "5 minutes", slide: str = "15 seconds",
                  seconds: int = 300) -> DataFrame:
-    """Requests per second over ``size`` evaluated every ``slide``."""
-    return (df.groupBy(_win(ts, size, slide).alias("w")).agg(F.count(F.lit(1)).alias("requests"))
-            .select(F.col("w.start").alias("window_start"), "requests",
-                    (F.col("requests") / F.lit(float(seconds))).alias("rate")))
+    """Requests per second over ``size`` evaluated every ``slide`` (see ``sliding_windows``)."""
+    panes = df.groupBy(_win(ts, slide).alias("w")).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("pane"), "n")
+    return (sliding_windows(panes, size, slide, F.sum("n").alias("requests"))
+            .select("window_start", "requests", (F.col("requests") / F.lit(float(seconds))).alias("rate")))
+
+
+def interval_seconds(text: str) -> int:
+    """Seconds of a text such as "5 minutes" (a whole number of seconds, minutes, hours or days)."""
+    n, unit = text.split()
+    return int(n) * {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[unit.rstrip("s")]
+
+
+def sliding_windows(panes: DataFrame, size: str, slide: str, *aggs: Column) -> DataFrame:
+    """Windows of ``size`` every ``slide`` from partial results of one ``slide`` each (column ``pane``: its start).
+
+    Rows are aggregated once, to their pane; only panes (at most one row per
+    slide) are copied to the ``size / slide`` windows that hold them. ``size``
+    must be a multiple of ``slide``.
+    """
+    width, step = interval_seconds(size), interval_seconds(slide)
+    if width % step:
+        raise ValueError("the window's size must be a multiple of its slide")
+    back = F.sequence(F.lit(0), F.lit(width - step), F.lit(step))
+    starts = panes.select("*", F.explode(F.transform(back, lambda s: F.col("pane") - F.make_dt_interval(secs=s))).alias("window_start"))
+    return starts.groupBy("window_start").agg(*aggs)
 
 
 def success_rate(df: DataFrame, ts: str, is_error: Column, size: str = "5 minutes") -> DataFrame:
@@ -110,9 +133,9 @@ def rules_frame(spark, rules=ALERT_RULES) -> DataFrame:
 def alert_threshold(metrics: DataFrame, rules: DataFrame) -> DataFrame:
     """(window_start, metric, value) joined to the rules on metric -> firing flag.
 
-    The rules table is a handful of rows (broadcast, bounded by the rule set).
+    The rules table is broadcast if it is proven small.
     """
-    j = metrics.join(F.broadcast(rules), "metric")
+    j = metrics.join(bounded_broadcast(rules), "metric")
     fire = (F.when(F.col("op") == ">", F.col("value") > F.col("threshold"))
             .when(F.col("op") == "<", F.col("value") < F.col("threshold"))
             .when(F.col("op") == ">=", F.col("value") >= F.col("threshold"))
@@ -127,14 +150,11 @@ def alert_sustained(conditions: DataFrame, step_seconds: int, hold_col: str | No
     a run fires once it has lasted ``hold`` (one row per run).
 
     Input rows: (alert, window_start, condition). Windows are consecutive
-    when they are ``step_seconds`` apart.
+    when they are ``step_seconds`` apart. The history of an alert is sorted over
+    range partitions, and runs go on across them (see ``ordering.runs``).
     """
     t = F.unix_seconds(F.col("window_start").cast("timestamp"))
-    on = conditions.where(F.col("condition")).withColumn("_t", t)
-    w = Window.partitionBy("alert").orderBy("_t")
-    gap = F.when(F.lag("_t").over(w).isNull() | ((F.col("_t") - F.lag("_t").over(w)) != step_seconds), 1).otherwise(0)
-    isl = on.withColumn("_new", gap).withColumn("_island", F.sum("_new").over(
-        w.rowsBetween(Window.unboundedPreceding, 0)))
+    isl = numbered_runs(conditions.where(F.col("condition")).withColumn("_t", t), "alert", "_t", step_seconds, "_island")
     hold = F.max(hold_col) if hold_col else F.lit(hold_seconds)
     runs = isl.groupBy("alert", "_island").agg(F.min("window_start").alias("start"), F.max("window_start").alias("last"),
                                                F.count(F.lit(1)).alias("windows"), hold.alias("_hold"))

@@ -20,9 +20,11 @@ than 3 and kurtosis of fewer than 4 values, shares of an empty frame.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordering import prefix_sums
+
 
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -85,30 +87,12 @@ def precision_recall_f1(df: DataFrame, y: str, p: str) -> DataFrame:
                         *[F.lit(m).cast("double").alias(c) for c in ("precision_micro", "recall_micro", "f1_micro")])
 
 
-def prefix_sum(df: DataFrame, order: str, value: str, out: str, rows_per_bucket: int = 1_000_000,
+def prefix_sum(df: DataFrame, order: str, value: str, out: str, rows_per_bucket: int | None = None,
                inclusive: bool = False) -> DataFrame:
     """Running sum of ``value`` in ``order`` (unique values) over the whole
-    frame, without a single-task window: equal-width buckets of ``order``,
-    bucket totals -> offsets (a window over buckets), then a window per bucket."""
-    st = df.agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("lo"), F.max(order).alias("hi")).first()
-    n, lo, hi = st["n"], st["lo"], st["hi"]
-    if not n:
-        return df.withColumn(out, F.lit(0))
-    nb = max(1, -(-n // rows_per_bucket))
-    if hi == lo:
-        bucket = F.lit(0)
-    else:
-        bucket = F.least(F.floor((F.col(order) - F.lit(lo)).cast("double") / F.lit(float(hi - lo)) * nb),
-                         F.lit(nb - 1))
-    b = df.withColumn("_pb", bucket.cast("long"))
-    tot = b.groupBy("_pb").agg(F.sum(value).alias("_tot"))
-    off = tot.select("_pb", F.coalesce(F.sum("_tot").over(
-        Window.orderBy("_pb").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    frame = (Window.partitionBy("_pb").orderBy(order)
-             .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
-    return (b.join(F.broadcast(off), "_pb")
-            .withColumn(out, F.col("_off") + F.coalesce(F.sum(value).over(frame), F.lit(0)))
-            .drop("_pb", "_off"))
+    frame: range partitions at sampled splitters, so no task gets more than its
+    share where the values crowd together (see ``ordering``)."""
+    return prefix_sums(df, [order], value, out, inclusive, rows_per_bucket)
 
 
 def roc_auc(df: DataFrame, y: str, score: str, positive=1, method: str = "exact") -> DataFrame:
@@ -251,6 +235,64 @@ def silhouette_sq(long: DataFrame, id_col: str, label: str) -> DataFrame:
     return s.agg(F.avg("s").alias("silhouette"))
 
 
+def clustering_metrics(df: DataFrame, vec: str, label: str, noise=-1, max_clusters: int = 1000) -> DataFrame:
+    """One row: ``n_clusters, within_cost, silhouette_sq, calinski_harabasz, davies_bouldin``.
+
+    Two scans: the first sums every cluster's vectors (arrays, combined before the
+    shuffle; k rows of D numbers come back), the second scores each row against the
+    matrix of all centres in one projection, so no row is exploded or shuffled. Rows
+    without a label or a complete vector, and the label ``noise``, take no part. With
+    fewer than two clusters all but the count and the cost are null. The matrix is part
+    of the plan, so it is for at most ``max_clusters`` labels; the functions above on long
+    vectors have no such bound.
+    """
+    x = F.transform(F.col(f"`{vec}`"), lambda v: v.cast("double"))
+    rows = df.select(F.col(f"`{label}`").alias("c"), x.alias("x")).where(
+        F.col("c").isNotNull() & (F.col("c") != F.lit(noise)) & F.col("x").isNotNull() & ~F.exists("x", lambda v: v.isNull() | F.isnan(v)))
+    dims = rows.select(F.size("x").alias("d")).first()
+    spark = df.sparkSession
+    schema = "n_clusters long, within_cost double, silhouette_sq double, calinski_harabasz double, davies_bouldin double"
+    if dims is None:
+        return spark.createDataFrame([(0, None, None, None, None)], schema)
+    d = dims["d"]
+    sums = rows.groupBy("c").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col("x")[i]).alias(f"s{i}") for i in range(d)],
+                                 F.sum(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v)).alias("q"))
+    sums = sums.limit(max_clusters + 1).collect()
+    if len(sums) > max_clusters:
+        raise ValueError(f"more than {max_clusters} clusters: use the functions on long vectors")
+    sums.sort(key=lambda r: str(r["c"]))
+    k, n = len(sums), sum(r["n"] for r in sums)
+    total = [[r[f"s{i}"] for i in range(d)] for r in sums]
+    centres = [[v / r["n"] for v in t] for t, r in zip(total, sums)]
+    matrix = F.array(*[F.struct(F.lit(r["c"]).alias("c"), F.lit(float(r["n"])).alias("n"), F.lit(float(r["q"])).alias("q"),
+                                F.array(*[F.lit(v) for v in m]).alias("m")) for r, m in zip(sums, centres)])
+    scored = rows.withColumn("xx", F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v))
+    dot = lambda m: F.aggregate(F.zip_with("x", m, lambda u, v: u * v), F.lit(0.0), lambda a, v: a + v)
+    apart = lambda m: F.aggregate(F.zip_with("x", m, lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda a, v: a + v)
+    # sum over a cluster of squared distances to x: n |x|^2 - 2 n x.m + q
+    each = F.transform(matrix, lambda e: F.struct(e["c"].alias("c"), e["n"].alias("n"), (e["n"] * F.col("xx") - 2 * e["n"] * dot(e["m"]) + e["q"]).alias("t"),
+                                                  F.when(e["c"] == F.col("c"), apart(e["m"])).alias("own")))
+    scored = scored.select("c", each.alias("e"))
+    mine = F.filter("e", lambda e: e["c"] == F.col("c"))[0]
+    others = F.array_min(F.transform(F.filter("e", lambda e: e["c"] != F.col("c")), lambda e: e["t"] / e["n"]))
+    scored = scored.select("c", mine["own"].alias("own"), F.when(mine["n"] > 1, mine["t"] / (mine["n"] - 1)).alias("a"), others.alias("b"))
+    s = F.when(F.col("a").isNull(), F.lit(0.0)).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
+    per = {r["c"]: r for r in scored.groupBy("c").agg(F.sum("own").alias("w"), F.avg(F.sqrt("own")).alias("spread"), F.sum(s).alias("s")).collect()}
+    within = sum(r["w"] for r in per.values())
+    if k < 2:
+        return spark.createDataFrame([(k, float(within), None, None, None)], schema)
+    mean = [sum(t[i] for t in total) / n for i in range(d)]
+    between = sum(r["n"] * sum((m[i] - mean[i]) ** 2 for i in range(d)) for r, m in zip(sums, centres))
+    ch = (between / (k - 1)) / (within / (n - k)) if n > k and within > 0 else None
+    worst = []
+    for i, a in enumerate(centres):
+        ratios = [(per[sums[i]["c"]]["spread"] + per[sums[j]["c"]]["spread"]) / gap for j, b in enumerate(centres)
+                  if j != i and (gap := sum((u - v) ** 2 for u, v in zip(a, b)) ** 0.5) > 0]
+        worst += [max(ratios)] if ratios else []
+    db = sum(worst) / len(worst) if worst else None
+    return spark.createDataFrame([(k, float(within), sum(r["s"] for r in per.values()) / n, ch, db)], schema)
+
+
 def silhouette_evaluator(df: DataFrame, features_col: str, label: str) -> float:
     """Spark's ClusteringEvaluator (squared Euclidean silhouette) on a vector
     column: the built-in large-scale path, same definition as ``silhouette_sq``."""

@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import prefix_sums
+
 
 def event_micros(ts: str) -> Column:
     """Microseconds since the epoch of a TIMESTAMP or TIMESTAMP_NTZ column."""
@@ -107,9 +109,8 @@ def stage_transition(versions: DataFrame, name_col: str, version_col: str, stage
 
 
 def cumulative_share(df: DataFrame, order_col: str, value_col: str, out: str = "cumulative") -> DataFrame:
-    """Running sum in order (for small frames: components, ranked categories)."""
-    w = Window.orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(out, F.sum(value_col).over(w))
+    """Running sum in order, of frames of any size (null values add nothing)."""
+    return prefix_sums(df, [order_col], value_col, out, inclusive=True)
 
 
 def elbow_point(df: DataFrame, k_col: str, inertia_col: str, group: str | None = None) -> DataFrame:

@@ -8,13 +8,13 @@ single task. This module finds the order statistics by histogram refinement
 instead:
 
 1. one grouped pass: n, min, max per group;
-2. per (group, rank) a value interval [lo, hi] and the count ``below`` it;
-   each pass splits the interval into ``bins`` equal-width buckets, counts
-   rows per bucket with a partially aggregated ``groupBy`` (bounded shuffle:
-   groups x ranks x bins rows), and keeps the bucket that holds the rank;
+2. per group value intervals [lo, hi], the count ``below`` each and the ranks
+   that lie in it; each pass splits an interval into ``bins`` equal-width buckets,
+   counts rows per bucket with a partially aggregated ``groupBy`` (bounded
+   shuffle: intervals x bins rows), and keeps the buckets that hold ranks;
 3. once an interval holds at most ``small`` rows (1M doubles, about 8 MB) or
-   a single value, the rows left in it are sorted inside one group of
-   bounded size.
+   a single value, the rows left in it are gathered ONCE, sorted inside one
+   group of bounded size, and all its ranks are read from there.
 
 Every step is a DataFrame job; the loop's state is a small table that is
 checkpointed each pass. ``method="approx"`` switches to ``percentile_approx``.
@@ -61,44 +61,40 @@ def quantiles(df: DataFrame, value: str, probs, by=(), names=None, method: str =
 
     stats = materialize(base.groupBy(*keys).agg(
         F.count("_v").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")))
-    rank_exprs = []
-    for p in probs:
-        h = (F.col("_n") - 1) * F.lit(p)
-        rank_exprs += [F.floor(h), F.ceil(h)]
-    state = (stats.select(*keys, "_lo", "_hi", "_n", F.explode(F.array(*rank_exprs)).alias("_k"))
-             .distinct()
-             .select(*keys, F.col("_k").cast("long").alias("_k"), "_lo", "_hi",
-                     F.lit(0).cast("long").alias("_below"), F.col("_n").alias("_cnt")))
-    state = materialize(state)
-
-    while True:  # ends: a pass narrows an open interval to a bucket's own least and greatest value
+    ranks = F.array(*[c for p in probs for c in (F.floor((F.col("_n") - 1) * F.lit(p)), F.ceil((F.col("_n") - 1) * F.lit(p)))])
+    # one row per open interval, with all the ranks that lie in it: intervals of a group are disjoint, so no
+    # row of the data is counted or gathered twice, however many ranks are asked for
+    state = stats.select(*keys, "_lo", "_hi", F.lit(0).cast("long").alias("_below"), F.col("_n").alias("_cnt"),
+                         F.array_distinct(F.transform(ranks, lambda k: k.cast("long"))).alias("_ks"))
+    largest = stats.agg(F.max("_n")).first()[0] or 0
+
+    while largest > small:  # ends: a pass narrows an open interval to buckets' own least and greatest values
         is_open = (F.col("_lo") < F.col("_hi")) & (F.col("_cnt") > small)
         open_ = state.where(is_open)
-        if open_.limit(1).count() == 0:
-            break
         closed = state.where(~is_open)
         j = _nsjoin(base, open_, keys).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
         # halves first: the span of two finite doubles may overflow; the top value has a bucket of its own
         rel = (F.col("_v") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2)
         j = j.withColumn("_b", F.when(F.col("_v") == F.col("_hi"), F.lit(bins)).when(F.col("_v") == F.col("_lo"), F.lit(-1))
                          .otherwise(F.least(F.floor(rel * F.lit(bins)), F.lit(bins - 1))).cast("int"))
-        hist = j.groupBy(*keys, "_k", "_below", "_b").agg(
+        hist = j.groupBy(*keys, "_below", "_b").agg(
             F.count(F.lit(1)).alias("_nb"), F.min("_v").alias("_blo"), F.max("_v").alias("_bhi"))
-        w = Window.partitionBy(*keys, "_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-        hist = hist.withColumn("_cum", F.sum("_nb").over(w))
-        pick = hist.where((F.col("_below") + F.col("_cum") - F.col("_nb") <= F.col("_k"))
-                          & (F.col("_k") < F.col("_below") + F.col("_cum")))
-        refined = pick.select(*keys, "_k", F.col("_blo").alias("_lo"), F.col("_bhi").alias("_hi"),
-                              (F.col("_below") + F.col("_cum") - F.col("_nb")).alias("_below"),
-                              F.col("_nb").alias("_cnt"))
+        w = Window.partitionBy(*keys, "_below").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+        hist = hist.withColumn("_end", F.col("_below") + F.sum("_nb").over(w)).withColumn("_start", F.col("_end") - F.col("_nb"))
+        refined = _nsjoin(hist, open_.select(*keys, "_below", "_ks"), [*keys, "_below"])
+        refined = refined.withColumn("_ks", F.filter("_ks", lambda k: (k >= F.col("_start")) & (k < F.col("_end")))).where(F.size("_ks") > 0)
+        refined = refined.select(*keys, F.col("_blo").alias("_lo"), F.col("_bhi").alias("_hi"), F.col("_start").alias("_below"),
+                                 F.col("_nb").alias("_cnt"), "_ks")
         state = materialize(closed.unionByName(refined))
+        largest = state.where("_lo < _hi").agg(F.max("_cnt")).first()[0] or 0
 
-    single = state.where(F.col("_lo") == F.col("_hi")).select(*keys, "_k", F.col("_lo").alias("_x"))
+    single = state.where(F.col("_lo") == F.col("_hi")).select(*keys, F.explode("_ks").alias("_k"), F.col("_lo").alias("_x"))
     rest = state.where(F.col("_lo") < F.col("_hi"))
-    gathered = (_nsjoin(base, rest, keys).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
-                .groupBy(*keys, "_k", "_below").agg(F.sort_array(F.collect_list("_v")).alias("_arr"))
-                .select(*keys, "_k", F.element_at("_arr", (F.col("_k") - F.col("_below") + 1).cast("int"))
-                        .alias("_x")))
+    inside = F.transform("_ks", lambda k: F.struct(k.alias("_k"), F.element_at("_arr", (k - F.col("_below") + 1).cast("int")).alias("_x")))
+    gathered = (_nsjoin(base, rest.select(*keys, "_lo", "_hi", "_below"), keys).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+                .groupBy(*keys, "_below").agg(F.sort_array(F.collect_list("_v")).alias("_arr")))
+    gathered = (_nsjoin(gathered, rest.select(*keys, "_below", "_ks"), [*keys, "_below"])
+                .select(*keys, F.explode(inside).alias("_e")).select(*keys, "_e._k", "_e._x"))
     values = single.unionByName(gathered)
     vmap = values.groupBy(*keys).agg(
         F.map_from_entries(F.collect_list(F.struct("_k", "_x"))).alias("_m"))

@@ -18,7 +18,7 @@ from ..learn import models as MD
 from ..learn import workflow as WF
 from ..operators.features import split_train_test
 from ..roles import vehicles, with_vehicles
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, table
 from ..sources.registry import registry_sql, registry_tables
 from .registry import register, round_doubles
 
@@ -153,7 +153,24 @@ def q_cluster_train(spark, d):
     m = out["metrics"]
     return round_doubles(out["profile"].withColumn("inertia", F.lit(m["inertia"]))
                          .withColumn("silhouette_sq", F.lit(m.get("silhouette_sq")))
-                         .withColumn("calinski_harabasz", F.lit(m.get("calinski_harabasz"))))
+                         .withColumn("calinski_harabasz", F.lit(m.get("calinski_harabasz")))
+                         .withColumn("davies_bouldin", F.lit(m.get("davies_bouldin"))))
+
+
+@register("cluster_train_nulls",
+          "SELECT count(*) AS n_rows, count(*) FILTER (l_tax = 0) AS null_clusters, count(*) FILTER (l_tax = 0) AS null_coordinates, "
+          "3 AS n_clusters, true AS has_metrics, count(*) FILTER (l_tax <> 0) AS profiled FROM lineitem")
+def q_cluster_train_nulls(spark, d):
+    """Clustering of lineitem with tax 0 read as null: such rows keep their place, without cluster or coordinates."""
+    li = table(spark, d, "lineitem").select(F.concat_ws("|", "l_orderkey", "l_linenumber").alias("row_id"), "l_quantity", "l_discount",
+                                            F.expr("nullif(l_tax, 0)").alias("l_tax"))
+    out = CL.cluster_train(li, "row_id", ["l_quantity", "l_discount", "l_tax"], k=3, n_init=2)
+    m = out["metrics"]
+    counted = out["pca"].agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("cluster").isNull()).alias("null_clusters"),
+                             F.count_if(F.col("pc1").isNull() & F.col("pc2").isNull()).alias("null_coordinates"))
+    profiled = out["profile"].agg(F.sum("size")).first()[0]
+    has = all(m[c] is not None for c in ("silhouette_sq", "calinski_harabasz", "davies_bouldin"))
+    return counted.withColumn("n_clusters", F.lit(m["n_clusters"]).cast("int")).withColumn("has_metrics", F.lit(has)).withColumn("profiled", F.lit(profiled))
 
 
 @register("choose_k")

@@ -117,7 +117,7 @@ def q_stream_score(spark, d):
     """Fit on the lineitem table, score the lineitem rows arriving as a stream."""
     feats = ["l_quantity", "l_discount", "l_tax"]
     li = table(spark, d, "lineitem")
-    fm = MD.fit_classifier(li.select(*feats, "l_returnflag"), feats, "l_returnflag", "decision_tree", {"max_depth": 5})
+    fm = MD.fit_classifier(li.select(*feats, "l_returnflag"), feats, "l_returnflag", "decision_tree")
     sdf = ST.stream_scan(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *feats)
-    scored = fm.model.transform(sdf).select("l_orderkey", "l_linenumber", "predicted_label")
+    scored = fm.transform(sdf).select("l_orderkey", "l_linenumber", "predicted_label")
     return ST.run_to_table(scored, "score", "append")
