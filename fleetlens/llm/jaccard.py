@@ -211,63 +211,66 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
 
 
-def _digests(texts: DataFrame, words: int) -> DataFrame:
-    """``doc_id, th, n, cls, sketch`` of every row; class and sketch are null for the empty set."""
-    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("sketch", pa.binary())])
+def _filed(sets: list[np.ndarray], classes: list[int | None], bands: Bands, frequent: np.ndarray | None) -> tuple[list, list]:
+    """Per set the words that it files, and those of them that are frequent; all words if ``frequent`` is not known yet."""
+    found, common = [np.empty(0, np.int64)] * len(sets), [np.empty(0, np.int64)] * len(sets)
+    at = 0
+    while at < len(sets):
+        todo, size = [], 0
+        end = at
+        while end < len(sets) and (size < 1 << 16 or not todo):
+            if classes[end] is not None:
+                todo += [(end, sets[end], g, p, w) for g, p, w in bands.groups(len(sets[end]))]
+                size += 2 * len(sets[end])
+            end += 1
+        if todo:
+            doc, part, groups, parts, want = map(list, zip(*todo))
+            row, word, load = part_words(part, groups, parts)
+            hot = np.isin(word, frequent) if frequent is not None and len(frequent) else np.zeros(len(word), bool)
+            if frequent is not None:
+                first = first_words(row, word, load, hot, want)
+                row, word, hot = row[first], word[first], hot[first]
+            of, word = np.array(doc)[row], word.view(np.int64)
+            for out, which in ((found, ~hot), (common, hot)):
+                d, w = of[which], word[which]
+                ends = np.searchsorted(d, np.arange(at, end + 1))
+                for i in range(at, end):
+                    out[i] = w[ends[i - at]:ends[i - at + 1]]
+        at = end
+    return found, common
 
-    def run(batches: Iterator[pa.RecordBatch]):
-        for b in batches:
-            sets = [shingle_set(t.as_py(), words) for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([len(h) for h in sets], pa.int64()),
-                 pa.array([class_of(h) if len(h) else None for h in sets], pa.int64()),
-                 pa.array([dense_sketch(h) if len(h) else None for h in sets], pa.binary())], schema=schema)
 
-    return texts.mapInArrow(run, "doc_id long, th long, n long, cls long, sketch binary")
+def _digests(texts: DataFrame, words: int, percent: int, frequent: np.ndarray | None) -> DataFrame:
+    """``doc_id, th, n, cls, sketch, filed, common`` of every row; class and sketch are null for the empty set.
 
+    The words that a set files stand with the first copy of the set in a task.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("sketch", pa.binary()),
+                        ("filed", pa.list_(pa.int64())), ("common", pa.list_(pa.int64()))])
 
-def _words_of(texts: DataFrame, words: int, percent: int, frequent: np.ndarray | None) -> DataFrame:
-    """``word, salt, cls``: the words that every set files, or all of them if ``frequent`` is not given yet."""
-    schema = pa.schema([("word", pa.int64()), ("salt", pa.int32()), ("cls", pa.int64())])
+    def lists(values: list[np.ndarray]) -> pa.Array:
+        offsets = np.concatenate(([0], np.cumsum([len(v) for v in values]))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values)))
 
     def run(batches: Iterator[pa.RecordBatch]):
         bands, seen = Bands(percent), set()
-        todo: list[tuple] = []
-
-        def out():
-            sets, classes, groups, parts, want = map(list, zip(*todo))
-            row, word, load = part_words(sets, groups, parts)
-            salt = np.zeros(len(word), np.int32)
-            if frequent is not None:
-                hot = np.isin(word, frequent) if len(frequent) else np.zeros(len(word), bool)
-                first = first_words(row, word, load, hot, want)
-                row, word, hot = row[first], word[first], hot[first]
-                salt = np.where(hot, np.array(classes, np.int64)[row] % SALTS + 1, 0).astype(np.int32)
-            return pa.record_batch([pa.array(word.view(np.int64)), pa.array(salt), pa.array(np.array(classes, np.int64)[row])], schema=schema)
-
-        size = 0
-        for b in batches:
-            for t in b.column(0):
-                h = shingle_set(t.as_py(), words)
-                if not len(h):
-                    continue
-                c = class_of(h)
-                if c in seen:  # a copy of what this task has filed
-                    continue
-                if len(seen) >= HELD:
-                    seen.clear()
-                seen.add(c)
-                for g, p, w in bands.groups(len(h)):
-                    todo.append((h, c, g, p, w))
-                    size += len(h)
-                if size > 1 << 16:
-                    yield out()
-                    todo.clear()
-                    size = 0
-        if todo:
-            yield out()
-
-    return texts.select("text").mapInArrow(run, "word long, salt int, cls long")
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                b = batch.slice(lo, 512)
+                sets = [shingle_set(t.as_py(), words) for t in b.column(2)]
+                classes = [class_of(h) if len(h) else None for h in sets]
+                new = []
+                for c in classes:
+                    new.append(None if c in seen else c)
+                    if len(seen) >= HELD:
+                        seen.clear()
+                    seen.add(c)
+                found, common = _filed(sets, new, bands, frequent)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0), b.column(1), pa.array([len(h) for h in sets], pa.int64()), pa.array(classes, pa.int64()),
+                     pa.array([dense_sketch(h) if len(h) else None for h in sets], pa.binary()), lists(found), lists(common)], schema=schema)
+
+    return texts.mapInArrow(run, "doc_id long, th long, n long, cls long, sketch binary, filed array<long>, common array<long>")
 
 
 def frequent_words(texts: DataFrame, words: int, percent: int, keep) -> np.ndarray:
@@ -277,7 +280,7 @@ def frequent_words(texts: DataFrame, words: int, percent: int, keep) -> np.ndarr
     ``FREQUENT`` sampled sets on, and from so many that ``MAX_FREQUENT`` words can't exceed it.
     """
     part = texts.where(F.pmod("th", F.lit(SAMPLE)) == 0)
-    counts = _words_of(part, words, percent, None).groupBy("word").agg(F.count(F.lit(1)).alias("rows"))
+    counts = _digests(part, words, percent, None).select(F.explode("filed").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("rows"))
     counts = keep(counts.where(F.col("rows") >= FREQUENT), "frequent")
     total = counts.agg(F.sum("rows")).first()[0] or 0
     least = max(FREQUENT, -(-total // MAX_FREQUENT))
@@ -310,9 +313,9 @@ def _stars(filed: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "word long, salt int, a long, b long")
 
 
-def _near_members(member: DataFrame, percent: int, nearest: bool) -> DataFrame:
+def _near_members(member: DataFrame, percent: int) -> DataFrame:
     """``a, b``: of the sets that share a word and lie in different components (columns ``word, cls, root, n,
-    sketch``), the pairs within the Hamming bound of their sketches; with ``nearest`` only each set's nearest.
+    sketch``), the pairs within the Hamming bound of their sketches.
 
     Words of many sets are cut into blocks, and a task compares two blocks at a time.
     """
@@ -333,14 +336,8 @@ def _near_members(member: DataFrame, percent: int, nearest: bool) -> DataFrame:
             d = np.bitwise_count(w[i] ^ w[right][None]).sum(axis=2, dtype=np.int64)
             ok = (root[i] != root[right]) & (d <= most_apart(n[i], n[right], percent))
             if lo == hi:
-                ok &= cls[i] != cls[right]
-            if nearest:
-                d[~ok] = 1 << 40
-                ok &= d == d.min(axis=1, keepdims=True)
-                x = np.flatnonzero(ok.any(axis=1))
-                y = ok[x].argmax(axis=1)
-            else:
-                x, y = np.nonzero(ok & (cls[i] < cls[right]) if lo == hi else ok)
+                ok &= cls[i] < cls[right]
+            x, y = np.nonzero(ok)
             if len(x):
                 yield cls[left[at + x]], cls[right[y]]
 
@@ -451,14 +448,15 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return spark.read.schema(df.schema).parquet(path)
 
     texts = _texts(docs, id_col, text_col)
-    digests = _digests(texts, words)
+    digests = _digests(texts, words, percent, frequent_words(texts, words, percent, keep))
     path = shared_dir(spark, "jaccard-digests")  # the result reads these, so they stay
     digests.write.parquet(path)
     digests = spark.read.schema(digests.schema).parquet(path)
     classes = keep(digests.where("cls is not null").groupBy("cls").agg(
         F.min("doc_id").alias("first"), F.min("th").alias("th"), F.min("n").alias("n")), "classes")
 
-    filed = _words_of(texts, words, percent, frequent_words(texts, words, percent, keep))
+    filed = digests.select(F.explode("filed").alias("word"), F.lit(0).alias("salt"), "cls").unionByName(
+        digests.select(F.explode("common").alias("word"), (F.pmod("cls", F.lit(SALTS)) + 1).cast("int").alias("salt"), "cls"))
     stars = keep(_stars(filed), "stars")
     heads = stars.where("salt > 0").select("word", "a").distinct()  # least members of the salted groups of a word
     heads = heads.join(heads.groupBy("word").agg(F.min("a").alias("least")), "word").select("word", F.col("least").alias("a"), F.col("a").alias("b"))
@@ -466,24 +464,20 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tried = keep(_pairs(stars), "tried")
     links = _verified(tried, classes, digests, texts, words, percent, keep)
 
-    # pairs that share a word but lie in different components and were not tried: first each set's nearest, then all
-    many = stars.groupBy("word").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    member = keep(stars.join(many, "word").select("word", F.explode(F.array("a", "b")).alias("cls")).distinct(), "members")
+    # pairs that share a word but lie in different components and were not tried
     part = components(links)
-    for nearest in (True, False):
-        rooted = member.join(part.withColumnRenamed("node", "cls"), "cls", "left").select("word", "cls", F.coalesce("root", "cls").alias("root"))
-        split = rooted.groupBy("word").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("word")
-        rooted = keep(rooted.join(split, "word").join(classes.select("cls", "n", "th"), "cls"), "split")
-        sketches = _folded(digests, rooted)
-        more = _pairs(_near_members(rooted.join(sketches, "th").select("word", "cls", "root", "n", "sketch"), percent, nearest))
-        more = keep(more.join(tried, ["a", "b"], "left_anti"), "more")
-        if more.isEmpty():
-            continue
+    many = stars.groupBy("word").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    member = stars.join(many, "word").select("word", F.explode(F.array("a", "b")).alias("cls")).distinct()
+    member = member.join(part.withColumnRenamed("node", "cls"), "cls", "left").select("word", "cls", F.coalesce("root", "cls").alias("root"))
+    member = keep(member.join(classes.select("cls", "n", "th"), "cls"), "members")
+    split = member.groupBy("word").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("word")
+    member = keep(member.join(split, "word"), "split")
+    member = member.join(_folded(digests, member), "th").select("word", "cls", "root", "n", "sketch")
+    more = keep(_pairs(_near_members(member, percent)).join(tried, ["a", "b"], "left_anti"), "more")
+    if not more.isEmpty():
         found = _verified(more, classes, digests, texts, words, percent, keep)
-        tried = tried.unionByName(more)
         if not found.isEmpty():
-            links = links.unionByName(found)
-            part = components(links)
+            part = components(links.unionByName(found))
 
     named = classes.select("cls", "first").join(part.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
