@@ -72,6 +72,10 @@ def _hashable(t: T.DataType) -> bool:
 
 
 def row_keys(df: DataFrame) -> tuple[Column, Column]:
-    """Two independent 64-bit hashes of a whole row (maps and variants left out); equal rows share them."""
+    """Two independent 64-bit hashes of a whole row; equal rows share them. Columns that Spark
+    does not hash (maps, variants) count by their JSON text."""
     cols = [F.col(f"`{f.name}`") for f in df.schema.fields if _hashable(f.dataType)]
+    rest = [F.col(f"`{f.name}`") for f in df.schema.fields if not _hashable(f.dataType)]
+    if rest:
+        cols.append(F.to_json(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(rest)])))
     return F.xxhash64(F.lit(0), *cols), F.xxhash64(F.lit(1), *reversed(cols))

@@ -81,3 +81,9 @@ def test_mix_repeats_documents_as_planned(spark, awkward):
     assert {k: v for k, v in plan.items() if v} == dict(got)
     assert mixing.mix(awkward.limit(0)).count() == 0
     assert mixing.plan_mix(awkward.limit(0)).count() == 0
+
+
+def test_rows_that_differ_in_a_map_only_all_stay(spark):
+    df = spark.sql("SELECT * FROM VALUES (1L, 'a b c', 's', map('a', 1)), (1L, 'a b c', 's', map('a', 2)) AS t(doc_id, text, source, m)")
+    got = [tuple(r.m.items()) for r in mixing.mix(df).collect()]
+    assert set(got) == {(("a", 1),), (("a", 2),)}
