@@ -32,7 +32,6 @@ from __future__ import annotations
 
 import gc
 import hashlib
-import heapq
 import re
 from bisect import insort
 from collections.abc import Iterator
@@ -53,12 +52,22 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 4
 UNKNOWN_LOSS = 10.0
 HELD, LONG = 250_000, 48  # half the stretches that a worker remembers, and their longest
+HELD_SEVERAL = 50_000  # stretches whose n best a worker remembers
+
+
+def _least(x: np.ndarray, n: int) -> list[int]:
+    """Places of the n least values, least first; the first place among equal ones."""
+    if n < 1:
+        return []
+    at = np.arange(len(x)) if len(x) <= n else np.flatnonzero(x <= np.partition(x, n - 1)[n - 1])
+    return at[np.argsort(x[at], kind="stable")][:n].tolist()
 
 
 class Pieces:
     """A model's pieces, scores and byte pieces, and the segmentation of texts."""
 
     def __init__(self, path: str):
+        import ahocorasick
         import sentencepiece
 
         m = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -73,16 +82,17 @@ class Pieces:
         self.ids = {self.text[i]: i for i in range(n)
                     if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i) or m.is_unused(i))}
         self.unknown = min((self.scores[i] for i in self.ids.values()), default=0.0) - UNKNOWN_LOSS
-        self.trie: dict = {}  # by character; "" holds (piece, score)
+        self.matches = ahocorasick.Automaton()  # every occurrence of a piece: (its length - 1, piece, score)
         for p, i in self.ids.items():
-            node = self.trie
-            for c in p:
-                node = node.setdefault(c, {})
-            node[""] = (i, self.scores[i])
+            self.matches.add_word(p, (len(p) - 1, i, self.scores[i]))
+        self.matches.make_automaton()
+        self.single = {p for p in self.ids if len(p) == 1}
         bound = {c for p in self.ids if len(p) > 1 for c in p} - {SPACE}
         beside = {(x, y) for p in self.ids for x, y in zip(p, p[1:])}
         mixed = {c for x, y in beside if x.isalpha() != y.isalpha() for c in (x, y)}
-        marks = {c for c in bound if not c.isalpha()} - mixed  # never beside a letter in a piece
+        marks = {c for c in bound if not c.isalpha()} - mixed  # beside nothing but other marks in any piece
+        while joined := {c for x, y in beside if (x in marks) != (y in marks) and SPACE not in (x, y) for c in (x, y)} & marks:
+            marks -= joined
         runs = [f"[{re.escape(''.join(sorted(x)))}]" for x in (bound - marks, marks) if x]
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             self.stretch = re.compile(f"(?:{'|'.join([SPACE, *runs])})+|.", re.S)
@@ -90,34 +100,37 @@ class Pieces:
             self.stretch = re.compile("|".join([*(f"{SPACE}*{r}+" for r in runs), f"{SPACE}+", "."]), re.S)
         self.held: dict[str, tuple[float, tuple[int, ...], float]] = {}
         self.before: dict[str, tuple[float, tuple[int, ...], float]] = {}
+        self.several: dict[tuple[str, int], list[tuple[float, tuple[int, ...]]]] = {}
+
+    def _ways(self, s: str) -> Iterator[tuple[int, tuple[int, int, float]]]:
+        """``(last, (length - 1, piece, score))`` of every piece in a stretch, by end, the longest first; a
+        code point without a piece of its own has piece -1."""
+        if self.single.issuperset(s):
+            return self.matches.iter(s)
+        return self._ways_unknown(s)
+
+    def _ways_unknown(self, s: str):
+        at = 0
+        for last, way in self.matches.iter(s) if self.ids else ():
+            for k in range(at, last):
+                if s[k] not in self.single:
+                    yield k, (0, -1, self.unknown)
+            at = max(at, last)
+            yield last, way
+        for k in range(at, len(s)):
+            if s[k] not in self.single:
+                yield k, (0, -1, self.unknown)
 
     def _forward(self, s: str):
         """Per position every ``(score, start, piece)`` that ends there, and the best of them."""
-        size, trie, unknown = len(s), self.trie, self.unknown
-        ends: list[list[tuple[float, int, int]]] = [[] for _ in range(size + 1)]
-        best: list[tuple[float, int, int]] = [(float("-inf"), 0, 0)] * (size + 1)
+        ends: list[list[tuple[float, int, int]]] = [[] for _ in range(len(s) + 1)]
+        best: list[tuple[float, int, int]] = [(float("-inf"), 0, 0)] * (len(s) + 1)
         best[0] = (0.0, 0, 0)
-        for i in range(size):
-            here = best[i][0]
-            node, j, single = trie, i, False
-            for c in s[i:]:
-                node = node.get(c)
-                if node is None:
-                    break
-                j += 1
-                got = node.get("")
-                if got is not None:
-                    if j == i + 1:
-                        single = True
-                    way = (here + got[1], i, got[0])
-                    ends[j].append(way)
-                    if way[0] > best[j][0]:
-                        best[j] = way
-            if not single:
-                way = (here + unknown, i, -1)
-                ends[i + 1].append(way)
-                if way[0] > best[i + 1][0]:
-                    best[i + 1] = way
+        for last, (back, piece, score) in self._ways(s):
+            way = (best[last - back][0] + score, last - back, piece)
+            ends[last + 1].append(way)
+            if way[0] > best[last + 1][0]:
+                best[last + 1] = way
         return ends, best
 
     def _ids(self, s: str, rest) -> tuple[int, ...]:
@@ -159,6 +172,17 @@ class Pieces:
             found.append((total - loss, self._ids(s, rest)))
         return found
 
+    def _n_best_of(self, s: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
+        """:meth:`n_best`; the results of short stretches are remembered."""
+        got = self.several.get((s, n))
+        if got is None:
+            got = self.n_best(s, n)
+            if len(s) <= LONG:
+                if len(self.several) >= HELD_SEVERAL:
+                    self.several.clear()
+                self.several[s, n] = got
+        return got
+
     def _search(self, s: str) -> tuple[float, tuple[int, ...], float]:
         """(best score, best ids, loss of the second) of a stretch; short ones are remembered."""
         return self._remember(s, self.before.get(s) or self._best(s))
@@ -174,16 +198,23 @@ class Pieces:
     def _best(self, s: str) -> tuple[float, tuple[int, ...], float]:
         """The best path by Viterbi; the second's loss is the bound at the head of the
         backward search's queue once the best path has left it."""
-        ends, best = self._forward(s)
-        least, rest, j = float("inf"), None, len(s)
+        size = len(s)
+        best, second = [float("-inf")] * (size + 1), [float("-inf")] * (size + 1)
+        start, piece = [0] * (size + 1), [0] * (size + 1)
+        best[0] = 0.0
+        for last, (back, i, score) in self._ways(s):
+            score += best[last - back]
+            last += 1
+            if score > best[last]:
+                second[last], best[last], start[last], piece[last] = best[last], score, last - back - 1, i
+            elif score > second[last]:
+                second[last] = score
+        least, rest, j = float("inf"), None, size
         while j:
-            top = best[j]
-            if len(ends[j]) > 1:
-                for way in ends[j]:
-                    if way is not top and top[0] - way[0] < least:
-                        least = top[0] - way[0]
-            rest, j = (top[1], top[2], rest), top[1]
-        return best[-1][0], self._ids(s, rest), least
+            if best[j] - second[j] < least:
+                least = best[j] - second[j]
+            rest, j = (start[j], piece[j], rest), start[j]
+        return best[size], self._ids(s, rest), least
 
     def segment(self, text: str | None, n: int = N_BEST):
         """``(parts, scores, choices)`` of a whole text: its stretches as searched, the scores of the text's n
@@ -200,12 +231,13 @@ class Pieces:
             found = self.stretch.findall((SPACE if not at else "") + raw.replace(" ", SPACE))
             parts += [get(s) or search(s) for s in found]
             texts += found
-        best = sum(map(itemgetter(0), parts))
+        scores, _, losses = zip(*parts)
+        best = sum(scores)
         sums: list[tuple[float, dict[int, tuple[int, ...]]]] = [(0.0, {})]
         # of the n best texts none changes a stretch beyond the n - 1 of least second loss
-        for least, at in heapq.nsmallest(n - 1, zip(map(itemgetter(2), parts), range(len(parts)))):
-            if least < float("inf"):
-                top, *others = self.n_best(texts[at], n)
+        for at in _least(np.array(losses), n - 1):
+            if losses[at] < float("inf"):
+                top, *others = self._n_best_of(texts[at], n)
                 more = [(loss + top[0] - score, {**c, at: ids}) for loss, c in sums for score, ids in others]
                 sums = sorted(sums + more, key=itemgetter(0))[:n]
         return parts, [best - loss for loss, _ in sums], [c for _, c in sums]
