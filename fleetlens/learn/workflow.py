@@ -13,14 +13,15 @@ import json
 import random
 import statistics
 import time
+from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import metrics as M
-from ..operators.features import assign_folds, split_train_test
+from ..operators.features import assign_folds, fit_scaler, split_train_test
 from ..operators.ordered import majority_vote
 from .models import FittedModel, feature_importance, fit_classifier, fit_regressor
 
@@ -43,17 +44,42 @@ def _fit(kind, train, features, label, classification, params=None) -> FittedMod
     return (fit_classifier if classification else fit_regressor)(train, features, label, kind, params)
 
 
-def cross_validate(df: DataFrame, key_cols, features, label: str, kind: str, classification: bool = True,
-                   folds: int = 5, seed: int = 42, params: dict | None = None) -> dict:
-    """k-fold (stratified for classes): per-fold score, mean and population std."""
-    f = assign_folds(df, key_cols, label if classification else None, folds, seed).persist(
-        StorageLevel.MEMORY_AND_DISK)
-    scores = []
+def _fold_scores(df: DataFrame, key_cols, features, label: str, kind: str, classification: bool, folds: int, seed: int,
+                 candidates: list[dict], scale: bool, parallel: int) -> tuple[str, list[list[float]]]:
+    """The metric, and per candidate its score on every fold.
+
+    Folds are assigned once for all candidates; with ``scale`` a scaler learns
+    from the training rows of each fold and is applied to both of its parts. Up
+    to ``parallel`` fits are submitted at a time, so that the small stages of one
+    do not leave the cluster idle; the scores do not depend on it.
+    """
+    f = assign_folds(df, key_cols, label if classification else None, folds, seed).persist(StorageLevel.MEMORY_AND_DISK)
     metric = "accuracy" if classification else "r2"
+    frames = []
     for i in range(folds):
-        fm = _fit(kind, f.where(F.col("fold") != i), features, label, classification, params)
-        scores.append(evaluate(fm, f.where(F.col("fold") == i))[metric])
-    f.unpersist()
+        train, test = f.where(F.col("fold") != i), f.where(F.col("fold") == i)
+        if scale:
+            scaler = fit_scaler(train, features)
+            train, test = scaler.transform(train), scaler.transform(test)
+        frames.append((train, test))
+
+    def score(job):
+        params, (train, test) = job
+        return evaluate(_fit(kind, train, features, label, classification, params), test)[metric]
+
+    jobs = [(p, frame) for p in candidates for frame in frames]
+    try:
+        with ThreadPool(max(1, min(parallel, len(jobs)))) as pool:
+            found = pool.map(inheritable_thread_target(f.sparkSession)(score), jobs, chunksize=1)
+    finally:
+        f.unpersist()
+    return metric, [found[i * folds:(i + 1) * folds] for i in range(len(candidates))]
+
+
+def cross_validate(df: DataFrame, key_cols, features, label: str, kind: str, classification: bool = True,
+                   folds: int = 5, seed: int = 42, params: dict | None = None, scale: bool = False, parallel: int = 4) -> dict:
+    """k-fold (stratified for classes): per-fold score, mean and population std."""
+    metric, [scores] = _fold_scores(df, key_cols, features, label, kind, classification, folds, seed, [params or {}], scale, parallel)
     return {"metric": metric, "scores": scores, "mean": statistics.fmean(scores), "std": statistics.pstdev(scores)}
 
 
@@ -69,12 +95,18 @@ def param_grid(grid: dict, search: str = "grid", n_iter: int = 20, seed: int = 4
 
 
 def tune(df: DataFrame, key_cols, features, label: str, kind: str, grid: dict, classification: bool = True,
-         folds: int = 5, seed: int = 42, search: str = "grid", n_iter: int = 20) -> list[dict]:
-    """Grid or random search with k-fold CV; rows sorted best first (ties: grid order)."""
-    results = []
-    for i, params in enumerate(param_grid(grid, search, n_iter, seed)):
-        cv = cross_validate(df, key_cols, features, label, kind, classification, folds, seed, params)
-        results.append({"order": i, "params": params, "mean": cv["mean"], "std": cv["std"]})
+         folds: int = 5, seed: int = 42, search: str = "grid", n_iter: int = 20, scale: bool = True, parallel: int = 4) -> list[dict]:
+    """Grid or random search with k-fold CV; rows sorted best first (ties: grid order).
+
+    ``search="auto"`` draws at random from grids of more than three parameters.
+    Features are scaled inside each fold (``scale``), folds are assigned once.
+    """
+    if search == "auto":
+        search = "random" if len(grid) > 3 else "grid"
+    candidates = param_grid(grid, search, n_iter, seed)
+    _, scores = _fold_scores(df, key_cols, features, label, kind, classification, folds, seed, candidates, scale, parallel)
+    results = [{"order": i, "params": p, "scores": x, "mean": statistics.fmean(x), "std": statistics.pstdev(x)}
+               for i, (p, x) in enumerate(zip(candidates, scores))]
     return sorted(results, key=lambda r: (-r["mean"], r["order"]))
 
 

@@ -4,7 +4,7 @@ Training frame: every lineitem row with its order year (vehicles roles):
 features model_year, electric_range, base_msrp, discount, tax, ship_days;
 binary label ev_type, three-class label cafv_eligibility; 80/20 split by the
 row-local seeded hash (stratified in expectation). Registered fits use small settings (at most
-20 trees or rounds, at most 3 folds) as the survey plans; defaults stay in
+20 trees or rounds) as the survey plans, cross-validation and tuning 5 folds; defaults stay in
 ``fleetlens.learn.models``.
 """
 
@@ -213,27 +213,24 @@ def q_pca_inverse(spark, d):
 def q_tune_grid(spark, d):
     f = _frame(spark, d)
     res = WF.tune(f, KEYS, FEATURES, "ev_type", "decision_tree", {"max_depth": [3, 6], "min_samples_leaf": [1, 5]},
-                  True, folds=3)
+                  True, search="auto")
     return round_doubles(spark.createDataFrame([(r["order"], str(r["params"]), r["mean"], r["std"]) for r in res],
                                                "grid_order int, params string, mean double, std double"))
 
 
 @register("tune_random")
 def q_tune_random(spark, d):
-    """Four parameters -> seeded random draws from the grid (then 3-fold CV each)."""
+    """Four parameters -> seeded random draws from the grid (at most 20), 5-fold CV each."""
     f = _frame(spark, d)
     grid = {"max_depth": [3, 5, 8], "min_samples_leaf": [1, 5], "seed": [1, 42], "n_estimators": [5]}
-    draws = WF.param_grid(grid, "random", 4, 42)
-    rows = []
-    for i, p in enumerate(draws):
-        cv = WF.cross_validate(f, KEYS, FEATURES, "ev_type", "random_forest", True, 3, 42, p)
-        rows.append((i, str(p), cv["mean"], cv["std"]))
-    return round_doubles(spark.createDataFrame(rows, "draw int, params string, mean double, std double"))
+    res = WF.tune(f, KEYS, FEATURES, "ev_type", "random_forest", grid, True, search="auto")
+    return round_doubles(spark.createDataFrame([(r["order"], str(r["params"]), r["mean"], r["std"]) for r in res],
+                                               "draw int, params string, mean double, std double"))
 
 
 @register("cross_validate")
 def q_cv(spark, d):
-    cv = WF.cross_validate(_frame(spark, d), KEYS, FEATURES, "cafv_eligibility", "logistic_regression", True, 3, 42,
+    cv = WF.cross_validate(_frame(spark, d), KEYS, FEATURES, "cafv_eligibility", "logistic_regression", True, 5, 42,
                            {"max_iter": 50})
     return round_doubles(spark.createDataFrame([(i, s, cv["mean"], cv["std"]) for i, s in enumerate(cv["scores"])],
                                                "fold int, accuracy double, mean double, std double"))

@@ -80,7 +80,9 @@ def q_stream_alerts(spark, d):
 
 @register("stream_dedupe", "SELECT DISTINCT event_id FROM events")
 def q_stream_dedupe(spark, d):
-    out = ST.run_to_table(ST.dedupe(ST.stream_scan(spark, d, "events")), "dedupe", "append")
+    """Two of three events arrive twice or three times; each is kept once."""
+    sdf = ST.stream_scan(spark, d, "events").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("event_id") % 3 + 1)))
+    out = ST.run_to_table(ST.dedupe(sdf), "dedupe", "append")
     return out.select("event_id")
 
 
@@ -105,6 +107,63 @@ def q_rate_limit(spark, d):
     return out.select("event_id", "client", "accepted")
 
 
+_DAY = 86_400_000_000
+
+
+@register("rate_limit_burst",
+          "WITH RECURSIVE e AS (SELECT event_id, user_id AS client, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id "
+          "ORDER BY ts, event_id) AS rn FROM events), "
+          "r AS (SELECT event_id, client, rn, TRUE AS accepted, t AS a1, NULL::BIGINT AS a2, NULL::BIGINT AS a3 FROM e WHERE rn = 1 "
+          "UNION ALL SELECT event_id, client, rn, ok, CASE WHEN ok THEN t ELSE a1 END, CASE WHEN ok THEN a1 ELSE a2 END, "
+          "CASE WHEN ok THEN a2 ELSE a3 END FROM (SELECT e.event_id, e.client, e.rn, e.t, r.a1, r.a2, r.a3, "
+          f"r.a3 IS NULL OR e.t - r.a3 >= {_DAY} AS ok FROM r JOIN e ON e.client = r.client AND e.rn = r.rn + 1)) "
+          "SELECT event_id, client, accepted FROM r")
+def q_rate_limit_burst(spark, d):
+    """Accepted-only limiter with three accepted requests per client and day: a request passes
+    exactly when the third last accepted one is a day old (or there is none)."""
+    out = ST.run_to_table(ST.rate_limit_stream(ST.stream_scan(spark, d, "events"), "user_id", 86400, 3), "ratelimit3", "append")
+    return out.select("event_id", "client", "accepted")
+
+
+@register("rate_limit_fixed",
+          "WITH RECURSIVE e AS (SELECT event_id, user_id AS client, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id "
+          "ORDER BY ts, event_id) AS rn FROM events), "
+          "r AS (SELECT event_id, client, rn, t AS start, 1 AS c FROM e WHERE rn = 1 "
+          f"UNION ALL SELECT e.event_id, e.client, e.rn, CASE WHEN e.t - r.start >= {_DAY} THEN e.t ELSE r.start END, "
+          f"CASE WHEN e.t - r.start >= {_DAY} THEN 1 ELSE r.c + 1 END FROM r JOIN e ON e.client = r.client AND e.rn = r.rn + 1) "
+          "SELECT event_id, client, c <= 2 AS accepted FROM r")
+def q_rate_limit_fixed(spark, d):
+    """Two requests per client in a fixed window of one day, opened by the first request."""
+    out = ST.run_to_table(ST.rate_limit_fixed(ST.stream_scan(spark, d, "events"), "user_id", 86400, 2), "ratelimit-fixed", "append")
+    return out.select("event_id", "client", "accepted")
+
+
+_DELIVERY_DAYS = 5
+
+
+@register("stream_late_data",
+          "WITH e AS (SELECT event_id, user_id, epoch_us(ts) AS t, "
+          f"date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) // {_DELIVERY_DAYS} + CASE WHEN event_id % 25 = 0 THEN 1 ELSE 0 END AS d "
+          "FROM events), "
+          "m AS (SELECT d, max(max(t)) OVER (ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 600000000 AS mark "
+          "FROM e GROUP BY d) "
+          "SELECT event_id, user_id, round((mark - t) / 1000000, 6) AS late_by FROM e JOIN m USING (d) WHERE t < mark")
+def q_stream_late(spark, d):
+    """Events land in deliveries of five days each, one of 25 a delivery too late; the stream runs
+    after each delivery. Returns the rows older than the watermark, which windowed aggregates drop."""
+    e = table(spark, d, "events").withColumn("_d", F.floor(F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")) / _DELIVERY_DAYS)
+                                             + F.when(F.col("event_id") % 25 == 0, 1).otherwise(0))
+    base = ST.scratch(spark, "late")
+    sdf_schema = table(spark, d, "events").schema
+    late = None
+    for i in [r[0] for r in e.select("_d").distinct().orderBy("_d").collect()]:  # a month has seven deliveries
+        e.where(F.col("_d") == i).drop("_d").write.mode("append").parquet(f"{base}/in")
+        sdf = ST.stream_folder(spark, f"{base}/in", sdf_schema, 1_000)
+        late = ST.LateRows(spark, f"{base}/out", sdf.schema)
+        late.run(sdf)
+    return round_doubles(late.late().select("event_id", "user_id", "late_by"))
+
+
 @register("rate_limit_replay", _RATE_LIMIT_SQL)
 def q_rate_limit_replay(spark, d):
     """Batch twin: weekly slices replayed in order with the limiter state carried."""

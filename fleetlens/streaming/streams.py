@@ -21,8 +21,10 @@
 from __future__ import annotations
 
 import uuid
+from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
@@ -76,16 +78,61 @@ def run_to_table(sdf: DataFrame, name: str, mode: str = "complete", base: str |
         q = (sdf.writeStream.outputMode(mode).format("parquet").option("path", out)
              .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     q.awaitTermination()
+    return _written(spark, out, sdf.schema)
+
+
+def _written(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """A table that a sink writes; empty as long as no batch has been run."""
     try:
-        return spark.read.schema(_result_schema(sdf)).parquet(out)
+        return spark.read.schema(schema).parquet(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], _result_schema(sdf))  # no batch was run
+        return spark.createDataFrame([], schema)
+
+
+class LateRows:
+    """A stream cut into rows on time and a side table of rows older than the watermark.
+
+    The watermark of a micro-batch is the latest time of all batches before it,
+    less the delay (Spark's own rule, so a row that a windowed aggregate of the
+    same delay drops is in the side table). Every batch writes its rows and its
+    latest time in a folder of its own number: a batch that is run again after a
+    failure replaces what it wrote, and the next run goes on from the same
+    checkpoint. Rows without a time are on time and move no watermark.
+    """
+
+    def __init__(self, spark: SparkSession, base: str, schema: T.StructType, ts: str = "ts", delay_seconds: float = 600):
+        self.spark, self.base, self.ts, self.delay = spark, base.rstrip("/"), ts, int(delay_seconds * 1_000_000)
+        self.schema = schema
+
+    def _clock(self) -> DataFrame:
+        return _written(self.spark, f"{self.base}/clock", "latest long, batch long")
+
+    def _sink(self, batch: DataFrame, epoch: int) -> None:
+        seen = self._clock().where(F.col("batch") < epoch).agg(F.max("latest")).first()[0]
+        mark = F.lit(None if seen is None else seen - self.delay).cast("long")
+        t = F.unix_micros(F.col(f"`{self.ts}`").cast("timestamp"))
+        rows = batch.withColumn("late_by", (mark - t) / 1_000_000).persist(StorageLevel.MEMORY_AND_DISK)
+        late = F.coalesce(F.col("late_by") > 0, F.lit(False))
+        rows.where(~late).drop("late_by").write.mode("overwrite").parquet(f"{self.base}/rows/batch={epoch}")
+        rows.where(late).write.mode("overwrite").parquet(f"{self.base}/late/batch={epoch}")
+        rows.agg(F.max(t).alias("latest")).write.mode("overwrite").parquet(f"{self.base}/clock/batch={epoch}")
+        rows.unpersist()
+
+    def run(self, sdf: DataFrame) -> None:
+        """All input there is now."""
+        (sdf.writeStream.foreachBatch(self._sink).option("checkpointLocation", f"{self.base}/checkpoint")
+         .trigger(availableNow=True).start().awaitTermination())
 
+    def on_time(self) -> DataFrame:
+        """The rows on time, with their ``batch``."""
+        return _written(self.spark, f"{self.base}/rows", T.StructType([*self.schema, T.StructField("batch", T.LongType())]))
 
-def _result_schema(sdf: DataFrame) -> T.StructType:
-    return sdf.schema
+    def late(self) -> DataFrame:
+        """The late rows, with ``late_by`` (seconds behind the watermark) and their ``batch``."""
+        return _written(self.spark, f"{self.base}/late", T.StructType(
+            [*self.schema, T.StructField("late_by", T.DoubleType()), T.StructField("batch", T.LongType())]))
 
 
 def tumbling_rate(sdf: DataFrame, size: str = "1 minute", seconds: int = 60, watermark: str = "10 minutes") -> DataFrame:
@@ -134,15 +181,16 @@ STATE_SCHEMA = "accepted array<timestamp>"
 
 def _decide(rows: pd.DataFrame, accepted: list, window_s: float, limit: int):
     """Sliding-window limiter over accepted requests only (rows sorted by ts, id)."""
-    acc = list(accepted)
+    acc = deque(accepted)
     out = []
     for eid, ts in zip(rows["event_id"], rows["ts"]):
-        acc = [a for a in acc if (ts - a).total_seconds() < window_s]
+        while acc and (ts - acc[0]).total_seconds() >= window_s:
+            acc.popleft()
         ok = len(acc) < limit
         if ok:
             acc.append(ts)
         out.append((eid, ok))
-    return out, acc
+    return out, list(acc)
 
 
 def rate_limit_stream(sdf: DataFrame, client: str = "user_id", window_seconds: float = 60, limit: int = 100,
@@ -178,6 +226,55 @@ def rate_limit_stream(sdf: DataFrame, client: str = "user_id", window_seconds: f
             .applyInPandasWithState(fn, DECISION_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout))
 
 
+def fixed_windows(times: np.ndarray, start: int | None, count: int, window: int, limit: int):
+    """Which of the sorted ``times`` pass, and the open window's ``(start, count)`` after them.
+
+    A window opens with the first request after the one before has ended, lasts
+    ``window`` and lets its first ``limit`` requests pass; refused ones count too.
+    """
+    ok, at = np.zeros(len(times), bool), 0
+    while at < len(times):
+        if start is None or times[at] >= start + window:
+            start, count = int(times[at]), 0
+        end = int(np.searchsorted(times, start + window, "left"))
+        ok[at:end] = count + 1 + np.arange(end - at) <= limit
+        count, at = count + end - at, end
+    return ok, start, count
+
+
+def rate_limit_fixed(sdf: DataFrame, client: str = "user_id", window_seconds: float = 3600, limit: int = 100,
+                     watermark: str = "10 minutes") -> DataFrame:
+    """Fixed-window rate limiter on a stream: ``limit`` requests of a client per window, which its first request opens.
+
+    State per client: the start of its window and the requests in it, two numbers
+    whatever the limit; it is dropped once the watermark has passed the window's
+    end. Rows of a client inside a micro-batch are decided in order of (ts,
+    event_id), a window at a time. Rows without a time are not decided (null).
+    """
+    window = int(window_seconds * 1_000_000)
+
+    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(pdfs)).sort_values(["ts", "event_id"], na_position="last")
+        known = rows["ts"].notna().to_numpy()
+        times = rows["ts"][known].to_numpy("datetime64[us]").astype("int64")
+        start, count = state.get if state.exists else (None, 0)
+        ok, start, count = fixed_windows(times, start, count, window, limit)
+        if start is not None:
+            state.update((start, count))
+            state.setTimeoutTimestamp(max((start + window) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        rows["accepted"] = None
+        rows.loc[known, "accepted"] = ok
+        rows["client"] = key[0]
+        yield rows[["event_id", "client", "ts", "accepted"]]
+
+    rows = sdf.withWatermark("ts", watermark).select("event_id", F.col(client).alias("client"), "ts")
+    return rows.groupBy("client").applyInPandasWithState(fn, DECISION_SCHEMA, "start long, requests long", "append",
+                                                         GroupStateTimeout.EventTimeTimeout)
+
+
 def rate_limit_replay(df: DataFrame, client: str = "user_id", ts: str = "ts", window_seconds: float = 60,
                       limit: int = 100, slice_seconds: int = 86400) -> DataFrame:
     """Batch twin of ``rate_limit_stream``: time slices (>= the window) are
