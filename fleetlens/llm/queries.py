@@ -158,9 +158,7 @@ SELECT doc_id, size, source_size::BIGINT AS source_size, target,
 _OP6 = f"""
 WITH d AS (SELECT doc_id, coalesce(octet_length(encode(text)), 0)::BIGINT AS n_bytes,
                   ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT >> 1 AS h FROM documents),
-g AS (SELECT CASE WHEN sum(n_bytes) // {SHARD_BYTES} = 0 THEN 0 ELSE floor(log2((sum(n_bytes) // {SHARD_BYTES})::DOUBLE)) END::INTEGER AS depth FROM d),
-x AS (SELECT d.*, r.depth, d.h >> (31 - r.depth) AS prefix
-      FROM d, (SELECT unnest(range(0, 32))::INTEGER AS depth) r, g WHERE r.depth >= g.depth),
+x AS (SELECT d.*, r.depth, d.h >> (31 - r.depth) AS prefix FROM d, (SELECT unnest(range(0, 32))::INTEGER AS depth) r),
 c AS (SELECT *, sum(n_bytes) OVER p AS shard_bytes, count(*) OVER p AS shard_rows FROM x WINDOW p AS (PARTITION BY depth, prefix)),
 f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY depth) AS k FROM c WHERE shard_bytes <= {SHARD_BYTES} OR shard_rows = 1)
 SELECT doc_id, n_bytes, 'b' || CASE WHEN depth = 0 THEN '' ELSE lpad(bin(prefix), depth, '0') END AS shard,

@@ -2,9 +2,9 @@
 
 Every row has a 62-bit hash: 31 bits of the MD5 of its key, then 31 bits that
 tell rows of one key apart (their position in the input). The directory starts
-at a global depth that the total bytes alone give; a bucket above the byte limit
-is split on the next bit, and only such buckets are. A bucket ends when it fits
-the limit, holds a single row, or has no bit left.
+as one bucket of depth 0; a bucket above the byte limit is split on the next
+bit, and only such buckets are. A bucket ends when it fits the limit, holds a
+single row, or has no bit left.
 
 A key with very many rows is therefore split too, by the second half of the
 bits. Buckets are counted on a histogram of hash prefixes; rows themselves are
@@ -43,34 +43,29 @@ def row_hash(key_col: str) -> Column:
 def directory(hashed: DataFrame, limit: int, cell_bits: int = 20) -> DataFrame:
     """``depth, prefix, shard, shard_bytes, shard_rows``: one row per bucket.
 
-    Counts first come down to a histogram of ``cell_bits`` more bits than are
-    settled; its cells are all that the splitting steps read. Buckets still too
-    large at the histogram's depth get a new one from their own rows.
+    Counts first come down to a histogram of ``cell_bits`` bits, which is all that
+    is read to find the buckets of every depth that it covers: one that fits is
+    kept if the bucket it was split from does not. Buckets still too large at the
+    histogram's depth get a new one, of further bits, from their own rows.
     """
-    total, rows = hashed.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count(F.lit(1))).first()
-    if not rows:
-        depth = BITS
-    else:
-        depth = max(0, min(BITS, (int(total) // limit).bit_length() - 1))
-    done, open_rows, reach = [], hashed, 0
-    while rows:
-        reach = min(BITS, max(reach, depth) + cell_bits)
-        cells = materialize(open_rows.groupBy(F.shiftright("hash", BITS - reach).alias("cell"))
-                            .agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("n")))
-        while depth <= reach:
-            prefix = F.shiftright("cell", reach - depth)
-            buckets = materialize(cells.groupBy(prefix.alias("prefix")).agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n")))
-            fits = (F.col("bytes") <= limit) | (F.col("n") == 1) | F.lit(depth == BITS)
-            done.append(buckets.where(fits).select(F.lit(depth).alias("depth"), "prefix", "bytes", "n"))
-            large = buckets.where(~fits).select("prefix")
-            rows = 0 if large.isEmpty() else rows
-            if not rows:
-                break
-            cells = cells.withColumn("prefix", prefix).join(large, "prefix", "left_semi").drop("prefix")
-            depth += 1
-        if rows:
-            open_rows = (open_rows.withColumn("prefix", F.shiftright("hash", BITS - reach))
-                         .join(large, "prefix", "left_semi").drop("prefix"))
+    done, open_rows, low = [], hashed, 0
+    while not open_rows.isEmpty():
+        reach = min(BITS, low + cell_bits)
+        cells = open_rows.groupBy(F.shiftright("hash", BITS - reach).alias("cell")).agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("n"))
+        at = cells.select(F.explode(F.sequence(F.lit(low), F.lit(reach))).alias("depth"), "cell", "bytes", "n")
+        buckets = at.groupBy("depth", F.expr(f"shiftright(cell, {reach} - depth)").alias("prefix")).agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n"))
+        fits = (F.col("bytes") <= limit) | (F.col("n") == 1) | (F.col("depth") == BITS)
+        buckets = materialize(buckets.withColumn("fits", fits))
+        large = buckets.where("not fits").select("depth", "prefix")
+        halves = large.select((F.col("depth") + 1).alias("depth"), F.explode(F.array(F.col("prefix") * 2, F.col("prefix") * 2 + 1)).alias("prefix"))
+        kept = buckets.where("fits").drop("fits")
+        # the buckets of depth ``low`` are the root, or halves of what the histogram before left too large
+        done.append(kept.where(F.col("depth") == low).unionByName(kept.where(F.col("depth") > low).join(halves, ["depth", "prefix"], "left_semi")))
+        still = large.where(F.col("depth") == reach).select("prefix")
+        if still.isEmpty():
+            break
+        open_rows = open_rows.withColumn("prefix", F.shiftright("hash", BITS - reach)).join(still, "prefix", "left_semi").drop("prefix")
+        low = reach + 1
     if not done:
         return hashed.sparkSession.createDataFrame([], "depth int, prefix long, shard string, shard_bytes long, shard_rows long")
     bits = F.when(F.col("depth") == 0, F.lit("")).otherwise(F.lpad(F.bin("prefix"), F.col("depth"), F.lit("0")))

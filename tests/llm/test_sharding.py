@@ -24,17 +24,36 @@ def test_only_oversized_buckets_split(spark, docs):
     out = sharding.assign_shards(docs(rows), limit=1000).collect()
     by = check(out, 1000)
     assert len(out) == 800 and len(by) > 10
-    # the parent of a shard below the global depth was too large
-    total = sum(len(t) for _, t in rows)
-    depth = max(0, (total // 1000).bit_length() - 1)
-    size = defaultdict(int)
+    # every bucket that was split was too large
+    size, n = defaultdict(int), defaultdict(int)
     for r in out:
         for k in range(len(r.shard)):
             size[r.shard[1:k + 1]] += len(r.text)
+            n[r.shard[1:k + 1]] += 1
     for s in by:
-        assert len(s) - 1 >= depth
-        if len(s) - 1 > depth:
-            assert size[s[1:-1]] > 1000
+        for k in range(len(s) - 1):
+            assert size[s[1:k + 1]] > 1000 and n[s[1:k + 1]] > 1
+
+
+def test_what_fits_is_one_shard(spark, docs):
+    out = sharding.assign_shards(docs([(i, "x" * 10) for i in range(50)]), limit=500).collect()
+    assert {(r.shard, r.shard_bytes, r.shard_rows) for r in out} == {("b", 500, 50)}
+
+
+def test_one_large_row_makes_no_small_shards_of_the_others(spark, docs):
+    rows = [(i, "x" * 10) for i in range(1000)] + [(5000, "y" * 500_000)]
+    out = sharding.assign_shards(docs(rows), limit=10_000).collect()
+    by = check(out, 10_000)
+    # only the buckets on the large row's own path are split
+    assert len(by) == max(len(s) for s in by)
+    assert sum(len(m) for m in by.values()) == 1001
+
+
+def test_directory_goes_on_in_further_histograms(spark, docs):
+    rows = docs([(i % 7, "z" * 10) for i in range(600)]).select("doc_id", "text")
+    hashed = sharding.materialize(rows.select(sharding.row_hash("doc_id").alias("hash"), F.lit(10).alias("bytes")))
+    a, b = ({tuple(r) for r in sharding.directory(hashed, 200, bits).collect()} for bits in (3, 20))
+    assert a == b and sum(r[4] for r in a) == 600
 
 
 def test_one_key_with_many_rows_is_split(spark, docs):
