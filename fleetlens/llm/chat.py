@@ -145,9 +145,11 @@ def canonical_turns(df: DataFrame, layouts=LAYOUTS) -> DataFrame:
 def canonical_turns_json(df: DataFrame, column: str = "json", layouts=LAYOUTS) -> DataFrame:
     """``conv_id, turns`` from JSON records whose layout differs by row.
 
-    Each row's field paths come from its parsed value; their fingerprint picks
-    the row's layout. Rows that fit none (null or broken JSON included) raise no
-    error and come back with ``conv_id`` null and ``turns`` null.
+    Each row's field paths come from its parsed value, those of all elements of a
+    list together; their fingerprint picks the row's layout. A record with an empty
+    list fits by its top fields and has zero turns. Rows that fit none (null or
+    broken JSON included) raise no error and come back with ``conv_id`` null and
+    ``turns`` null.
     """
     keys = F.json_object_keys(F.col(f"`{column}`"))
     have = F.coalesce(keys, F.array().cast("array<string>"))
@@ -158,8 +160,10 @@ def canonical_turns_json(df: DataFrame, column: str = "json", layouts=LAYOUTS) -
         ok = F.sha2(F.array_join(F.array_sort(F.array_intersect(have, F.array(*map(F.lit, tops[i])))), "\n"), 256) == fingerprint(tops[i])
         if inner:
             column_of = next(p.split("[")[0] for p in layouts[i].paths if "[]" in p)
-            first = F.json_object_keys(F.get_json_object(F.col(f"`{column}`"), f"$.{column_of}[0]"))
-            ok = ok & (F.coalesce(F.sha2(F.array_join(F.array_sort(F.array_intersect(first, F.array(*map(F.lit, inner)))), "\n"), 256), F.lit("")) == fingerprint(inner))
+            element = F.from_json(F.get_json_object(F.col(f"`{column}`"), f"$.{column_of}"), "array<string>")
+            held = F.array_distinct(F.flatten(F.transform(element, lambda e: F.coalesce(F.json_object_keys(e), F.array().cast("array<string>")))))
+            found = F.sha2(F.array_join(F.array_sort(F.array_intersect(held, F.array(*map(F.lit, inner)))), "\n"), 256)
+            ok = ok & F.coalesce((F.size(element) == 0) | (found == fingerprint(inner)), F.lit(False))
         which = F.when(ok, F.lit(i)).otherwise(which)
     rows = df.select(F.col(f"`{column}`").alias("record"), which.alias("layout"))
     out = rows.where("layout = -1").select(F.lit(None).cast("long").alias("conv_id"), F.lit(None).cast(T.ArrayType(TURN)).alias("turns"))

@@ -64,6 +64,19 @@ def test_json_records_pick_their_layout_by_row(spark):
     assert chat.canonical_turns_json(df).count() == 6
 
 
+def test_json_lists_that_are_empty_or_whose_first_element_lacks_a_key(spark):
+    df = spark.createDataFrame([
+        ('{"conv_id": 1, "messages": []}',), ('{"conv_id": 2, "conversations": []}',),
+        ('{"conv_id": 3, "messages": [{"role": "user"}, {"role": "assistant", "content": "a"}]}',),
+        ('{"conv_id": 4, "messages": [null, {"role": "user", "content": "b"}]}',),
+        ('{"conv_id": 5, "messages": null}',), ('{"conv_id": 6, "messages": [{"who": "x"}]}',)], "json string")
+    got = {r.conv_id: r.turns for r in chat.canonical_turns_json(df).collect()}
+    assert got[1] == [] and got[2] == []
+    assert [(t.role, t.text or "") for t in got[3]] == [("user", ""), ("assistant", "a")]
+    assert [(t.role, t.text or "") for t in got[4]][-1] == ("user", "b")
+    assert set(got) == {1, 2, 3, 4, None}  # 5 and 6 fit no layout
+
+
 def test_nulls_ties_and_empty(spark):
     rows = [(None, 0, "user", "a"), (1, None, None, None), (1, 0, "assistant", "b"), (1, 0, "assistant", "b"), (2, 0, "assistant", "")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
