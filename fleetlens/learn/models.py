@@ -1,7 +1,7 @@
 """Classification and regression models on Spark ML (survey 2.10).
 
-Each model is a ``Pipeline``: label indexer (classes, alphabetical like the
-reference's LabelEncoder) -> VectorAssembler -> estimator; predictions come
+Each model is a ``Pipeline``: label indexer (classes in order: numbers
+by value, else alphabetical) -> VectorAssembler -> estimator; predictions come
 back in the original label values. Defaults follow the reference; where the
 objectives differ, parameters are mapped so the same problem is solved:
 
@@ -34,9 +34,12 @@ from pyspark.ml.feature import IndexToString, StringIndexerModel, VectorAssemble
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, LinearRegression,
                                    RandomForestRegressor)
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+#: Classes that a classifier takes; more of them means that the label is no class.
+MAX_CLASSES = 10_000
 CLASSIFIER_KINDS = ["decision_tree", "random_forest", "gradient_boosting", "xgboost", "logistic_regression",
                     "neural_network"]
 REGRESSOR_KINDS = ["linear_regression", "ridge", "lasso", "random_forest", "gradient_boosting", "xgboost", "svr",
@@ -102,11 +105,17 @@ def fit_classifier(train: DataFrame, features, label: str, kind: str = "random_f
     """Fit one classifier; a fresh estimator per call (no state shared between fits)."""
     params = dict(params or {})
     features = list(features)
-    train, total = _complete(train.select(*dict.fromkeys([*features, label])), [*features, label])
-    # one grouped count gives the rows, the classes and their order
-    counts = train.groupBy(F.col(f"`{label}`").cast("string").alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()
-    labels = sorted(r["y"] for r in counts)
-    n_rows = sum(r["n"] for r in counts)
+    train = train.select(*dict.fromkeys([*features, label]))
+    whole = _complete(train, [*features, label])
+    # one grouped count gives all rows, the complete ones, the classes and their order
+    y = F.when(whole, F.col(f"`{label}`").cast("string"))
+    counts = train.groupBy(y.alias("y")).agg(F.count(F.lit(1)).alias("n")).limit(MAX_CLASSES + 2).collect()
+    labels = _class_order([r["y"] for r in counts if r["y"] is not None], train.schema[label].dataType)
+    if len(labels) > MAX_CLASSES:
+        raise ValueError(f"{label} has more than {MAX_CLASSES} classes; a continuous label wants a regressor")
+    total = sum(r["n"] for r in counts)
+    n_rows = sum(r["n"] for r in counts if r["y"] is not None)
+    train = train.where(whole)
     asm = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="error")
     est = _classifier(kind, len(features), len(labels), n_rows, params)
     est.setFeaturesCol("features").setLabelCol("label_idx")
@@ -122,14 +131,18 @@ def fit_classifier(train: DataFrame, features, label: str, kind: str = "random_f
     return FittedModel(kind, model, features, label, True, labels, dropped=total - n_rows)
 
 
-def _complete(train: DataFrame, cols) -> tuple[DataFrame, int]:
-    """Rows without null or NaN in ``cols``, and the number of all rows."""
-    total = train.count()
+def _class_order(labels: list[str], kind: T.DataType) -> list[str]:
+    """Classes in order: numbers by value, everything else as text."""
+    return sorted(labels, key=(lambda x: (float(x), x)) if isinstance(kind, T.NumericType) else None)
+
+
+def _complete(train: DataFrame, cols) -> Column:
+    """Condition: no null or NaN in ``cols``."""
     keep = F.lit(True)
     numeric = {f.name for f in train.schema.fields if f.dataType.simpleString() in ("double", "float")}
     for c in cols:
         keep = keep & F.col(f"`{c}`").isNotNull() & (~F.isnan(F.col(f"`{c}`")) if c in numeric else F.lit(True))
-    return train.where(keep), total
+    return keep
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -191,9 +204,10 @@ def fit_regressor(train: DataFrame, features, label: str, kind: str = "linear_re
     seed = params.get("seed", 42)
     extra: dict = {}
     cols = features
-    train, total = _complete(train.select(*[F.col(f"`{f}`").cast("double").alias(f) for f in dict.fromkeys([*features, label])]),
-                             [*features, label])
-    n_rows = train.count()
+    train = train.select(*[F.col(f"`{f}`").cast("double").alias(f) for f in dict.fromkeys([*features, label])])
+    whole = _complete(train, [*features, label])
+    total, n_rows = train.agg(F.count(F.lit(1)), F.count_if(whole)).first()
+    train = train.where(whole)
     if kind == "linear_regression":
         est = LinearRegression(solver="normal", regParam=0.0)
     elif kind == "ridge":

@@ -106,3 +106,19 @@ def test_auto_search_draws_at_random_from_many_parameters(monkeypatch):
     assert len(seen["c"]) == 20
     WF.tune(None, [], [], "l", "decision_tree", {"x": [1, 2]}, search="auto")
     assert len(seen["c"]) == 2
+
+
+def test_numeric_classes_are_in_order_of_value(spark):
+    df = spark.range(60).select((F.col("id") % 3).cast("double").alias("x"), F.array(F.lit(2), F.lit(10), F.lit(1))[(F.col("id") % 3).cast("int")].alias("y"))
+    fm = MD.fit_classifier(df, ["x"], "y", "decision_tree")
+    assert fm.labels == ["1", "2", "10"]
+    assert all(str(r.y) == r.predicted_label for r in fm.transform(df).collect())
+
+
+def test_a_continuous_label_is_refused(spark, monkeypatch):
+    monkeypatch.setattr(MD, "MAX_CLASSES", 5)
+    df = spark.range(40).select(F.col("id").cast("double").alias("x"), (F.col("id") / 7).alias("y"))
+    with pytest.raises(ValueError):
+        MD.fit_classifier(df, ["x"], "y", "decision_tree")
+    nulls = df.select("x", F.when(F.col("x") < 30, F.col("x") % 3).alias("y"))
+    assert MD.fit_classifier(nulls, ["x"], "y", "decision_tree").dropped == 10
