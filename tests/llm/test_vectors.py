@@ -69,6 +69,35 @@ def test_bounds_hold():
         last = top
 
 
+def best_lists(q, x, k, block):
+    best = topk.Best(topk.Block(np.arange(len(q)) + 10 ** 6, q), k)
+    for at in range(0, len(x), block):
+        best.search(topk.Block(np.arange(at, min(at + block, len(x))), x[at:at + block]))
+    exact = q @ x.T
+    for r, (s, i) in enumerate(best.found):
+        want = np.lexsort((np.arange(len(x)), -exact[r]))[:k]
+        o = np.lexsort((i, -s))
+        assert i[o].tolist() == want.tolist() and s[o].tolist() == exact[r][want].tolist()
+    return best
+
+
+def test_bounds_skip_pairs_one_by_one():
+    rng = np.random.default_rng(5)
+    x, q = rng.integers(-64, 64, (3000, 64)), rng.integers(-64, 64, (40, 64))
+    near = np.concatenate([x, np.repeat(q, 8, axis=0) + rng.integers(-3, 3, (320, 64))])
+    best = best_lists(q, near[::-1].copy(), 5, 500)
+    assert best.scored < 0.25 * len(q) * len(near)  # each query meets its own near copies; few others are scored
+    alone = best_lists(q, x, 5, 500)  # no structure at all: still not every pair
+    assert alone.scored < 0.98 * len(q) * len(x)
+
+
+def test_bounds_skip_whole_blocks_of_short_vectors():
+    rng = np.random.default_rng(6)
+    x = rng.integers(-64, 64, (2000, 64)) // np.repeat([1, 16], 1000)[:, None]
+    best = best_lists(np.abs(rng.integers(-64, 64, (30, 64))), x, 5, 250)
+    assert best.scored <= 30 * 1000
+
+
 def test_neighbours_recall_and_exact_scores(vectors):
     rows = random_rows(1500, 16, seed=4)
     m = np.array([v for _, v in rows])
