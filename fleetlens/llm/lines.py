@@ -1,11 +1,13 @@
 r"""Line deduplication on levelled sorted runs of line hashes (DataFrame functions only).
 
 :class:`LineRuns` keeps, per 128-bit line hash, the number of documents that
-hold the line, spread over runs: tables range-partitioned and sorted by hash. A
-batch of documents counts its own line hashes, anti-joins those that the runs
-already hold often enough (nothing more has to be known about them), and adds
-the rest as a run of level 0. When a level holds ``fanout`` runs they are merged
-into one run of the next level, so a key is rewritten once per level.
+hold the line, spread over runs. All runs are cut alike: ``n_buckets`` buckets by
+the hash, one file each, sorted by hash. So a batch meets the runs by merge joins
+that neither shuffle nor sort a run: only the batch's own counts are brought into
+the buckets. A batch of documents counts its line hashes, merges them with the runs
+and leaves out those that the runs already hold often enough (nothing more has to be
+known about them); the rest is a run of level 0. When a level holds ``fanout`` runs
+they are merged into one run of the next level, so a key is rewritten once per level.
 
 A line's key is the line without white space ``[\x20\x09-\x0D]`` at either end,
 A-Z in lower case. Keys of at least ``min_chars`` code points that occur in at
@@ -13,13 +15,15 @@ least ``min_docs`` documents lose all their lines in every document.
 
 Defined cases: a null or empty text is one empty line, which is never dropped
 (its key has no code point); a row is a document, so repeated rows each count;
-null ids are ordinary; an empty table stays empty. All columns of the input are
+(ten rows of one id are ten documents); null ids are ordinary; an empty table stays empty. All columns of the input are
 kept, and their names cannot clash with work columns: rows meet their decisions
 on two 64-bit hashes of (id, text), which equal rows share with equal results.
 """
 
 from __future__ import annotations
 
+import uuid
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,6 +33,10 @@ from .common import delete_path, shared_dir, stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TRIMMED = " \t\n\x0b\x0c\r"
+BUCKET_LINES, MAX_BUCKETS = 2_000_000, 100_000  # distinct-line rows a bucket is meant for; Spark's own limit
+#: With these Spark takes the buckets and the order of one-file buckets as given.
+RUN_CONF = {"spark.sql.legacy.bucketedTableScan.outputOrdering": "true", "spark.sql.sources.bucketing.enabled": "true",
+            "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false"}
 
 
 def _lines(text: Column) -> Column:
@@ -54,27 +62,56 @@ def hash_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
 
 
+@contextmanager
+def ordered_runs(spark: SparkSession):
+    """Plans made and run inside use the runs' buckets and their order; the session's settings come back after."""
+    old = {k: spark.conf.get(k, None) for k in RUN_CONF}
+    try:
+        for k, v in RUN_CONF.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 class LineRuns:
-    """Document counts of line hashes in levelled sorted runs below ``path``."""
+    """Document counts of line hashes in levelled sorted runs, bucketed tables below ``path``.
 
-    def __init__(self, spark: SparkSession, path: str | None = None, min_docs: int = 10, fanout: int = 3):
-        self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
+    Each level maps its runs' table names to their folders; ``drop`` removes all.
+    """
+
+    def __init__(self, spark: SparkSession, path: str | None = None, min_docs: int = 10, fanout: int = 3, n_buckets: int = 8):
+        self.spark, self.min_docs, self.fanout, self.n_buckets = spark, min_docs, fanout, n_buckets
         self.path = path or shared_dir(spark, "line-runs")
-        self.levels: dict[int, list[str]] = {}
-        self._made = 0
+        self.levels: dict[int, dict[str, str]] = {}
+        self._made, self._name = 0, f"line_run_{uuid.uuid4().hex[:12]}"
 
-    def _read(self, paths: list[str]) -> DataFrame:
+    def _read(self, paths) -> DataFrame:
+        """Runs as plain files: a union of bucketed scans loses the buckets but claims them, so its counts would be wrong."""
         return reduce(DataFrame.union, [self.spark.read.schema("h1 long, h2 long, n long").parquet(p) for p in paths])
 
     def _write(self, counts: DataFrame, level: int) -> None:
-        path = f"{self.path}/level{level}-run{self._made}"
+        """``counts`` (already in the runs' buckets) as one more run, a file per bucket."""
+        name, path = f"{self._name}_{self._made}", f"{self.path}/level{level}-run{self._made}"
         self._made += 1
-        counts.repartitionByRange("h1", "h2").sortWithinPartitions("h1", "h2").write.parquet(path)
-        self.levels.setdefault(level, []).append(path)
+        (counts.sortWithinPartitions("h1", "h2").write.bucketBy(self.n_buckets, "h1", "h2").sortBy("h1", "h2")
+         .option("path", path).format("parquet").saveAsTable(name))
+        self.levels.setdefault(level, {})[name] = path
+
+    def _drop(self, level: int) -> None:
+        for name, path in self.levels.pop(level).items():
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            delete_path(self.spark, path)
+
+    def drop(self) -> None:
+        """Remove all runs."""
+        for level in list(self.levels):
+            self._drop(level)
 
     def totals(self) -> DataFrame | None:
         """``h1, h2, n`` over all runs; None before the first batch."""
-        paths = [p for level in self.levels.values() for p in level]
+        paths = [p for level in self.levels.values() for p in level.values()]
         return self._read(paths).groupBy("h1", "h2").agg(F.sum("n").alias("n")) if paths else None
 
     def frequent(self) -> DataFrame | None:
@@ -82,24 +119,31 @@ class LineRuns:
         t = self.totals()
         return None if t is None else t.where(F.col("n") >= self.min_docs).select("h1", "h2")
 
-    def add(self, batch: DataFrame) -> None:
-        """Add the run of a batch (``row, h1, h2``), without keys already known to be frequent."""
+    def fresh(self, batch: DataFrame) -> DataFrame:
+        """``h1, h2, n`` of a batch (``row, h1, h2``) without keys already known to be frequent, in the runs' buckets.
+
+        To be planned and run inside ``ordered_runs``.
+        """
         own = batch.select("h1", "h2", "row").distinct().groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"))
-        known = self.frequent()
-        if known is not None:
-            own = own.join(known, ["h1", "h2"], "left_anti")
-        self._write(own, 0)
+        own = own.repartition(self.n_buckets, "h1", "h2").withColumn("known", F.lit(0).cast("long"))
+        for name in (n for level in self.levels.values() for n in level):
+            run = self.spark.table(name).withColumnRenamed("n", "held").hint("merge")
+            own = own.join(run, ["h1", "h2"], "left").select("h1", "h2", "n", (F.col("known") + F.coalesce("held", F.lit(0))).alias("known"))
+        return own.where(F.col("known") < self.min_docs).select("h1", "h2", "n")
+
+    def add(self, batch: DataFrame) -> None:
+        """Add the run of a batch (``row, h1, h2``)."""
+        with ordered_runs(self.spark):
+            self._write(self.fresh(batch), 0)
         self.compact()
 
     def compact(self) -> None:
         """Merge each full level into one run of the next; the merged runs go once it is written."""
         level = 0
-        while len(self.levels.get(level, [])) >= self.fanout:
-            paths = self.levels[level]
-            self._write(self._read(paths).groupBy("h1", "h2").agg(F.sum("n").alias("n")), level + 1)
-            self.levels[level] = []
-            for p in paths:
-                delete_path(self.spark, p)
+        while len(self.levels.get(level, {})) >= self.fanout:
+            merged = self._read(self.levels[level].values()).groupBy("h1", "h2").agg(F.sum("n").alias("n"))
+            self._write(merged.repartition(self.n_buckets, "h1", "h2"), level + 1)
+            self._drop(level)
             level += 1
 
 
@@ -124,10 +168,12 @@ def drop_frequent_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     hashed = stored(hash_lines(docs, id_col, text_col, min_chars, n_batches), "lines")
-    runs = LineRuns(spark, min_docs=min_docs, fanout=fanout)
+    n_buckets = min(MAX_BUCKETS, max(spark.sparkContext.defaultParallelism, -(-hashed.count() // BUCKET_LINES)))
+    runs = LineRuns(spark, min_docs=min_docs, fanout=fanout, n_buckets=n_buckets)
     for b in range(n_batches):
         runs.add(hashed.where(F.col("batch") == b))
     frequent = stored(runs.frequent(), "frequent-lines")
+    runs.drop()
     drops = (hashed.select("r1", "r2", "pos", "h1", "h2").join(frequent, ["h1", "h2"], "left_semi")
              .select("r1", "r2", "pos").distinct()
              .groupBy("r1", "r2").agg(F.sort_array(F.collect_list("pos")).alias("drop")))

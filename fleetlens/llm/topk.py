@@ -210,7 +210,7 @@ def top_k(df: DataFrame, queries: Column, k: int = K, id_col: str = "vec_id", ve
     asked = stored(_pack(rows.where(queries), F.pmod(F.xxhash64("vec_id"), F.lit(q_blocks)), dims, kind)
                    .select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("data").alias("q")), "topk-queries")
     first = asked.withColumn("block", F.pmod("q_block", F.lit(max(1, blocks // 8))).cast("int")).join(packed, "block")
-    least = stored(first.repartition(F.col("q_block")).select("q_ids", "q", "ids", "data")
+    least = stored(first.repartition(min(q_blocks, 1 << 16), "q_block").select("q_ids", "q", "ids", "data")
                    .mapInArrow(_thresholds(dims, kind, k), "q_ids binary, least binary"), "topk-thresholds")
 
     def spread(frame: DataFrame, own: Column, other: int, name: str) -> DataFrame:

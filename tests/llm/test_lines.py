@@ -56,6 +56,39 @@ def test_runs_compact_and_keep_counts(spark):
     assert {r.h1 for r in runs.frequent().collect()} == {1}
     # a key that is frequent already is left out of later runs
     assert runs.totals().where(F.col("h1") == 1).first().n < 10
-    one = spark.read.parquet(runs.levels[max(runs.levels)][0])
-    for part in one.select(F.spark_partition_id().alias("p"), "h1").groupBy("p").agg(F.collect_list("h1").alias("h")).collect():
-        assert part.h == sorted(part.h)
+    with lines.ordered_runs(spark):
+        one = spark.table(next(iter(runs.levels[max(runs.levels)])))
+        for part in one.select(F.spark_partition_id().alias("p"), "h1").groupBy("p").agg(F.collect_list("h1").alias("h")).collect():
+            assert part.h == sorted(part.h)
+    runs.drop()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith(runs._name)]
+
+
+def test_runs_are_merged_without_shuffle_or_sort(spark):
+    runs = lines.LineRuns(spark, min_docs=3, fanout=4, n_buckets=5)
+    batch = spark.createDataFrame([(r, h, h % 3) for r in range(4) for h in range(40)], "row long, h1 long, h2 long")
+    for _ in range(3):
+        runs.add(batch)
+    assert [len(v) for v in runs.levels.values()] == [3]
+    with lines.ordered_runs(spark):
+        plan = runs.fresh(batch)._jdf.queryExecution().executedPlan().toString()
+    # only the batch moves (its distinct rows, its counts, its buckets) and is sorted, once; no run is
+    assert plan.count("SortMergeJoin") == 3 and plan.count("Exchange") == 3 and plan.count("Sort [") == 1
+    assert runs.totals().count() == 40 and {r.n for r in runs.totals().collect()} == {4}
+    runs.drop()
+
+
+def test_totals_over_many_keys_and_runs(spark):
+    runs = lines.LineRuns(spark, min_docs=2, fanout=5, n_buckets=4)
+    for low, high in ((0, 1000), (990, 1010), (995, 1200)):
+        ids = spark.range(low, high)
+        runs.add(ids.select(F.lit(low).alias("row"), F.xxhash64("id").alias("h1"), F.xxhash64(F.lit(1), "id").alias("h2")))
+    # keys 995 to 999 are frequent before the third batch, so it leaves them out
+    n = {r.id: r.n for r in runs.totals().join(spark.range(1200).withColumn("h1", F.xxhash64("id")), "h1").collect()}
+    assert n == {i: 1 + (990 <= i < 1000) + (1000 <= i < 1010) for i in range(1200)}
+    runs.drop()
+
+
+def test_rows_of_one_id_are_documents(docs):
+    rows = [(1, "same\nown %d" % i) for i in range(10)]
+    assert got(docs(rows)) == brute(rows, 10) and got(docs(rows))[0][2] == 1
