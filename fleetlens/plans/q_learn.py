@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
+from ..learn import boosting as BO
 from ..learn import cluster as CL
 from ..learn import models as MD
 from ..learn import workflow as WF
@@ -74,6 +75,16 @@ def q_xgb(spark, d):
     return _classify(spark, d, "xgboost", "ev_type", {"n_estimators": 10})
 
 
+@register("classify_boosted_softmax")
+def q_softmax(spark, d):
+    """Three classes by second-order softmax boosting: label, its probability, the sum of all three."""
+    train, test = _split(spark, d, "cafv_eligibility")
+    out = BO.fit_boosted(train, FEATURES, "cafv_eligibility", n_estimators=10, max_depth=3).transform(test)
+    total = F.aggregate("probabilities", F.lit(0.0), lambda s, p: s + p)
+    return out.select(*KEYS, "cafv_eligibility", "predicted_label", F.round(F.array_max("probabilities"), 6).alias("confidence"),
+                      F.round(total, 6).alias("total"))
+
+
 @register("classify_logistic")
 def q_logistic(spark, d):
     return _classify(spark, d, "logistic_regression", "cafv_eligibility", {"max_iter": 100})
