@@ -5,6 +5,7 @@ falls with k, a saved model scores the same after reload, folds and CV."""
 import random
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from fleetlens.learn import cluster as CL
@@ -34,6 +35,15 @@ def test_classifiers_learn_separable(sep, kind):
     assert set(fm.labels) == {"BEV", "PHEV"}
 
 
+@pytest.mark.parametrize("kind", ["random_forest", "logistic_regression"])
+def test_models_score_in_a_session_that_observed_metrics(spark, sep, kind):
+    seen = Observation()
+    assert spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).count() == 3 and seen.get["n"] == 3
+    fm = MD.fit_classifier(sep, FEATS, "label", kind, {"n_estimators": 3, "max_iter": 20})
+    assert fm.transform(sep).where("predicted_label is not null").count() == 400
+    assert not fm.model.stages[1].hasSummary
+
+
 def test_unknown_model_raises(sep):
     with pytest.raises(ValueError):
         MD.fit_classifier(sep, FEATS, "label", "no_such_model")
