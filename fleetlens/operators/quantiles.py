@@ -12,10 +12,15 @@ instead:
    that lie in it; each pass splits an interval into ``bins`` equal-width buckets,
    counts rows per bucket with a partially aggregated ``groupBy`` (bounded
    shuffle: intervals x bins rows), and keeps the buckets that hold ranks;
-3. once an interval holds at most ``small`` rows (1M doubles, about 8 MB) or
+3. once an interval holds at most ``small`` rows (100,000 doubles, about 800 KB) or
    a single value, the rows left in it are gathered ONCE, sorted inside one
    group of bounded size, and all its ranks are read from there.
 
+Rows meet the intervals by broadcast joins: an open interval holds more than ``small``
+rows, so there are few of them, and a shuffle by the group would sort all rows of a
+hot group in one task. The closed intervals (a few per group) are broadcast if they
+are proven small; with more groups than that the join is a shuffle join.
+
 Every step is a DataFrame job; the loop's state is a small table that is
 checkpointed each pass. ``method="approx"`` switches to ``percentile_approx``.
 """
@@ -29,6 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .lookups import bounded_broadcast
 
 
 def _nsjoin(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -40,7 +46,7 @@ def _nsjoin(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inne
 
 
 def quantiles(df: DataFrame, value: str, probs, by=(), names=None, method: str = "exact",
-              bins: int = 1024, small: int = 1_000_000, accuracy: int = 1_000_000) -> DataFrame:
+              bins: int = 1024, small: int = 100_000, accuracy: int = 1_000_000) -> DataFrame:
     """One row per group of ``by`` with one column per probability.
 
     Nulls and NaN in ``value`` are ignored, as in pandas.
@@ -72,7 +78,7 @@ def quantiles(df: DataFrame, value: str, probs, by=(), names=None, method: str =
         is_open = (F.col("_lo") < F.col("_hi")) & (F.col("_cnt") > small)
         open_ = state.where(is_open)
         closed = state.where(~is_open)
-        j = _nsjoin(base, open_, keys).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+        j = _nsjoin(base, F.broadcast(open_), keys).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
         # halves first: the span of two finite doubles may overflow; the top value has a bucket of its own
         rel = (F.col("_v") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2)
         j = j.withColumn("_b", F.when(F.col("_v") == F.col("_hi"), F.lit(bins)).when(F.col("_v") == F.col("_lo"), F.lit(-1))
@@ -91,7 +97,7 @@ def quantiles(df: DataFrame, value: str, probs, by=(), names=None, method: str =
     single = state.where(F.col("_lo") == F.col("_hi")).select(*keys, F.explode("_ks").alias("_k"), F.col("_lo").alias("_x"))
     rest = state.where(F.col("_lo") < F.col("_hi"))
     inside = F.transform("_ks", lambda k: F.struct(k.alias("_k"), F.element_at("_arr", (k - F.col("_below") + 1).cast("int")).alias("_x")))
-    gathered = (_nsjoin(base, rest.select(*keys, "_lo", "_hi", "_below"), keys).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+    gathered = (_nsjoin(base, bounded_broadcast(rest.select(*keys, "_lo", "_hi", "_below")), keys).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
                 .groupBy(*keys, "_below").agg(F.sort_array(F.collect_list("_v")).alias("_arr")))
     gathered = (_nsjoin(gathered, rest.select(*keys, "_below", "_ks"), [*keys, "_below"])
                 .select(*keys, F.explode(inside).alias("_e")).select(*keys, "_e._k", "_e._x"))

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from fleetlens.learn import cluster as CL
@@ -129,3 +130,26 @@ def test_sliding_rate_copies_panes_not_rows(spark, capsys):
     assert plan.index("Generate") < plan.index("Aggregate", plan.index("Generate"))  # rows are aggregated below the copies
     want = df.groupBy(F.window("ts", "5 minutes", "15 seconds").alias("w")).count().select(F.col("w.start").alias("window_start"), F.col("count").alias("requests"))
     assert sorted(map(tuple, out.select("window_start", "requests").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_rows_meet_quantile_intervals_without_a_shuffle_of_the_rows(spark, monkeypatch):
+    """A shuffle of the rows by their group would sort a hot group in one task."""
+    from fleetlens.operators import quantiles as Q
+
+    plans = []
+    held = Q.materialize
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return held(df)
+
+    monkeypatch.setattr(Q, "materialize", seen)
+    df = spark.range(5000).select((F.col("id") % 2).alias("g"), F.pmod(F.col("id") * 7919, F.lit(5000)).cast("double").alias("v"))
+    got = {r.g: (r.q50, r.q90) for r in Q.quantiles(df, "v", [0.5, 0.9], by=["g"], small=100, bins=16).collect()}
+    for g in (0, 1):
+        v = sorted(float(i * 7919 % 5000) for i in range(5000) if i % 2 == g)
+        h = 2499 * 0.9
+        assert got[g] == (pytest.approx((v[1249] + v[1250]) / 2), pytest.approx(v[int(h)] + (h - int(h)) * (v[int(h) + 1] - v[int(h)])))
+    # the data's rows (the kept relation) are joined in every refining pass and in the gather
+    rows = [p for p in plans if "InMemoryRelation" in p and "Join Inner" in p]
+    assert len(rows) >= 2 and all("rightHint=(strategy=broadcast)" in p for p in rows)
