@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
+from conftest import SMALL
 from fleetlens.learn import cluster as CL
 from fleetlens.learn import models as MD
 from fleetlens.learn import workflow as WF
@@ -96,6 +97,27 @@ def test_cross_validate_and_grid(sep):
     assert len(WF.param_grid({"a": [1, 2], "b": [3]})) == 2
 
 
+def test_a_fold_is_prepared_once_for_all_candidates(sep, monkeypatch):
+    made = []
+    held = WF.prepare_classifier
+
+    def seen(train, features, label):
+        made.append(1)
+        return held(train, features, label)
+
+    monkeypatch.setattr(WF, "prepare_classifier", seen)
+    res = WF.tune(sep, ["id"], FEATS, "label", "decision_tree", {"max_depth": [2, 3], "min_samples_leaf": [1, 5]}, folds=2)
+    assert len(made) == 2 and len(res) == 4 and all(0.9 <= r["mean"] <= 1.0 for r in res)
+
+
+def test_training_frames_are_joined_once(spark):
+    from fleetlens.plans import q_learn as Q
+
+    for df in (Q._frame(spark, SMALL), Q._frame(spark, SMALL, Q.CL_FEATURES), *Q._split(spark, SMALL, "ev_type")):
+        assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert Q._frame(spark, SMALL, Q.CL_FEATURES).count() == Q._joined(spark, SMALL).count()
+
+
 def test_problem_type(spark, sep):
     assert WF.infer_problem_type(sep, "label").first()["problem_type"] == "classification"
     assert WF.infer_problem_type(sep, "msrp").first()["problem_type"] == "regression"
