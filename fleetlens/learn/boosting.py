@@ -10,8 +10,9 @@ not of the rows) give the best split of every node:
     gain = GL^2 / (HL + lambda) + GR^2 / (HR + lambda) - G^2 / (H + lambda)
 
 A leaf adds ``-rate * G / (H + lambda)``. Rows are never copied per feature or
-class. The rows' scores are brought up to date every ``KEPT_ROUNDS`` rounds by a
-checkpoint; tasks apply the trees grown since then.
+class. A row is its class, its bins as bytes and its scores as bytes, written once
+more every ``KEPT_ROUNDS`` rounds with the scores brought up to date; tasks apply
+the trees grown since then.
 
 Defined cases: rows with a null or NaN feature, or a null label, do not train and
 are scored null; equal gains go to the smaller feature, then the smaller bin; a
@@ -30,10 +31,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import materialize
-from .models import MAX_CLASSES, _class_order, _complete, spread
+from ..session import kept
+from .models import MAX_CLASSES, _class_order, _complete
 
-KEPT_ROUNDS = 8
+KEPT_ROUNDS = 2
+#: A training row: bins of ``BIN`` (an unsigned number) and scores (doubles) as bytes.
+ROW, BIN = "bins binary, y int, scores binary", np.uint32
 CELLS = 1 << 20  # cells of a histogram at most; more classes than fit take one job for each block of classes
 
 
@@ -50,11 +53,11 @@ class Tree:
         n = 2 ** (depth + 1) - 1
         return Tree(np.full(n, -1), np.zeros(n, int), np.zeros(n))
 
-    def place(self, bins: np.ndarray) -> np.ndarray:
-        """The node in which each row of ``bins`` ends."""
+    def place(self, bins: np.ndarray, levels: int | None = None) -> np.ndarray:
+        """The node in which each row of ``bins`` ends, or stands after ``levels`` levels."""
         at = np.zeros(len(bins), int)
         rows = np.arange(len(bins))
-        for _ in range(int(np.log2(len(self.feature) + 1)) - 1):
+        for _ in range(int(np.log2(len(self.feature) + 1)) - 1 if levels is None else levels):
             f = self.feature[at]
             at = np.where(f < 0, at, 2 * at + 1 + (bins[rows, np.maximum(f, 0)] > self.cut[at]))
         return at
@@ -84,8 +87,18 @@ def best_split(g: np.ndarray, h: np.ndarray, reg: float, min_child: float) -> tu
     return float(gain[f, cut]), int(f), int(cut)
 
 
-def _matrix(column, width: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+def _matrix(column: pa.Array, width: int, kind) -> np.ndarray:
+    """The rows of a binary column, each of ``width`` numbers of ``kind``."""
+    size = np.dtype(kind).itemsize * width
+    start = int(np.frombuffer(column.buffers()[1], np.int32, 1, 4 * column.offset)[0]) if len(column) else 0
+    return np.frombuffer(column.buffers()[2] or b"", kind, len(column) * width, start).reshape(-1, width) if len(column) * size else np.empty((len(column), width), kind)
+
+
+def _bytes(m: np.ndarray) -> pa.Array:
+    """The rows of a matrix as a binary column."""
+    m = np.ascontiguousarray(m)
+    offsets = np.arange(len(m) + 1, dtype=np.int32) * (m.itemsize * m.shape[1])
+    return pa.Array.from_buffers(pa.binary(), len(m), [None, pa.py_buffer(offsets), pa.py_buffer(m)])
 
 
 @dataclass
@@ -149,16 +162,18 @@ def _histograms(rows: DataFrame, later: list, trees: list[Tree], classes: range,
     def run(batches: Iterator[pa.RecordBatch]):
         g, h = np.zeros(cells), np.zeros(cells)
         for b in batches:
-            bins, scores = _matrix(b.column(0), n_features), _matrix(b.column(2), k)
+            bins, scores = _matrix(b.column(0), n_features, BIN).astype(np.int64), _matrix(b.column(2), k, float)
             y = b.column(1).to_numpy(zero_copy_only=False)
             p = softmax(add_trees(scores, bins, later))
             for i, (c, tree) in enumerate(zip(classes, mine)):
-                at = tree.place(bins) - first
+                at = tree.place(bins, level) - first
                 live = at >= 0  # rows that stopped at a leaf of a level above lie before ``first``
-                grad, hess = (p[:, c] - (y == c))[live], (p[:, c] * (1 - p[:, c]))[live]
-                low = (i * width + at[live]) * n_features
+                grad, hess, at, of = p[:, c] - (y == c), p[:, c] * (1 - p[:, c]), at, bins
+                if not live.all():
+                    grad, hess, at, of = grad[live], hess[live], at[live], bins[live]
+                low = (i * width + at) * n_features
                 for j in range(n_features):
-                    cell = (low + j) * n_bins + bins[live, j]
+                    cell = (low + j) * n_bins + of[:, j]
                     g += np.bincount(cell, grad, cells)
                     h += np.bincount(cell, hess, cells)
         used = np.flatnonzero(h)
@@ -218,30 +233,40 @@ def fit_boosted(train: DataFrame, features, label: str, n_estimators: int = 100,
     x = [F.col(f"`{f}`").cast("double").alias(f"x{j}") for j, f in enumerate(features)]
     y = F.array_position(F.array(*[F.lit(c) for c in labels]), F.col(f"`{label}`").cast("string")).cast("int") - 1
     names = [f"x{j}" for j in range(len(features))]
-    base = materialize(spread(train.where(whole).select(y.alias("y"), *x)))
+    base = kept(train.where(whole).select(y.alias("y"), *x), "training")
     shares = [i / max_bins for i in range(1, max_bins)]
     top = base.agg(*[F.max(c).alias(c) for c in names]).first()
     # a cut at the largest value would part nothing
     cuts = [sorted({c for c in q if c < top[n]}) for n, q in zip(names, base.approxQuantile(names, shares, 0.25 / max_bins))]
     n_bins, k = max(map(len, cuts)) + 1, len(labels)
-    placed = [sum((F.col(n) > F.lit(c)).cast("int") for c in cs) if cs else F.lit(0) for n, cs in zip(names, cuts)]
-    rows = materialize(base.select(F.array(*placed).alias("bins"), "y", F.array(*[F.lit(0.0)] * k).alias("scores")))
+    rows = _binned(base.select(*names, "y"), cuts, k)
     rounds: list[list[Tree]] = []
     later: list[list[Tree]] = []
     for _ in range(n_estimators if k > 1 else 0):
         trees = grow(rows, later, k, len(features), n_bins, max_depth, learning_rate, reg_lambda, min_child_weight)
         rounds.append(trees)
         later.append(trees)
-        if len(later) == KEPT_ROUNDS:
+        if len(later) == KEPT_ROUNDS and len(rounds) < n_estimators:
             rows, later = _rescored(rows, later, len(features), k), []
     return BoostedClassifier(features, label, labels, cuts, rounds, sum(r["n"] for r in counts if r["y"] is None))
 
 
+def _binned(base: DataFrame, cuts: list, k: int) -> DataFrame:
+    """``ROW`` from the features and ``y``, all scores 0."""
+    cuts = [np.asarray(c, float) for c in cuts]
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for b in batches:
+            bins = np.stack([np.searchsorted(c, b.column(j).to_numpy(), side="left") for j, c in enumerate(cuts)], axis=1)
+            yield pa.RecordBatch.from_arrays([_bytes(bins.astype(BIN)), b.column(len(cuts)), _bytes(np.zeros((len(bins), k)))],
+                                             names=["bins", "y", "scores"])
+    return kept(base.mapInArrow(run, ROW), "boosted")
+
+
 def _rescored(rows: DataFrame, later: list, n_features: int, k: int) -> DataFrame:
     """``rows`` with the trees of ``later`` in their scores."""
     def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
-            scores = add_trees(_matrix(b.column(2), k), _matrix(b.column(0), n_features), later)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(scores), pa.list_(pa.float64()))],
-                                             names=["bins", "y", "scores"])
-    return materialize(rows.select("bins", "y", "scores").mapInArrow(run, "bins array<int>, y int, scores array<double>"))
+            scores = add_trees(_matrix(b.column(2), k, float), _matrix(b.column(0), n_features, BIN).astype(np.int64), later)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _bytes(scores)], names=["bins", "y", "scores"])
+    return kept(rows.select("bins", "y", "scores").mapInArrow(run, ROW), "boosted")

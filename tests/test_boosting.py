@@ -96,3 +96,14 @@ def test_one_class_one_value_and_nothing(spark):
     assert m.labels == ["2", "10"] and {r.predicted_label for r in m.transform(flat).collect()} == {"2"}
     with pytest.raises(ValueError):
         B.fit_boosted(flat.limit(0), ["x"], "label", 2)
+
+
+def test_rows_of_bytes_read_back_from_slices():
+    import numpy as np
+
+    from fleetlens.learn import boosting as BO
+
+    m = np.arange(30.0).reshape(10, 3)
+    col = BO._bytes(m)
+    assert (BO._matrix(col, 3, float) == m).all() and (BO._matrix(col.slice(4, 3), 3, float) == m[4:7]).all()
+    assert BO._matrix(col.slice(0, 0), 3, float).shape == (0, 3)
