@@ -129,3 +129,22 @@ def test_pca_scores_centred_and_ratios(sep):
     assert abs(means[0]) < 1e-9 and abs(means[1]) < 1e-9
     ratios = CL.pca_explained(info)
     assert 0 < ratios[-1][2] <= 1.0 + 1e-9
+
+
+def test_cluster_frame_moves_no_line_to_the_orders(spark, tmp_path, monkeypatch):
+    """Lines stand as often as their order does, without the join of all lines: one, two and no orders, null keys."""
+    from fleetlens.plans import q_learn as Q
+
+    d = str(tmp_path)
+    spark.createDataFrame([(k, i, i, i, float(i), 2.0 * i, 0.1) for i, k in enumerate([1, 1, 2, 3, None, 4, 4])],
+                          "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_discount double") \
+        .selectExpr("*", "0.0 AS l_tax", "'A' AS l_returnflag", "'F' AS l_linestatus", "timestamp'1995-01-02' AS l_shipdate").write.parquet(f"{d}/lineitem.parquet")
+    orders = lambda keys: spark.createDataFrame([(k,) for k in keys], "o_orderkey long") \
+        .selectExpr("*", "timestamp'1995-01-01' AS o_orderdate").write.mode("overwrite").parquet(f"{d}/orders.parquet")
+    for keys, n in (([1, 2, 2, None, 4, 4, 4, 9], 10), ([1, 2, 3, 4, 5], 6)):
+        orders(keys)
+        want = sorted(map(tuple, Q._joined(spark, d).select(*Q.KEYS, *Q.CL_FEATURES).collect()))
+        with monkeypatch.context() as m:
+            m.setattr(Q, "_joined", None)
+            got = sorted(map(tuple, Q._frame(spark, d, Q.CL_FEATURES).collect()))
+        assert got == want and len(got) == n
