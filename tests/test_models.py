@@ -148,3 +148,12 @@ def test_cluster_frame_moves_no_line_to_the_orders(spark, tmp_path, monkeypatch)
             m.setattr(Q, "_joined", None)
             got = sorted(map(tuple, Q._frame(spark, d, Q.CL_FEATURES).collect()))
         assert got == want and len(got) == n
+
+
+def test_clustering_metrics_in_columns_are_those_on_arrays(spark, monkeypatch):
+    from fleetlens.operators import metrics as M
+
+    df = spark.range(300).selectExpr("array(rand(1), randn(2), 5 * rand(3)) AS v", "CASE WHEN id = 5 THEN 9 WHEN id % 97 = 0 THEN null ELSE id % 4 - 1 END AS c")
+    flat = M.clustering_metrics(df, "v", "c").first()
+    monkeypatch.setattr(M, "MAX_FLAT", 0)
+    assert flat == M.clustering_metrics(df, "v", "c").first() and flat["n_clusters"] == 4 and flat["silhouette_sq"] is not None
