@@ -25,8 +25,11 @@ gives the same links.
 Verification. Candidates pass the Hamming bound on dense folded sketches, then
 the exact count on their texts. Sets that file the same word are first tried
 against the least of them only (a star), and components are built from what is
-verified; then the pairs that still lie in different components are tried. Near
-copies of one another so never become all pairs, and no pair is given up.
+verified. Sets of a word that still lie in different components are compared by
+their sketches in tasks, which give a forest of the near ones; what it connects is a
+bunch, whose sets meet once more for the exact count and give a forest of links.
+Near copies of one another so never become all pairs, and no pair is given up: one
+that is not compared lies in one component already.
 
 Equal sets are one class before any of this. Sets, and shingles, are compared by
 64-bit hashes. Words that the sample shows to be frequent are spread over salted
@@ -49,7 +52,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import delete_path, shared_dir
+from .common import delete_path, release, shared_dir
 from .graph import components
 from ..operators.lookups import bounded_broadcast
 
@@ -64,6 +67,8 @@ MAX_FREQUENT = 1 << 18
 SALTS = 16
 #: Sets of a word that a task compares with as many, and the bytes of a sketch that it holds of each.
 BLOCK, CARRIED = 1024, 256
+#: Shingles of all the sets of such a block.
+LONG = 1 << 22
 #: Words whose hashes a worker remembers.
 HELD = 1 << 20
 
@@ -313,61 +318,137 @@ def _stars(filed: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "word long, salt int, a long, b long")
 
 
-def _near_members(member: DataFrame, percent: int) -> DataFrame:
-    """``a, b``: of the sets that share a word and lie in different components (columns ``word, cls, root, n,
-    sketch``), the pairs within the Hamming bound of their sketches.
-
-    Words of many sets are cut into blocks, and a task compares two blocks at a time.
-    """
-    counts = member.groupBy("word").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("c"))
-    rows = member.join(counts, "word").withColumn("own", F.pmod(F.xxhash64("cls"), "c").cast("int"))
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each value of the first three columns, which follow one another."""
+    held = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([b] if held is None else [*held.to_batches(), b]).combine_chunks()
+        k = [t.column(i).to_numpy() for i in range(3)]
+        new = np.flatnonzero(np.concatenate(([True], (k[0][1:] != k[0][:-1]) | (k[1][1:] != k[1][:-1]) | (k[2][1:] != k[2][:-1]))))
+        for x, y in zip(new, new[1:]):
+            yield t.slice(x, y - x)
+        held = t.slice(new[-1])
+    if held is not None:
+        yield held
+
+
+def _block_pairs(rows: DataFrame, key: str, carried: list[str]) -> DataFrame:
+    """``key, lo, hi, own, cls, root, n`` and ``carried`` of the sets, for every two blocks of a key's sets that are to be
+    compared: keys of many or long sets are cut into blocks."""
+    blocks = F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / LONG)
+    rows = rows.join(rows.groupBy(key).agg(F.ceil(blocks).cast("int").alias("c")), key).withColumn("own", F.pmod(F.xxhash64("cls"), "c").cast("int"))
     both = F.transform(F.sequence(F.lit(0), F.col("c") - 1), lambda i: F.struct(F.least(i, "own").alias("lo"), F.greatest(i, "own").alias("hi")))
-    rows = rows.select("word", "own", "cls", "root", "n", "sketch", F.explode(both).alias("x")).select("word", "x.lo", "x.hi", "own", "cls", "root", "n", "sketch")
-
-    seen: set[tuple[int, int]] = set()
-
-    def compare(own, cls, root, n, sketches, lo, hi):
-        size = min(CARRIED, *map(len, sketches))
-        w = np.stack([folded(x, size) for x in sketches])
-        left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
-        step = max(1, (1 << 21) // max(1, len(right) * w.shape[1]))
-        for at in range(0, len(left) if len(right) else 0, step):
-            i = left[at:at + step, None]
-            d = np.bitwise_count(w[i] ^ w[right][None]).sum(axis=2, dtype=np.int64)
-            ok = (root[i] != root[right]) & (d <= most_apart(n[i], n[right], percent))
-            if lo == hi:
-                ok &= cls[i] < cls[right]
-            x, y = np.nonzero(ok)
-            if len(x):
-                yield cls[left[at + x]], cls[right[y]]
-
+    rows = rows.withColumn("x", F.explode(both)).select(key, "x.lo", "x.hi", "own", "cls", "root", "n", *carried)
+    return rows
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows of ``_block_pairs``, the two blocks of a key that a task compares one after the other."""
+    by = rows.columns[:3]
+    return rows.repartition(*by).sortWithinPartitions(*by)
+
+
+def _near_pairs(t: pa.Table, sketches: list[bytes], percent: int) -> Iterator[tuple[list[int], list[int]]]:
+    """Row numbers of the pairs of a table of ``_block_pairs`` that lie in different components, within the Hamming
+    bound of their sketches."""
+    _, lo, hi, own, cls, root, n = (t.column(i).to_numpy() for i in range(7))
+    size = min(CARRIED, *map(len, sketches))
+    w = np.stack([folded(x, size) for x in sketches])
+    left, right = np.flatnonzero(own == lo[0]), np.flatnonzero(own == hi[0])
+    step = max(1, (1 << 21) // max(1, len(right) * w.shape[1]))
+    for at in range(0, len(left) if len(right) else 0, step):
+        i = left[at:at + step, None]
+        d = np.bitwise_count(w[i] ^ w[right][None]).sum(axis=2, dtype=np.int64)
+        ok = (root[i] != root[right]) & (d <= most_apart(n[i], n[right], percent))
+        if lo[0] == hi[0]:
+            ok &= cls[i] < cls[right]
+        x, y = np.nonzero(ok)
+        if len(x):
+            yield left[at + x].tolist(), right[y].tolist()
+
+
+class _Forest(dict):
+    """Components by the parent of each joined node."""
+
+    def find(self, x: int) -> int:
+        top = x
+        while top in self:
+            top = self[top]
+        while x != top:
+            self[x], x = top, self[x]
+        return top
+
+
+def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = np.array(found, np.int64).reshape(-1, 2).T
+    return pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
+def _near_forest(member: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: of the sets that share a word and lie in different components (columns ``word, cls, root, n, sketch``),
+    pairs within the Hamming bound of their sketches.
+
+    A task leaves out what its pairs connect already, so it gives fewer rows than it has sets, and the same
+    components as all near pairs.
+    """
+    def run(batches: Iterator[pa.RecordBatch]):
+        joined = _Forest()
+        for t in _runs(batches):
+            cls, out = t.column(4).to_pylist(), []
+            for left, right in _near_pairs(t, t.column(7).to_pylist(), percent):
+                for i, j in zip(left, right):
+                    x, y = joined.find(cls[i]), joined.find(cls[j])
+                    if x != y:
+                        joined[x] = y
+                        out.append((cls[i], cls[j]))
+            if out:
+                yield _edges(out)
+            if len(joined) > HELD:
+                joined.clear()
+
+    return _dealt(_block_pairs(member, "word", ["sketch"])).mapInArrow(run, "a long, b long")
+
+
+def _sets(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """``th, shingles``: the sorted hashes of the sets of the wanted text hashes, as bytes."""
     def run(batches: Iterator[pa.RecordBatch]):
-        held = None
-        seen.clear()
         for b in batches:
-            if not b.num_rows:
-                continue
-            t = pa.Table.from_batches([b] if held is None else [*held.to_batches(), b]).combine_chunks()
-            k = [t.column(i).to_numpy() for i in range(3)]
-            new = np.flatnonzero(np.concatenate(([True], (k[0][1:] != k[0][:-1]) | (k[1][1:] != k[1][:-1]) | (k[2][1:] != k[2][:-1]))))
-            for x, y in zip(new, new[1:]):
-                yield from group(t.slice(x, y - x))
-            held = t.slice(new[-1])
-        if held is not None:
-            yield from group(held)
-
-    def group(t: pa.Table):
-        _, lo, hi, own, cls, root, n = (t.column(i).to_numpy() for i in range(7))
-        for a, b in compare(own, cls, root, n, t.column(7).to_pylist(), lo[0], hi[0]):
-            pairs = {(min(x), max(x)) for x in zip(a.tolist(), b.tolist())} - seen  # many words show a pair
-            if len(seen) > HELD:
-                seen.clear()
-            seen.update(pairs)
-            a, b = np.array(list(pairs), np.int64).reshape(-1, 2).T
-            yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(x.as_py(), words).tobytes() for x in b.column(1)], pa.binary())],
+                                             names=["th", "shingles"])
+
+    rows = texts.select("th", "text").join(bounded_broadcast(wanted.select("th").distinct()), "th").dropDuplicates(["th"])
+    return rows.mapInArrow(run, "th long, shingles binary")
+
 
-    rows = rows.repartition("word", "lo", "hi").sortWithinPartitions("word", "lo", "hi")
-    return rows.mapInArrow(run, "a long, b long")
+def _joining_links(bunches: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """``a, b``: links between sets of a bunch (columns ``bunch, cls, root, n, th``) that join their components.
+
+    Near pairs get the exact count. A task leaves out what its links have joined already, so it gives fewer rows
+    than it has sets, and the same components as all links of the bunch.
+    """
+    def run(batches: Iterator[pa.RecordBatch]):
+        joined = _Forest()
+        for t in _runs(batches):
+            cls, root, out = t.column(4).to_pylist(), t.column(5).to_pylist(), []
+            sets = [np.frombuffer(x, np.uint64) for x in t.column(7).to_pylist()]
+            for left, right in _near_pairs(t, [folded(dense_sketch(h), CARRIED).tobytes() for h in sets], percent):
+                for i, j in zip(left, right):
+                    x, y = joined.find(root[i]), joined.find(root[j])
+                    if x == y:
+                        continue
+                    shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if 100 * shared >= percent * (len(sets[i]) + len(sets[j]) - shared):
+                        joined[x] = y
+                        out.append((cls[i], cls[j]))
+            if out:
+                yield _edges(out)
+            if len(joined) > HELD:
+                joined.clear()
+
+    rows = _block_pairs(bunches, "bunch", ["th"]).join(_sets(texts, bunches, words), "th")
+    return _dealt(rows.select("bunch", "lo", "hi", "own", "cls", "root", "n", "shingles")).mapInArrow(run, "a long, b long")
 
 
 def _pairs(df: DataFrame) -> DataFrame:
@@ -464,18 +545,22 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tried = keep(_pairs(stars), "tried")
     links = _verified(tried, classes, digests, texts, words, percent, keep)
 
-    # pairs that share a word but lie in different components and were not tried
+    # sets that share a word but lie in different components
     part = components(links)
+    release(spark)
     many = stars.groupBy("word").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
     member = stars.join(many, "word").select("word", F.explode(F.array("a", "b")).alias("cls")).distinct()
     member = member.join(part.withColumnRenamed("node", "cls"), "cls", "left").select("word", "cls", F.coalesce("root", "cls").alias("root"))
     member = keep(member.join(classes.select("cls", "n", "th"), "cls"), "members")
     split = member.groupBy("word").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("word")
     member = keep(member.join(split, "word"), "split")
-    member = member.join(_folded(digests, member), "th").select("word", "cls", "root", "n", "sketch")
-    more = keep(_pairs(_near_members(member, percent)).join(tried, ["a", "b"], "left_anti"), "more")
-    if not more.isEmpty():
-        found = _verified(more, classes, digests, texts, words, percent, keep)
+    sketched = member.join(_folded(digests, member), "th").select("word", "cls", "root", "n", "sketch")
+    near = keep(_near_forest(sketched, percent), "near-forest")
+    if not near.isEmpty():
+        bunches = components(near).select(F.col("node").alias("cls"), F.col("root").alias("bunch"))
+        release(spark)
+        bunches = bunches.join(member.select("cls", "root", "n", "th").distinct(), "cls").select("bunch", "cls", "root", "n", "th")
+        found = keep(_joining_links(keep(bunches, "bunches"), texts, words, percent), "joining")
         if not found.isEmpty():
             part = components(links.unionByName(found))
 

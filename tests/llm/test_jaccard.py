@@ -129,3 +129,23 @@ def test_linked_sizes_share_a_group_and_enough_words():
             shared = [g for g, p, _ in bands.groups(m) if g in mine and mine[g][0] == p]
             need = J.most_apart(n, m, 80) + 1
             assert any(min(mine[g][1], dict((a, c) for a, _, c in bands.groups(m))[g]) >= need for g in shared), (n, m)
+
+
+def test_near_sets_of_a_word_never_become_all_pairs(spark):
+    """The second pass gives forests: 60 sets, all linked with one another, are 1,770 pairs."""
+    r = random.Random(6)
+    base = [f"w{i}" for i in range(300)]
+    texts = []
+    for _ in range(60):
+        w = list(base)
+        w[r.randrange(300)] = f"new{r.random()}"
+        texts.append(" ".join(w))
+    sets = [J.shingle_set(t) for t in texts]
+    rows = [(1, J.class_of(h), J.class_of(h), len(h), i, bytearray(J.dense_sketch(h))) for i, h in enumerate(sets)]
+    member = spark.createDataFrame(rows, "word long, cls long, root long, n long, th long, sketch binary")
+    docs = spark.createDataFrame(list(enumerate(texts)), "th long, text string")
+    near = J._near_forest(member.drop("th"), 80)
+    assert near.count() == 59
+    links = [tuple(x) for x in J._joining_links(member.withColumnRenamed("word", "bunch").drop("sketch"), docs, J.WORDS, 80).collect()]
+    assert len(links) == 59
+    assert {x for pair in links for x in pair} == {J.class_of(h) for h in sets}
