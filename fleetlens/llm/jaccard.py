@@ -69,6 +69,8 @@ SALTS = 16
 BLOCK, CARRIED = 1024, 256
 #: Shingles of all the sets of such a block.
 LONG = 1 << 22
+#: Documents whose rows a task writes at least.
+DOCS = 2000
 #: Words whose hashes a worker remembers.
 HELD = 1 << 20
 
@@ -423,7 +425,7 @@ def _sets(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
 
 def _joining_links(bunches: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """``a, b``: links between sets of a bunch (columns ``bunch, cls, root, n, th``) that join their components.
+    """``a, b``: roots of components that links between sets of a bunch (columns ``bunch, cls, root, n, th``) join.
 
     Near pairs get the exact count. A task leaves out what its links have joined already, so it gives fewer rows
     than it has sets, and the same components as all links of the bunch.
@@ -431,7 +433,7 @@ def _joining_links(bunches: DataFrame, texts: DataFrame, words: int, percent: in
     def run(batches: Iterator[pa.RecordBatch]):
         joined = _Forest()
         for t in _runs(batches):
-            cls, root, out = t.column(4).to_pylist(), t.column(5).to_pylist(), []
+            root, out = t.column(5).to_pylist(), []
             sets = [np.frombuffer(x, np.uint64) for x in t.column(7).to_pylist()]
             for left, right in _near_pairs(t, [folded(dense_sketch(h), CARRIED).tobytes() for h in sets], percent):
                 for i, j in zip(left, right):
@@ -441,7 +443,7 @@ def _joining_links(bunches: DataFrame, texts: DataFrame, words: int, percent: in
                     shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
                     if 100 * shared >= percent * (len(sets[i]) + len(sets[j]) - shared):
                         joined[x] = y
-                        out.append((cls[i], cls[j]))
+                        out.append((root[i], root[j]))
             if out:
                 yield _edges(out)
             if len(joined) > HELD:
@@ -473,11 +475,11 @@ def _folded(digests: DataFrame, members: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "th long, sketch binary").dropDuplicates(["th"])
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, digests: DataFrame, texts: DataFrame, words: int, percent: int, keep) -> DataFrame:
+def _verified(pairs: DataFrame, classes: DataFrame, digests: DataFrame, texts: DataFrame, words: int, percent: int, tasks: int, keep) -> DataFrame:
     """The linked ones of candidate pairs of classes ``a, b``: sizes, then sketches, then texts."""
     side = lambda c: classes.select(F.col("cls").alias(c), F.col("n").alias(f"n{c}"), F.col("th").alias(f"t{c}"))
     rows = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    rows = keep(rows.select("a", "b", "ta", "tb", "na", "nb"), "sized")
+    rows = keep(rows.select("a", "b", "ta", "tb", "na", "nb").coalesce(tasks), "sized")
     sketches = _of_texts(digests.select("th", "sketch"), rows)
     rows = (rows.join(sketches.select(F.col("th").alias("ta"), F.col("sketch").alias("sa")), "ta")
             .join(sketches.select(F.col("th").alias("tb"), F.col("sketch").alias("sb")), "tb").select("a", "b", "ta", "tb", "na", "nb", "sa", "sb"))
@@ -533,8 +535,10 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     path = shared_dir(spark, "jaccard-digests")  # the result reads these, so they stay
     digests.write.parquet(path)
     digests = spark.read.schema(digests.schema).parquet(path)
+    # what tasks only shuffle and join is written by few of them if there are few documents
+    tasks = max(spark.sparkContext.defaultParallelism, -(-digests.count() // DOCS))
     classes = keep(digests.where("cls is not null").groupBy("cls").agg(
-        F.min("doc_id").alias("first"), F.min("th").alias("th"), F.min("n").alias("n")), "classes")
+        F.min("doc_id").alias("first"), F.min("th").alias("th"), F.min("n").alias("n")).coalesce(tasks), "classes")
 
     filed = digests.select(F.explode("filed").alias("word"), F.lit(0).alias("salt"), "cls").unionByName(
         digests.select(F.explode("common").alias("word"), (F.pmod("cls", F.lit(SALTS)) + 1).cast("int").alias("salt"), "cls"))
@@ -542,32 +546,35 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     heads = stars.where("salt > 0").select("word", "a").distinct()  # least members of the salted groups of a word
     heads = heads.join(heads.groupBy("word").agg(F.min("a").alias("least")), "word").select("word", F.col("least").alias("a"), F.col("a").alias("b"))
     stars = stars.select("word", "a", "b").unionByName(heads)
-    tried = keep(_pairs(stars), "tried")
-    links = _verified(tried, classes, digests, texts, words, percent, keep)
+    tried = keep(_pairs(stars).coalesce(tasks), "tried")
+    links = _verified(tried, classes, digests, texts, words, percent, tasks, keep)
 
     # sets that share a word but lie in different components
-    part = components(links)
+    part, joined = components(links), None
     release(spark)
     many = stars.groupBy("word").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
     member = stars.join(many, "word").select("word", F.explode(F.array("a", "b")).alias("cls")).distinct()
     member = member.join(part.withColumnRenamed("node", "cls"), "cls", "left").select("word", "cls", F.coalesce("root", "cls").alias("root"))
-    member = keep(member.join(classes.select("cls", "n", "th"), "cls"), "members")
+    member = keep(member.join(classes.select("cls", "n", "th"), "cls").coalesce(tasks), "members")
     split = member.groupBy("word").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("word")
-    member = keep(member.join(split, "word"), "split")
+    member = keep(member.join(split, "word").coalesce(tasks), "split")
     sketched = member.join(_folded(digests, member), "th").select("word", "cls", "root", "n", "sketch")
     near = keep(_near_forest(sketched, percent), "near-forest")
     if not near.isEmpty():
         bunches = components(near).select(F.col("node").alias("cls"), F.col("root").alias("bunch"))
         release(spark)
         bunches = bunches.join(member.select("cls", "root", "n", "th").distinct(), "cls").select("bunch", "cls", "root", "n", "th")
-        found = keep(_joining_links(keep(bunches, "bunches"), texts, words, percent), "joining")
+        found = keep(_joining_links(keep(bunches.coalesce(tasks), "bunches"), texts, words, percent), "joining")
         if not found.isEmpty():
-            part = components(links.unionByName(found))
+            joined = components(found)  # of the components so far, by their roots
 
     named = classes.select("cls", "first").join(part.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    if joined is not None:
+        named = named.join(joined.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
+        named = named.select("cls", "first", F.coalesce("top", "root").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     path = shared_dir(spark, "jaccard-named")
-    named.join(least, "root").select("cls", "component_id").write.parquet(path)
+    named.join(least, "root").select("cls", "component_id").coalesce(tasks).write.parquet(path)
     for p in spent:
         delete_path(spark, p)
     named = spark.read.schema("cls long, component_id long").parquet(path)

@@ -113,3 +113,25 @@ def test_near_duplicates_and_keep_one(spark, awkward):
     assert sorted((r.doc_id or 0, r.text) if r.text else (r.doc_id, None) for r in kept.select("doc_id", "text").collect() if r.doc_id != 4) == [
         (0, "no id at all"), (1, None), (5, "one two three four"), (7, "Line A\nline b\n\nLINE A "), (8, "x")]
     assert simhash.near_duplicates(awkward.limit(0)).count() == 0 and simhash.keep_one(awkward.limit(0)).count() == 0
+
+
+def test_small_rounds_take_few_tasks(spark):
+    """Components of few edges do not run as many tasks a round as shuffles have partitions."""
+    names = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in names}
+    sc, group = spark.sparkContext, "small-rounds"
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        sc.setJobGroup(group, group)
+        edges = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long")
+        assert len({r.root for r in graph.components(edges).collect()}) == 1
+    finally:
+        sc._jsc.clearJobGroup()
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    status = sc.statusTracker()
+    stages = {s for j in status.getJobIdsForGroup(group) for s in status.getJobInfo(j).stageIds}
+    tasks = sum(i.numCompletedTasks for i in map(status.getStageInfo, stages) if i)
+    print("tasks", tasks)
+    assert 0 < tasks < 2000
