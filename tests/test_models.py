@@ -2,6 +2,7 @@
 check behaviour): separable data is learned, importances sum to 1, inertia
 falls with k, a saved model scores the same after reload, folds and CV."""
 
+import math
 import random
 
 import pytest
@@ -75,6 +76,21 @@ def test_ridge_shrinks(spark):
     assert abs(ridge) < abs(ols)
 
 
+def test_cosine_features_run_as_compiled_methods(spark, sep):
+    """One generated method for tens of cosines is past HotSpot's 8,000 bytes and never compiled; the values stay the same."""
+    spark.conf.unset("spark.sql.codegen.hugeMethodLimit")
+    fm = MD.fit_regressor(sep, ["range", "year"], "msrp", "svr", {"n_components": 60})
+    scored = fm.transform(sep)
+    stages = scored._jdf.queryExecution().debug().codegenToSeq()
+    largest = max(stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size()))
+    assert largest > 8000 >= int(spark.conf.get("spark.sql.codegen.hugeMethodLimit"))
+    lr, rff = fm.model.stages[-1], fm.extra["rff"]
+    for r in scored.limit(20).collect():
+        z = [(r[f] - rff["means"][f]) / rff["stds"][f] for f in rff["features"]]
+        cosines = [math.sqrt(2 / 60) * math.cos(b + sum(x * y for x, y in zip(z, w))) for w, b in rff["comps"]]
+        assert r.prediction == pytest.approx(lr.intercept + sum(c * x for c, x in zip(lr.coefficients, cosines)))
+
+
 def test_kmeans_inertia_falls_with_k(sep):
     costs = [CL.fit_kmeans(sep, FEATS, k, n_init=2).cost for k in (2, 3, 4)]
     assert costs[0] > costs[1] > costs[2]
