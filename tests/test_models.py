@@ -173,3 +173,14 @@ def test_clustering_metrics_in_columns_are_those_on_arrays(spark, monkeypatch):
     flat = M.clustering_metrics(df, "v", "c").first()
     monkeypatch.setattr(M, "MAX_FLAT", 0)
     assert flat == M.clustering_metrics(df, "v", "c").first() and flat["n_clusters"] == 4 and flat["silhouette_sq"] is not None
+
+
+@pytest.mark.parametrize("query,fit", [("q_forest", "fit_classifier")])
+def test_registered_forests_have_the_reference_s_hundred_trees(spark, monkeypatch, query, fit):
+    from fleetlens.plans import q_learn as Q
+
+    fitted, held = [], getattr(MD, fit)
+    monkeypatch.setattr(MD, fit, lambda *a: fitted.append(held(*a)) or fitted[-1])
+    scored = getattr(Q, query)(spark, SMALL)
+    [forest] = [s for s in fitted[0].model.stages if hasattr(s, "getNumTrees")]
+    assert forest.getNumTrees == 100 and forest.getMaxDepth() == 10 and scored.count() > 0
