@@ -175,7 +175,7 @@ def test_clustering_metrics_in_columns_are_those_on_arrays(spark, monkeypatch):
     assert flat == M.clustering_metrics(df, "v", "c").first() and flat["n_clusters"] == 4 and flat["silhouette_sq"] is not None
 
 
-@pytest.mark.parametrize("query,fit", [("q_forest", "fit_classifier")])
+@pytest.mark.parametrize("query,fit", [("q_forest", "fit_classifier"), ("q_rf_reg", "fit_regressor")])
 def test_registered_forests_have_the_reference_s_hundred_trees(spark, monkeypatch, query, fit):
     from fleetlens.plans import q_learn as Q
 
