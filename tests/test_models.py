@@ -184,3 +184,27 @@ def test_registered_forests_have_the_reference_s_hundred_trees(spark, monkeypatc
     scored = getattr(Q, query)(spark, SMALL)
     [forest] = [s for s in fitted[0].model.stages if hasattr(s, "getNumTrees")]
     assert forest.getNumTrees == 100 and forest.getMaxDepth() == 10 and scored.count() > 0
+
+
+def test_registered_kmeans_runs_ten_restarts(spark, monkeypatch):
+    from fleetlens.plans import q_learn as Q
+
+    seeds, held = [], CL.KMeans
+    monkeypatch.setattr(CL, "KMeans", lambda **kw: seeds.append(kw["seed"]) or held(**kw))
+    assert Q.q_kmeans(spark, SMALL).where("cluster is not null").count() > 0 and len(set(seeds)) == 10
+
+
+def test_kmeans_stops_where_the_reference_stops(spark):
+    """One more step moves the centres by a summed squared shift below the reference's 1e-4; a stop at 1e-2 a centre left more."""
+    rng = random.Random(3)
+    rows = [tuple(rng.random() for _ in range(3)) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "a double, b double, c double").coalesce(1)
+    moved = []
+    for seed in range(4):
+        res = CL.fit_kmeans(df, ["a", "b", "c"], 6, n_init=1, seed=seed)
+        x = [[(v - res.scaler.stats[f][0]) / res.scaler.stats[f][1] for v, f in zip(r, "abc")] for r in rows]
+        old = [list(c) for c in res.model.clusterCenters()]
+        near = [min(range(6), key=lambda j: sum((u - v) ** 2 for u, v in zip(p, old[j]))) for p in x]
+        new = [[sum(p[i] for p, c in zip(x, near) if c == j) / near.count(j) for i in range(3)] for j in range(6)]
+        moved.append(sum((u - v) ** 2 for a, b in zip(old, new) for u, v in zip(a, b)))
+    assert max(moved) < 1e-4 / 100
