@@ -208,3 +208,28 @@ def test_kmeans_stops_where_the_reference_stops(spark):
         new = [[sum(p[i] for p, c in zip(x, near) if c == j) / near.count(j) for i in range(3)] for j in range(6)]
         moved.append(sum((u - v) ** 2 for a, b in zip(old, new) for u, v in zip(a, b)))
     assert max(moved) < 1e-4 / 100
+
+
+@pytest.mark.parametrize("kind,more", [("decision_tree", {}), ("random_forest", {"n_estimators": 7, "seed": 5})])
+def test_candidates_of_lower_depth_are_tops_of_the_deepest_fit(spark, monkeypatch, kind, more):
+    rng = random.Random(11)
+    rows = [(i, *(rng.random() for _ in range(4))) for i in range(900)]
+    rows = [(*r, str(int(4 * r[1] * r[2] + r[3] + 0.4 * rng.random()))) for r in rows] + [(901, None, 1.0, 1.0, 1.0, "1")]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double, d double, label string").coalesce(2)
+    feats = ["a", "b", "c", "d"]
+    ready = MD.prepare_classifier(df, feats, "label")
+    deep = MD.fit_classifier(ready, feats, "label", kind, {**more, "max_depth": 7, "min_samples_leaf": 2})
+    shape = lambda m: m.model.stages[1].toDebugString.split("\n", 1)[1]
+    for depth in (1, 2, 4, 6):
+        alone = MD.fit_classifier(ready, feats, "label", kind, {**more, "max_depth": depth, "min_samples_leaf": 2})
+        top = MD.top_of(deep, depth)
+        assert shape(top) == shape(alone) and top.model.stages[1].getMaxDepth() == depth
+        a, b = ({r.id: (r.predicted_label, r.probabilities) for r in m.transform(df).collect()} for m in (alone, top))
+        assert a == b and len(a) == 901 and a[901] == (None, None)
+    grid = {"max_depth": [5, 2, 3], "min_samples_leaf": [1, 9], **{k: [v] for k, v in more.items()}}
+    fits, held = [], WF._fit
+    monkeypatch.setattr(WF, "_fit", lambda *a: fits.append(a[-1]) or held(*a))
+    shared = WF.tune(df, ["id"], feats, "label", kind, grid, folds=2, parallel=1)
+    assert len(fits) == 4 and {p["max_depth"] for p in fits} == {5}
+    monkeypatch.setattr(MD, "same_but_depth", lambda *a: None)
+    assert WF.tune(df, ["id"], feats, "label", kind, grid, folds=2, parallel=1) == shared and len(fits) == 16
